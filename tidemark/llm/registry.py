@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import query_mixing
+from . import query_decontaminate, query_mixing
 
-MODULES = [query_mixing]
+MODULES = [query_mixing, query_decontaminate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
