@@ -1,0 +1,40 @@
+"""Connected components of a graph given by its links, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """Links (u, v), u > v. Large star: each node's larger neighbours move to its least one; small star: the smaller ones and itself."""
+    if large:
+        near = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        near = links
+    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    moved = near.join(least, "u")
+    if large:
+        out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+    return out.where(F.col("u") != F.col("v")).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(u, v) links -> (node, root): the least node that each linked node reaches. Nodes without links don't appear.
+
+    Each pair of steps is written to the shared folder; only a count and a checksum come to the driver. Null ends
+    link nothing.
+    """
+    u, v = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    now = stored(links.where(F.col("u").isNotNull() & F.col("v").isNotNull()).select(u, v).where("u <> v").distinct(), "links")
+    mark = None
+    while True:
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        if tuple(seen) == mark or not seen["n"]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        mark = tuple(seen)
+        now = stored(_star(_star(now, large=True), large=False), "links")

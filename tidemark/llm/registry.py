@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import query_decontaminate, query_mixing
+from . import query_decontaminate, query_mixing, query_simhash
 
-MODULES = [query_mixing, query_decontaminate]
+MODULES = [query_mixing, query_decontaminate, query_simhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
