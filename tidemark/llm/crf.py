@@ -1,16 +1,16 @@
 """Linear-chain conditional random fields over the words of texts: features, fitting, marginals.
 
 A word is a run of letters: a-z (capitals lower-cased) and bytes of other letters. Its score for a label is the sum of
-weights of its letter trigrams (with two blanks before and one after the word, so that its affixes of one and two letters
-are trigrams of their own), of its last and first three letters, and of its entry in a lexicon, which holds words
-exactly (by their 64-bit hash). Transitions between labels are learned with them. Everything works on whole
+weights of its letter trigrams (with two blanks before the word, so that its first letters are trigrams of their own), of
+its last and first three letters, and of its entries in a lexicon, which holds words, or also word starts of given
+lengths, exactly (by their 64-bit hash). Transitions between labels are learned with them. Everything works on whole
 batches of bytes at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +74,15 @@ class Words:
         head = np.minimum(self.first + 2, last)
         return bucket(gram, GRAMS, 1), bucket(gram[last], AFFIXES, 2), bucket(gram[head], AFFIXES, 3)
 
-    def hashes(self) -> np.ndarray:
-        """word_hash of every word, by Horner's rule over letters counted from the words' ends."""
+    def hashes(self, letters: int = 0) -> np.ndarray:
+        """word_hash of every word, or of its first letters and their number (0 for words with fewer), by Horner's rule."""
         if not len(self):
             return np.zeros(0, np.uint64)
+        if letters:
+            out = np.full(len(self), letters, np.uint64)
+            for k in range(letters):
+                out = out * _PRIME + self.b[np.minimum(self.first + k, len(self.b) - 1)].astype(np.uint64) + np.uint64(1)
+            return np.where(self.length >= letters, out, np.uint64(0))
         most = int(self.length.max())
         power = np.ones(most, np.uint64)
         if most > 1:
@@ -85,6 +90,10 @@ class Words:
         left = np.repeat(self.first + self.length - 1, self.length) - np.arange(len(self.b))
         return np.add.reduceat((self.b.astype(np.uint64) + np.uint64(1)) * power[left], self.first)
 
+    def keys(self, starts: tuple[int, ...]) -> list[np.ndarray]:
+        """The lexicon keys of every word: itself, and its starts of the given lengths."""
+        return [self.hashes(), *(self.hashes(n) for n in starts)]
+
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a binary or string column and the texts' places in them; a null is empty."""
@@ -121,13 +130,14 @@ class RandomField:
     lex: np.ndarray
     bias: np.ndarray
     move: np.ndarray
-    first: np.ndarray = field(default=None)
+    first: np.ndarray
+    starts: tuple[int, ...] = ()
 
     @staticmethod
-    def empty(labels: list, lexicon: np.ndarray) -> RandomField:
+    def empty(labels: list, lexicon: np.ndarray, starts: tuple[int, ...] = ()) -> RandomField:
         k = len(labels)
         z = lambda n: np.zeros((n, k), np.float32)
-        return RandomField(labels, np.sort(lexicon), z(GRAMS), z(AFFIXES), z(AFFIXES), z(len(lexicon) + 1), np.zeros(k, np.float32), np.zeros((k, k)), np.zeros(k))
+        return RandomField(labels, np.sort(lexicon), z(GRAMS), z(AFFIXES), z(AFFIXES), z(len(lexicon) + 1), np.zeros(k, np.float32), np.zeros((k, k)), np.zeros(k), starts)
 
     def entries(self, hashes: np.ndarray) -> np.ndarray:
         """Row of each word in the lexicon's weights; the last row, of weight 0, for others."""
@@ -145,7 +155,8 @@ class RandomField:
         out = np.add.reduceat(self.gram[gram], words.first, axis=0)
         out += self.end[end]
         out += self.head[head]
-        out += self.lex[self.entries(words.hashes())]
+        for keys in words.keys(self.starts):
+            out += self.lex[self.entries(keys)]
         out += self.bias
         return out
 
@@ -198,7 +209,7 @@ def fit(model: RandomField, sequences: list[tuple[bytes, np.ndarray]], epochs: i
             words = Words(np.frombuffer(b"".join(t for t, _ in part), np.uint8), cuts)
             truth = np.concatenate([y for _, y in part])
             gram, end, head = words.features()
-            entry = model.entries(words.hashes())
+            entries = [model.entries(keys) for keys in words.keys(model.starts)]
             layout = chains.Layout(words.per_text[words.per_text > 0])
             emit = layout.spread(_weights(model.scores(words)))
             initial, move = model.potentials()
@@ -215,8 +226,8 @@ def fit(model: RandomField, sequences: list[tuple[bytes, np.ndarray]], epochs: i
             n = len(truth)
             slope = {"bias": off.sum(axis=0), "move": seen - pairs, "first": off[start].sum(axis=0)}
             spread = off[np.repeat(np.arange(n), words.length)]
-            for name, where, g, size in (("gram", gram, spread, GRAMS), ("end", end, off, AFFIXES), ("head", head, off, AFFIXES), ("lex", entry, off, len(model.lexicon) + 1)):
-                slope[name] = np.stack([np.bincount(where, weights=g[:, j], minlength=size) for j in range(k)], axis=1)
+            for name, where, g, size in (("gram", gram, spread, GRAMS), ("end", end, off, AFFIXES), ("head", head, off, AFFIXES), *(("lex", e, off, len(model.lexicon) + 1) for e in entries)):
+                slope[name] = slope.get(name, 0) + np.stack([np.bincount(where, weights=g[:, j], minlength=size) for j in range(k)], axis=1)
             slope["lex"][-1] = 0
             for name in names:
                 w = getattr(model, name)

@@ -13,7 +13,6 @@ training rows all texts are `und` with score 0; ids may be null or repeated (a n
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,41 +22,10 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .common import fold
+from .counts import document_keys
 
 #: Documents in the sample (as many of each language), the longest of them, words of a language in the lexicon, passes over the sample.
 SAMPLE, SAMPLE_BYTES, LEXICON, EPOCHS, MAX_LABELS = 1600, 20_000, 2000, 4, 64
-_FLUSH = 400_000
-
-
-def document_words(rows: DataFrame, label: str) -> DataFrame:
-    """rows(label, body) -> (label, hash, n): in how many documents of a label each word, by its hash, occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[tuple] = Counter()
-
-        def flushed() -> pa.RecordBatch:
-            keys = list(count)
-            out = pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], kind), pa.array(np.array([h for _, h in keys], np.uint64).view(np.int64)), pa.array(list(count.values()), pa.int64())], names=[label, "hash", "n"])
-            count.clear()
-            return out
-
-        for batch in batches:
-            kind = batch.column(0).type
-            labels = batch.column(0).to_pylist()
-            data, cuts = crf.texts_of(batch.column(1))
-            for a, b in crf.pieces(data, cuts):
-                words = crf.Words(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
-                hashes = words.hashes()
-                ends = np.cumsum(words.per_text)
-                for i, (end, n) in enumerate(zip(ends.tolist(), words.per_text.tolist(), strict=True)):
-                    count.update((labels[a + i], h) for h in np.unique(hashes[end - n : end]).tolist())
-                if len(count) >= _FLUSH:
-                    yield flushed()
-        if count:
-            yield flushed()
-
-    kind = rows.schema[label].dataType.simpleString()
-    return rows.select(label, "body").mapInArrow(run, f"{label} {kind}, hash bigint, n bigint").groupBy(label, "hash").agg(F.sum("n").alias("n"))
 
 
 def train(rows: DataFrame) -> crf.RandomField | None:
@@ -66,7 +34,7 @@ def train(rows: DataFrame) -> crf.RandomField | None:
     labels = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect())
     if not labels:
         return None
-    top = document_words(rows, "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "hash"))).where(F.col("k") <= LEXICON)
+    top = document_keys(rows, "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "hash"))).where(F.col("k") <= LEXICON)
     lexicon = np.unique(np.array([r["hash"] for r in top.where(F.col("lang").isin(labels)).select("hash").collect()], np.int64).view(np.uint64))
     short = rows.where(F.length("body").between(1, SAMPLE_BYTES) & F.col("lang").isin(labels)).withColumn("h", F.xxhash64("body"))
     # Keys first, so that the window moves and sorts no texts.
