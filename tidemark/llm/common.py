@@ -45,3 +45,11 @@ def lowered(text: Column) -> Column:
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def with_body(docs: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, str, str]:
+    """(carried columns and the text for a task, their schema as DDL ending in a comma, the column that has the text)."""
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    if "text" in carry:
+        return docs.select(*carry), schema, "text"
+    return docs.select(*carry, F.col("text").cast("binary").alias("_body")), schema, "_body"

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_body
+
 #: Words of a window, and the part of a document's words (1 / LEAST) that makes it contaminated.
 WINDOW, LEAST = 13, 20
 #: Bytes of benchmark text in one broadcast block.
@@ -87,10 +89,10 @@ class WuManber:
         return found
 
 
-def _judge(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.RecordBatch]:
-    """Adds n_words, n_hit, the owners hit and the spans of hit words to batches whose last column is the text."""
+def _judge(batches: Iterator[pa.RecordBatch], blocks: list, n_kept: int, body: str) -> Iterator[pa.RecordBatch]:
+    """Adds n_words, n_hit, the owners hit and the spans of hit words to the first n_kept columns; body names the text."""
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
+        texts = batch.column(batch.schema.get_field_index(body)).cast(pa.large_binary())
         canon = [b" " + b" ".join(words_of(t)) + b" " if (t := x.as_py()) else b"  " for x in texts]
         spans: list[list[tuple[int, int]]] = [[] for _ in canon]
         owners: list[set[int]] = [set() for _ in canon]
@@ -120,13 +122,13 @@ def _judge(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.Recor
             merged.append(rows)
         yield pa.RecordBatch.from_arrays(
             [
-                *batch.columns[:-1],
+                *batch.columns[:n_kept],
                 pa.array(n_words, pa.int64()),
                 pa.array([sum(r["n_words"] for r in rows) for rows in merged], pa.int64()),
                 pa.array([sorted(o) for o in owners], pa.list_(pa.int64())),
                 pa.array(merged, pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))),
             ],
-            names=[*batch.schema.names[:-1], "n_words", "n_hit", "owners", "spans"],
+            names=[*batch.schema.names[:n_kept], "n_words", "n_hit", "owners", "spans"],
         )
 
 
@@ -155,14 +157,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, le
     blocks, ids = search_blocks(benchmark, width, block_bytes)
     names = docs.sparkSession.sparkContext.broadcast(ids)
     keep = [c for c in carry or docs.columns if c not in ("n_words", "n_hit", "items", "spans", "contaminated")]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    read = docs.select(*keep, F.col("text").cast("binary").alias("_body"))
+    read, schema, body = with_body(docs, tuple(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in _judge(batches, blocks):
+        for out in _judge(batches, blocks, len(keep), body):
             called = [sorted(names.value[i] for i in row) for row in out.column("owners").to_pylist()]
             at = out.schema.get_field_index("owners")
             yield out.set_column(at, "items", pa.array(called, pa.list_(pa.string())))
 
-    judged = read.mapInArrow(run, f"{schema}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<first_word: bigint, n_words: bigint>>")
+    judged = read.mapInArrow(run, f"{schema}n_words bigint, n_hit bigint, items array<string>, spans array<struct<first_word: bigint, n_words: bigint>>")
     return judged.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least >= F.col("n_words")))

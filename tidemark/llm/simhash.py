@@ -14,7 +14,7 @@ class; a null id is passed over as the name of a class if another id can be had;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,18 +34,22 @@ _PAIRS = 1 << 21  # pairs of a search and a node that are measured at once
 _UNPACK = 1 << 17  # hashes whose bits are laid out at once
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of all words if they are fewer, of nothing if there are none."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([digest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), _UNPACK):
         part = np.unpackbits(hashes[at : at + _UNPACK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -53,6 +57,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of one text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs(text, ...) -> the carried columns and fp, the fingerprint as a signed 64-bit number."""
 
@@ -119,7 +128,7 @@ class Forest:
                 queue.append((np.repeat(asked, n), self.by_parent[flat]))
 
 
-def _joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The least member of each value's class under the pairs."""
     parent = np.arange(n)
 
@@ -137,15 +146,8 @@ def _joined(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return np.fromiter((find(i) for i in range(n)), np.int64, n)
 
 
-def _shard_links(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """(shard, fp) rows, those of a shard together, -> links (u, v) that join what is near within a shard."""
-
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows["fp"].to_numpy()
-        root = _joined(len(values), Forest(rows["shard"].to_numpy(), values.view(np.uint64)).near(radius))
-        own = root != np.arange(len(values))
-        return pd.DataFrame({"u": values[own], "v": values[root[own]]})
-
+def shard_links(batches: Iterator[pd.DataFrame], links: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with a shard column, those of a shard together, -> what links makes of runs of whole shards."""
     held: list[pd.DataFrame] = []
     for batch in batches:
         # The last shard of a batch may go on in the next.
@@ -165,7 +167,14 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
     part = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cut, cut[1:], strict=False)]
     shards = [F.xxhash64(F.lit(k), *[part[i] for i in chosen]) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))]
     spread = nodes.select("fp", F.explode(F.array(*shards)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
-    return spread.mapInPandas(lambda batches: _shard_links(batches, radius), "u bigint, v bigint")
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        values = rows["fp"].to_numpy()
+        root = joined(len(values), Forest(rows["shard"].to_numpy(), values.view(np.uint64)).near(radius))
+        own = root != np.arange(len(values))
+        return pd.DataFrame({"u": values[own], "v": values[root[own]]})
+
+    return spread.mapInPandas(lambda batches: shard_links(batches, links), "u bigint, v bigint")
 
 
 def near_classes(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
