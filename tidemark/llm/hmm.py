@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chains
@@ -96,7 +96,10 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, own: int = OWN, known: int = KNOWN) -> Vocabulary:
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     end = counts.where(F.length("word") == 0).first()
-    top = [(bytes(r["word"]), r["n"]) for r in counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(known).collect()]
+    # Words of equal count stay together; an ordered limit would send that many words from each task to the driver.
+    ranks = counts.where(F.length("word") > 0).groupBy("n").agg(F.count("*").alias("words"))
+    least = ranks.withColumn("to", F.sum("words").over(Window.orderBy(F.desc("n")))).where(F.col("to") <= known).agg(F.min("n").alias("n")).first()["n"]
+    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where((F.length("word") > 0) & (F.col("n") >= F.lit(least))).collect()), key=lambda x: (-x[1], x[0]))
     words = [(_END, end["n"] if end else 0), *top]
     n_own = 1 + min(own, len(top))
     apart = {w for w, _ in words[:n_own]}
