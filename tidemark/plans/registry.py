@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import prices
+from . import decisions, prices, text
 
-MODULES = [prices]
+MODULES = [prices, text, decisions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
