@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, prices, text
+from . import decisions, more, prices, text
 
-MODULES = [prices, text, decisions]
+MODULES = [prices, text, decisions, more]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
