@@ -43,7 +43,7 @@ def _contracts(spark, d):
 def contract_gate(spark, d):
     found = options.evaluate(_contracts(spark, d))
     number = lambda c, n: F.round(F.col(c).cast("double"), n).alias(c)
-    return found.select("contract", "l_linenumber", F.array_join("rejections", ",").alias("rejections"), number("reserve", 2), number("premium", 2), number("breakeven", 4), number("cushion", 8), number("annualised", 8))
+    return found.select("contract", "l_linenumber", F.array_join("rejections", ",").alias("rejections"), number("reserve", 2), number("premium", 2), number("breakeven", 4), "cushion", "annualised")
 
 
 def capacity(spark, d):
@@ -216,7 +216,7 @@ UNION ALL SELECT market, CAST(day AS VARCHAR), 'dollar', dollar FROM p WHERE abs
 y AS (SELECT *, round(bid * (1 + l_tax), 2) AS ask FROM x), z AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {cond} THEN '{code}' END" for code, cond in _CODES)}], lambda v: v IS NOT NULL) AS r FROM y),
 n AS (SELECT *, len(r) = 0 AS ok, CAST(CAST(strike AS DECIMAL(18,4)) - CAST(bid AS DECIMAL(18,4)) AS DOUBLE) AS be FROM z)
 SELECT k AS contract, l_linenumber, array_to_string(r, ',') AS rejections, CASE WHEN ok THEN round(strike * 100, 2) END AS reserve, CASE WHEN ok THEN round(bid * 100, 2) END AS premium, CASE WHEN ok THEN round(be, 4) END AS breakeven,
-  CASE WHEN ok THEN round((price - be) / price, 8) END AS cushion, CASE WHEN ok THEN round(bid / strike * 365 / dte, 8) END AS annualised FROM n""",
+  CASE WHEN ok THEN (price - be) / price END AS cushion, CASE WHEN ok THEN bid / strike * 365 / dte END AS annualised FROM n""",
     "capacity": """WITH a AS (SELECT c_custkey, CAST(abs(c_acctbal) * 10 AS DECIMAL(18,2)) AS nlv, CAST(abs(c_acctbal) * (c_custkey % 5) AS DECIMAL(18,2)) AS cash, CAST(abs(c_acctbal) * 3 AS DECIMAL(18,2)) AS bp, CAST(c_custkey % 50 * 100 AS DECIMAL(18,2)) AS existing,
   CAST(c_custkey % 90 * 100 + 500 AS DECIMAL(18,2)) AS ceiling, c_nationkey * 100 + 333 AS tb, c_custkey % 4 AS wl FROM customer),
 i AS (SELECT *, CAST(nlv * 100 AS BIGINT) AS n FROM a),
