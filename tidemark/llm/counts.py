@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import crf
@@ -45,3 +45,21 @@ def document_keys(rows: DataFrame, label: str, starts: tuple[int, ...] = ()) ->
 
     kind = rows.schema[label].dataType.simpleString()
     return rows.select(label, "body").mapInArrow(run, f"{label} {kind}, hash bigint, n bigint").groupBy(label, "hash").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, label: str, most: int) -> DataFrame:
+    """The rows of counts(label, hash, n) with the greatest n of each label: all that share a count or none, `most` of a label at most.
+
+    Decided on the number of rows for each count, so neither a window nor the driver gets the rows of a label.
+    """
+    steps = counts.groupBy(label, "n").agg(F.count("*").alias("_rows"))
+    upto = steps.withColumn("_upto", F.sum("_rows").over(Window.partitionBy(label).orderBy(F.desc("n")))).where(F.col("_upto") <= most)
+    return counts.join(F.broadcast(upto.groupBy(label).agg(F.min("n").alias("_least"))), label).where("n >= _least").drop("_least")
+
+
+def about(value: Column, label: Column, sizes: dict, most: int) -> Column:
+    """Whether a row is in a sample of about `most` rows of each label (a fifth more, at first), by the hash of value; sizes: all rows of a label."""
+    rate = F.lit(0.0)
+    for name, n in sizes.items():
+        rate = F.when(label == name, F.lit(min(1.0, 1.2 * most / max(1, n)))).otherwise(rate)
+    return F.pmod(F.xxhash64(value, F.lit(17)), F.lit(1 << 30)) < rate * float(1 << 30)

@@ -17,9 +17,9 @@ import pyarrow as pa
 
 from . import chains
 
-#: Buckets of the hashed trigrams and of the affixes; batches in bytes of text and in words of chains.
+#: Buckets of the hashed trigrams and of the affixes; bytes of text whose features, and whose scores, are held at once, words of a batch of chains.
 GRAMS, AFFIXES = 1 << 16, 1 << 15
-_BYTES, _WORDS = 2 << 20, 300_000
+_BYTES, _SLICE, _WORDS = 2 << 20, 16 << 20, 300_000
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
@@ -168,30 +168,34 @@ def _weights(scores: np.ndarray) -> np.ndarray:
     return np.exp((scores - scores.max(axis=1, keepdims=True)).astype(np.float64))
 
 
-def marginals(model: RandomField, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over the words of every text: (words per text, word starts within their text, word lengths in bytes, marginals)."""
+def marginals(model: RandomField, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Forward-backward over the words of every text that has some, a group of texts of like length at a time.
+
+    Yields (numbers of the texts, their numbers of words, and for these words, text by text: places in the text and lengths, in
+    bytes, and marginals of the labels). Only the words' scores are held for more than one group.
+    """
     data, cuts = texts_of(column)
-    found, starts, ends, counts = [], [], [], []
-    for a, b in pieces(data, cuts):
-        words = Words(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
-        found.append(model.scores(words))
-        starts.append(words.start - (cuts[a:b] - cuts[a])[words.text])
-        ends.append(words.length)
-        counts.append(words.per_text)
-    join = lambda parts, empty: np.concatenate(parts) if parts else empty
-    per_text = join(counts, np.zeros(0, np.int64))
-    scores = join(found, np.zeros((0, len(model.labels)), np.float32))
-    out = np.empty((len(scores), len(model.labels)))
-    at = np.cumsum(per_text) - per_text
     initial, move = model.potentials()
-    for chosen in chains.packs(per_text, _WORDS):
-        layout = chains.Layout(per_text[chosen])
-        rows = np.repeat(at[chosen] - (np.cumsum(per_text[chosen]) - per_text[chosen]), per_text[chosen]) + np.arange(int(per_text[chosen].sum()))
-        emit = layout.spread(_weights(scores[rows]))
-        alpha, scale = chains.forward(layout, emit, initial, move)
-        alpha *= chains.backward(layout, emit, scale, move)
-        out[rows] = alpha[layout.place]
-    return per_text, join(starts, np.zeros(0, np.int64)), join(ends, np.zeros(0, np.int64)), out
+    for low, high in pieces(data, cuts, _SLICE):
+        found, starts, sizes, counts = [], [], [], []
+        for a, b in pieces(data[: cuts[high]], cuts[low : high + 1]):
+            a, b = a + low, b + low
+            words = Words(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+            found.append(model.scores(words))
+            starts.append((words.start - (cuts[a:b] - cuts[a])[words.text]).astype(np.int32))
+            sizes.append(words.length.astype(np.int32))
+            counts.append(words.per_text)
+        per_text, scores, start, size = (np.concatenate(x) for x in (counts, found, starts, sizes))
+        del found, starts, sizes
+        at = np.cumsum(per_text) - per_text
+        for chosen in chains.packs(per_text, _WORDS):
+            n = per_text[chosen]
+            layout = chains.Layout(n)
+            rows = np.repeat(at[chosen] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            emit = layout.spread(_weights(scores[rows]))
+            alpha, scale = chains.forward(layout, emit, initial, move)
+            alpha *= chains.backward(layout, emit, scale, move)
+            yield chosen + low, n, start[rows], size[rows], alpha[layout.place]
 
 
 def fit(model: RandomField, sequences: list[tuple[bytes, np.ndarray]], epochs: int, rate: float = 0.3, decay: float = 1e-6, group: int = 24, seed: int = 42) -> RandomField:

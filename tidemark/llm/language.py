@@ -13,16 +13,17 @@ training rows all texts are `und` with score 0; ids may be null or repeated (a n
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import fold
-from .counts import document_keys
+from .common import fold, with_body
+from .counts import about, document_keys, most_frequent
 
 #: Documents in the sample (as many of each language), the longest of them, words of a language in the lexicon, passes over the sample.
 SAMPLE, SAMPLE_BYTES, LEXICON, EPOCHS, MAX_LABELS = 1600, 20_000, 2000, 4, 64
@@ -34,12 +35,19 @@ def train(rows: DataFrame) -> crf.RandomField | None:
     labels = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect())
     if not labels:
         return None
-    top = document_keys(rows, "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "hash"))).where(F.col("k") <= LEXICON)
-    lexicon = np.unique(np.array([r["hash"] for r in top.where(F.col("lang").isin(labels)).select("hash").collect()], np.int64).view(np.uint64))
-    short = rows.where(F.length("body").between(1, SAMPLE_BYTES) & F.col("lang").isin(labels)).withColumn("h", F.xxhash64("body"))
-    # Keys first, so that the window moves and sorts no texts.
-    keys = short.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE // len(labels)).select("lang", "h")
-    chosen = short.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "h").agg(F.first("body").alias("body")).orderBy("h", "lang").collect()
+    top = most_frequent(document_keys(rows, "lang"), "lang", LEXICON).where(F.col("lang").isin(labels))
+    lexicon = np.unique(np.array([r["hash"] for r in top.select("hash").collect()], np.int64).view(np.uint64))
+    each = SAMPLE // len(labels)
+    short = rows.where(F.length("body").between(1, SAMPLE_BYTES) & F.col("lang").isin(labels))
+    sizes = {r["lang"]: r["count"] for r in short.groupBy("lang").count().collect()}
+    # Equal texts count once, so a large group of copies doesn't fill the sample.
+    some = short.where(about(F.col("body"), F.col("lang"), sizes, each)).groupBy("lang", F.xxhash64("body").alias("h")).agg(F.first("body").alias("body"))
+    taken: Counter[str] = Counter()
+    chosen = []
+    for r in some.orderBy("h", "lang").limit(2 * SAMPLE).collect():
+        taken[r["lang"]] += 1
+        if taken[r["lang"]] <= each:
+            chosen.append(r)
     model = crf.RandomField.empty(labels, lexicon)
     order = np.random.default_rng(7).permutation(len(chosen))
     parts = []
@@ -53,9 +61,8 @@ def train(rows: DataFrame) -> crf.RandomField | None:
 
 def predict(docs: DataFrame, model: crf.RandomField | None, carry: tuple[str, ...]) -> DataFrame:
     """docs(carry..., text) -> the carried columns, lang_pred and score: the largest mean marginal over the text's words."""
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*carry, has_letter.alias("_letter"), F.col("text").cast("binary").alias("_body"))
+    rows, schema, body = with_body(docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), (*carry, "_letter"))
+    schema = schema.replace("`_letter` boolean, ", "")
     if model is None:
         return rows.select(*carry, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -63,15 +70,14 @@ def predict(docs: DataFrame, model: crf.RandomField | None, carry: tuple[str, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            per_text, _, _, found = crf.marginals(m, batch.column(batch.num_columns - 1))
-            text = np.repeat(np.arange(len(per_text)), per_text)
-            means = np.stack([np.bincount(text, weights=found[:, j], minlength=len(per_text)) for j in range(len(m.labels))], axis=1)
-            means /= np.maximum(per_text, 1)[:, None]
-            some = np.asarray(batch.column(batch.num_columns - 2)) & (per_text > 0)
+            means = np.zeros((batch.num_rows, len(m.labels)))
+            for texts, n, _, _, found in crf.marginals(m, batch.column(batch.schema.get_field_index(body))):
+                means[texts] = np.add.reduceat(found, np.cumsum(n) - n, axis=0) / n[:, None]
+            some = np.asarray(batch.column(batch.schema.get_field_index("_letter"))) & (means.sum(axis=1) > 0)
             best = means.argmax(axis=1)
             names = [m.labels[j] if ok else "und" for j, ok in zip(best.tolist(), some.tolist(), strict=True)]
             score = np.where(some, np.clip(means[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names[:-2], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names[: len(carry)], "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"{schema}lang_pred string, score double")
 
