@@ -19,19 +19,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import fold
-from .counts import document_keys
+from .common import fold, with_body
+from .counts import about, document_keys
 
-#: Documents of each label in the sample, the longest of them, passes over them.
-SAMPLE, SAMPLE_BYTES, EPOCHS = 1000, 20_000, 4
+#: Documents of each label in the sample, the longest of them, passes over them, least steps of the fit, documents of a step.
+SAMPLE, SAMPLE_BYTES, EPOCHS, STEPS, GROUP = 1000, 20_000, 4, 150, 24
 #: Part of the toxic documents (5 at least) that a typical word occurs in, and part of its documents that are toxic.
 SUPPORT, PRECISION, LEAST = 0.03, 0.95, 5
-#: Lengths of word starts, most lexicon entries, least marginal of an offending word.
-STARTS, LEXICON, OFFENDING = (4, 5), 5000, 0.5
+#: Lengths of word starts, most lexicon entries, least marginal of an offending word and of one that counts.
+STARTS, LEXICON, OFFENDING, NEGLIGIBLE = (4, 5), 5000, 0.5, 0.1
 
 
 @dataclass
@@ -43,14 +43,30 @@ class Tagger:
         return 1 / (1 + np.exp(-(self.weights[0] + self.weights[1] * most + self.weights[2] * np.log1p(number))))
 
 
-def _summary(per_text: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(largest marginal, sum of the marginals that aren't negligible) of each text."""
-    text = np.repeat(np.arange(len(per_text)), per_text)
-    most = np.zeros(len(per_text))
-    some = per_text > 0
-    if some.any():
-        most[some] = np.maximum.reduceat(toxic, (np.cumsum(per_text) - per_text)[some])
-    return most, np.bincount(text, weights=np.where(toxic >= 0.1, toxic, 0), minlength=len(per_text))
+@dataclass
+class Marks:
+    """What the marginals of toxic words say of the texts of a batch."""
+
+    most: np.ndarray  # largest marginal of a text
+    number: np.ndarray  # sum of those that aren't negligible
+    text: list[int]  # text, place and length in bytes, and marginal of each offending word
+    start: list[int]
+    size: list[int]
+    marginal: list[float]
+
+    @staticmethod
+    def of(field: crf.RandomField, column: pa.Array) -> Marks:
+        out = Marks(np.zeros(len(column)), np.zeros(len(column)), [], [], [], [])
+        for texts, n, start, size, found in crf.marginals(field, column):
+            toxic, first = found[:, 1], np.cumsum(n) - n
+            out.most[texts] = np.maximum.reduceat(toxic, first)
+            out.number[texts] = np.add.reduceat(np.where(toxic >= NEGLIGIBLE, toxic, 0), first)
+            bad = np.flatnonzero(toxic >= OFFENDING)
+            out.text += np.repeat(texts, n)[bad].tolist()
+            out.start += start[bad].tolist()
+            out.size += size[bad].tolist()
+            out.marginal += toxic[bad].tolist()
+        return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -69,7 +85,8 @@ def labelled(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), parts) != held))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("body")).where(F.col("body").isNotNull())
-    return texts.join(known, "doc_id").select("toxic", "body"), known
+    # Labels may be many: the same join at every size, not a broadcast while they happen to be few.
+    return texts.join(known.hint("merge"), "doc_id").select("toxic", "body"), known
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> Tagger | None:
@@ -82,9 +99,11 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) ->
     counts = document_keys(rows, "toxic", STARTS).groupBy("hash").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n"))
     typical = counts.where((F.col("t") >= least) & (F.col("t") >= F.col("n") * PRECISION)).orderBy(F.desc("t"), "hash").limit(LEXICON)
     lexicon = np.array([r["hash"] for r in typical.select("hash").collect()], np.int64).view(np.uint64)
-    chosen = known.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("k") <= SAMPLE).select("doc_id", "toxic")
+    sizes = {0: n_toxic["all"] - n_toxic["n"], 1: n_toxic["n"]}
+    chosen = known.where(about(F.col("doc_id"), F.col("toxic"), sizes, SAMPLE)).limit(3 * SAMPLE)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("body")).where(F.length("body").between(1, SAMPLE_BYTES))
-    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("body")).limit(2 * SAMPLE).select("toxic", "body").collect()
+    some = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", F.xxhash64("body").alias("h")).agg(F.first("body").alias("body"))
+    sample = some.orderBy("h", "doc_id").limit(3 * SAMPLE).select("toxic", "body").collect()
     field = crf.RandomField.empty([0, 1], lexicon, STARTS)
     sequences = []
     for r in sample:
@@ -92,16 +111,15 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) ->
         words = crf.Words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
         hit = np.any([field.entries(k) < len(lexicon) for k in words.keys(STARTS)], axis=0)
         sequences.append((body, (hit & (r["toxic"] == 1)).astype(np.int64)))
-    field = crf.fit(field, sequences, EPOCHS)
-    per_text, _, _, found = crf.marginals(field, pa.array([s for s, _ in sequences], pa.binary()))
-    most, number = _summary(per_text, found[:, 1])
-    weights = _logistic(np.stack([np.ones(len(most)), most, np.log1p(number)], axis=1), np.array([r["toxic"] for r in sample], float), 0.1)
+    field = crf.fit(field, sequences, max(EPOCHS, -(-STEPS * GROUP // max(1, len(sequences)))), group=GROUP)
+    marks = Marks.of(field, pa.array([s for s, _ in sequences], pa.binary()))
+    weights = _logistic(np.stack([np.ones(len(sample)), marks.most, np.log1p(marks.number)], axis=1), np.array([r["toxic"] for r in sample], float), 0.1)
     return Tagger(field, weights)
 
 
 def tag(docs: DataFrame, tagger: Tagger | None, carry: tuple[str, ...]) -> DataFrame:
     """docs(carry..., text) -> carried columns, score, predicted, spans: (start, end, marginal) of offending words, in characters."""
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+    rows, schema, body = with_body(docs, carry)
     spans = "array<struct<start: bigint, end: bigint, marginal: double>>"
     if tagger is None:
         return docs.select(*carry, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.expr(f"cast(array() AS {spans})").alias("spans"))
@@ -111,19 +129,18 @@ def tag(docs: DataFrame, tagger: Tagger | None, carry: tuple[str, ...]) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            per_text, start, length, found = crf.marginals(t.field, texts)
-            score = t.score(*_summary(per_text, found[:, 1]))
-            places: list[list[dict]] = [[] for _ in per_text]
-            text = np.repeat(np.arange(len(per_text)), per_text)
-            for w in np.flatnonzero(found[:, 1] >= OFFENDING).tolist():
-                places[text[w]].append({"start": int(start[w]), "end": int(start[w] + length[w]), "marginal": float(found[w, 1])})
-            for own, body in zip(places, texts, strict=True):
-                if own and not (raw := body.as_py()).isascii():
+            texts = batch.column(batch.schema.get_field_index(body)).cast(pa.large_binary())
+            marks = Marks.of(t.field, texts)
+            score = t.score(marks.most, marks.number)
+            places: list[list[dict]] = [[] for _ in range(len(texts))]
+            for text, start, size, marginal in zip(marks.text, marks.start, marks.size, marks.marginal, strict=True):
+                places[text].append({"start": start, "end": start + size, "marginal": marginal})
+            for own, text in zip(places, texts, strict=True):
+                if own and not (raw := text.as_py()).isascii():
                     before = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
                     for p in own:
                         p["start"], p["end"] = int(before[p["start"]]), int(before[p["end"]])
             predicted = pa.array((score >= 0.5).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), predicted, pa.array(places, kind)], names=[*batch.schema.names[:-1], "score", "predicted", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(score), predicted, pa.array(places, kind)], names=[*batch.schema.names[: len(carry)], "score", "predicted", "spans"])
 
-    return docs.select(*carry, F.col("text").cast("binary").alias("_body")).mapInArrow(run, f"{schema}score double, predicted int, spans {spans}")
+    return rows.mapInArrow(run, f"{schema}score double, predicted int, spans {spans}")
