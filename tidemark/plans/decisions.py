@@ -277,7 +277,7 @@ SQL = {
     "latest_quote": "WITH l AS (SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY 1) SELECT c_custkey AS o_custkey, c_nationkey + 1 AS quantity, price, round(price * (c_nationkey + 1), 2) AS exposure FROM customer LEFT JOIN l ON c_custkey = o_custkey",
     "status_merge": "SELECT o_custkey % 300 AS key, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'preliminary' ELSE 'pending' END AS status, o_orderkey AS row_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 300 ORDER BY CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'P' THEN 2 ELSE 1 END DESC, o_orderdate DESC, o_orderkey % 2 DESC, o_orderkey DESC) = 1",
     "price_upsert": "SELECT event_type AS asset, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type, floor(epoch(ts) / 3600) ORDER BY event_id % 2 DESC, event_id DESC) = 1",
-    "replace_relations": f"WITH {_E}, o AS (SELECT source_id, topic, asset, min(edge_id) AS id, max(strength) AS strength FROM e GROUP BY ALL) SELECT source_id, topic, asset, id, CASE WHEN CAST(source_id AS INTEGER) < 300 THEN 1.0 ELSE strength END AS strength FROM o WHERE CAST(source_id AS INTEGER) >= 300 OR topic <> 'view' OR source_id NOT IN (SELECT source_id FROM o WHERE topic <> 'view')",
+    "replace_relations": f"WITH {_E}, o AS (SELECT source_id, topic, asset, min(edge_id) AS id, max(strength) AS strength FROM e GROUP BY ALL) SELECT source_id, topic, asset, id, CASE WHEN CAST(source_id AS INTEGER) < 300 AND topic <> 'view' THEN 1.0 ELSE strength END AS strength FROM o WHERE CAST(source_id AS INTEGER) >= 300 OR topic <> 'view' OR source_id NOT IN (SELECT source_id FROM o WHERE topic <> 'view')",
     "keep_newest": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3",
     "retention": "SELECT event_type, count(*) AS kept, min(event_id) AS first_id FROM events WHERE ts >= TIMESTAMP '2024-01-17 12:00:00' GROUP BY 1",
     "retention_cascade": "SELECT user_id AS asset, count(*) AS edges FROM events WHERE ts >= TIMESTAMP '2024-01-21 12:00:00' GROUP BY 1",
