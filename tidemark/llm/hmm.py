@@ -10,7 +10,7 @@ the class in training), and 1 / (N_b + V_b + 1) if it was never seen, as the bas
 
 Corpus work is spread: word counts are summed by a shuffle; only the `known` most frequent words go to the tasks, the others meet
 their counts in a join; expected counts of each Baum-Welch round are summed per task, then in two steps. The driver
-sees tables of states by classes. The first values of the model come from a bounded sample (START_DOCS documents of
+sees tables of states by classes. The first values of the model come from a bounded sample (about START_DOCS documents of
 at most START_TOKENS words); every round that shapes the model runs over all training documents.
 
 Defined cases: a null text is empty and has just its end; repeated rows count and score each by itself; a null id is
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import chains
 from .common import fold, stored
+from .counts import about
 
 #: Hidden states, rounds of Baum-Welch, words with a class of their own, words whose counts all tasks hold, other classes.
 STATES, ROUNDS, OWN, KNOWN, SHARED = 8, 3, 8192, 60_000, 1024
@@ -260,7 +261,8 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, rounds: int = ROUNDS,
     vocab = vocabulary(counts)
     known = stored(encoded(rows, vocab, ("doc_id", "held_out")), "encoded")
     train = known.where(~F.col("held_out"))
-    start = train.where(F.col("n_tokens") <= START_TOKENS).orderBy(F.xxhash64("row"), "row").limit(START_DOCS).select("classes")
+    short = train.where(F.col("n_tokens") <= START_TOKENS)
+    start = short.where(about(F.col("row"), F.lit(0), {0: short.count()}, START_DOCS)).orderBy("row").limit(2 * START_DOCS).select("classes")
     model = first_model([np.frombuffer(bytes(r["classes"]), np.uint16) for r in start.collect()], vocab.classes, states)
     for _ in range(rounds):
         model = improved(train, model)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, more, prices, text
+from . import decisions, more, news, prices, text
 
-MODULES = [prices, text, decisions, more]
+MODULES = [prices, text, decisions, more, news]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
