@@ -92,9 +92,10 @@ def substring_hits(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def signal_score(relevance: Column, impact: Column, timeliness: Column, credibility: Column, uniqueness: Column) -> Column:
-    """Weighted sum of five marks from 0 to 10, to one place."""
+    """Weighted sum of five marks from 0 to 10, to one place, halves up. Rounded in whole ten-thousandths, which no order of additions moves."""
     marks = ((relevance, 0.30), (impact, 0.25), (timeliness, 0.20), (credibility, 0.15), (uniqueness, 0.10))
-    return F.round(sum((F.least(F.lit(10.0), F.greatest(F.lit(0.0), m.cast("double"))) * w for m, w in marks), F.lit(0.0)), 1)
+    total = sum((F.least(F.lit(10.0), F.greatest(F.lit(0.0), m.cast("double"))) * w for m, w in marks), F.lit(0.0))
+    return F.floor((F.round(total * 10000) + 500) / 1000) / 10
 
 
 def opportunities(vix: Column, gold: Column, curve: Column, cny: Column) -> Column:

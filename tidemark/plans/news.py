@@ -232,7 +232,7 @@ SELECT n_nationkey AS card_id, n_nationkey AS asset, coalesce(positions, 0) AS p
     "categories": f"""WITH {_T}, k AS (SELECT *, [{", ".join(_CAT)}] AS s FROM x) SELECT event_id, CASE WHEN list_max(s) > 0 THEN {_list(signals.TAXONOMY)}[list_position(s, list_max(s))] ELSE 'other' END AS category,
   CASE WHEN {_has("text", signals.SEVERE)} THEN 'severe' WHEN {_has("text", ("tariff", "sanction", "rate"))} THEN 'high' ELSE 'normal' END AS severity, CASE WHEN event_id % 9 = 0 THEN 'official' WHEN event_id % 4 = 0 THEN 'first_party' WHEN event_id % 2 = 0 THEN 'reporting' ELSE 'discovery' END AS tier,
   CAST({" + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in ("war", "rate", "rally", "loss"))} AS INTEGER) AS hits FROM k""",
-    "signal_scores": "SELECT l_orderkey, l_linenumber, round(least(10.0::DOUBLE, greatest(0.0::DOUBLE, l_quantity / 5)) * 0.30::DOUBLE + least(10.0::DOUBLE, greatest(0.0::DOUBLE, l_discount * 100)) * 0.25::DOUBLE + least(10.0::DOUBLE, greatest(0.0::DOUBLE, l_tax * 100)) * 0.20::DOUBLE + least(10.0::DOUBLE, l_linenumber::DOUBLE) * 0.15::DOUBLE + least(10.0::DOUBLE, greatest(0.0::DOUBLE, (l_orderkey % 11 - 1)::DOUBLE)) * 0.10::DOUBLE, 1) AS score FROM lineitem",
+    "signal_scores": "SELECT l_orderkey, l_linenumber, floor((round(10000.0::DOUBLE * (least(10.0::DOUBLE, greatest(0.0::DOUBLE, l_quantity / 5)) * 0.30::DOUBLE + least(10.0::DOUBLE, greatest(0.0::DOUBLE, l_discount * 100)) * 0.25::DOUBLE + least(10.0::DOUBLE, greatest(0.0::DOUBLE, l_tax * 100)) * 0.20::DOUBLE + least(10.0::DOUBLE, l_linenumber::DOUBLE) * 0.15::DOUBLE + least(10.0::DOUBLE, greatest(0.0::DOUBLE, (l_orderkey % 11 - 1)::DOUBLE)) * 0.10::DOUBLE)) + 500) / 1000) / 10 AS score FROM lineitem",
     "opportunities": """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, list_filter([CASE WHEN l_quantity >= 30 THEN 'volatility_premium' END, CASE WHEN l_linenumber * 0.5 >= 1.5 THEN 'gold_momentum' END, CASE WHEN l_discount * 10 >= 0.5::DOUBLE THEN 'curve_steepening' END, CASE WHEN 7 - l_tax * 2 < 6.9::DOUBLE THEN 'yuan_strength' END], lambda v: v IS NOT NULL) AS o, l_tax FROM lineitem)
 SELECT id || ':opportunities:' || (p - 1) AS source_id, 'opportunities' AS kind, o[p] AS name FROM (SELECT id, o, unnest(range(1, len(o) + 1)) AS p FROM r) UNION ALL SELECT id || ':risks:0', 'risks', 'tax' FROM r WHERE l_tax > 0.05::DOUBLE""",
     "input_hashes": "SELECT p_partkey, sha256('{\"brand\":' || CASE WHEN p_partkey % 6 > 0 THEN '\"' || p_brand || '\"' ELSE 'null' END || ',\"size\":' || p_size || '}') AS hash FROM part",
