@@ -2,10 +2,11 @@
 
 A text is made canonical (A-Z lower-cased, lines that state a copyright dropped, all but letters and digits of any script turned to
 single blanks, equivalent spellings made one) and its SHA-256 is looked up, by a hash join, in the digests of known licence texts,
-made canonical in the same way. The same look-up is done for each line taken as a text, against one-line notices.
+made canonical in the same way. Each line, taken as a text, is looked up in the digests of one-line notices as well. A text is
+made canonical once, with its lines kept apart until both look-ups are served, and no row moves between tasks.
 
-Defined cases: a null text is like an empty one, whose canonical form is empty and which no licence has; rows with the same
-id and text get the same result; a null id is kept; an extra column passes through.
+Defined cases: a null text is like an empty one, whose canonical form is empty and which no licence has; repeated rows and null
+ids are kept, each with its result; extra columns pass through, but for those named like the three results, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,22 +18,32 @@ from .common import lowered
 from .licence_texts import NOTICES, SPELLINGS, TEXTS
 
 #: A line that states a copyright: its first word is one of these.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n©]*(copyright|\(c\)|©)[^\n]*$"
-_NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©]+"
+COPYRIGHT_LINE = r"(?md)^[^a-z0-9\n©]*(copyright|\(c\)|©)[^\n]*$"
+#: What parts words within a line; a lone blank does so already and is left as it is.
+_PARTS = r"\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F©"
+_NOT_WORD = rf"[{_PARTS}&&[^ ]][{_PARTS}]*| [{_PARTS}]+"
 _VARIANT = "( " + " | ".join(SPELLINGS) + " )"
 
 
-def canonical(text: Column) -> Column:
+def _words(text: Column) -> Column:
+    """The words of a text, and its line ends as words of their own, each between blanks."""
     bare = F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
-    words = F.concat(F.lit(" "), F.regexp_replace(bare, _NOT_WORD, " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.replace(F.regexp_replace(bare, _NOT_WORD, " "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+
+
+def _spelt(words: Column) -> Column:
+    """Equivalent spellings made one. Few texts have any of them; the others keep their words as they are."""
     pairs = [F.lit(x) for pair in SPELLINGS.items() for x in pair]
     same = F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(F.element_at(F.create_map(*pairs), w), w)), " ")
-    # Few texts have such a spelling at all; the others keep their words as they are.
-    return F.trim(F.when(words.rlike(_VARIANT), same).otherwise(words))
+    return F.when(words.rlike(_VARIANT), same).otherwise(words)
+
+
+def _digest(words: Column) -> Column:
+    return F.sha2(F.trim(F.regexp_replace(words, r" [ \n]+", " ")), 256)
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text), 256)
+    return _digest(_spelt(_words(text)))
 
 
 def known(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
@@ -42,15 +53,16 @@ def known(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) with digest, licence (of the entire text, or null) and notices, the sorted licences of its lines."""
+    """docs(text, ...) with digest, licence (of the entire text, or null) and notices, the sorted licences of its lines."""
     spark = docs.sparkSession
     whole = known(spark, {text: name for name, text in TEXTS.items()} if texts is None else texts)
-    lines = known(spark, NOTICES if notices is None else notices)
-    keep = [c for c in docs.columns if c not in ("digest", "licence", "notices")]
-    rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_hash"))
-    each = rows.select("_id", "_hash", F.explode(F.split("text", "\n")).alias("line"))
-    # The canonical form of a notice has no more letters than the line: shorter lines can't be one.
-    least = min((len(x) for x in (NOTICES if notices is None else notices)), default=0) // 2
-    hits = each.where(F.length("line") >= least).select("_id", "_hash", digest(F.col("line")).alias("digest")).join(F.broadcast(lines), "digest").groupBy("_id", "_hash").agg(F.array_sort(F.collect_set("licence")).alias("notices"))
-    found = rows.withColumn("digest", digest(F.col("text"))).join(F.broadcast(whole), "digest", "left").join(hits, ["_id", "_hash"], "left")
-    return found.select(*keep, "digest", "licence", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    # As many digests as notices were given: few enough for an expression.
+    of_line = [F.lit(x) for row in known(spark, NOTICES if notices is None else notices).collect() for x in row]
+    keep = [c for c in docs.columns if c.lower() not in ("digest", "licence", "notices")]
+    words = "_" * (1 + max(map(len, docs.columns)))
+    rows = docs.select("*", _words(F.col("text")).alias(words)).withColumn(words, _spelt(F.col(words)))
+    named = F.array().cast("array<string>")
+    if of_line:
+        named = F.transform(F.split(words, "\n"), lambda line: F.element_at(F.create_map(*of_line), _digest(line)))
+    found = rows.select(*keep, _digest(F.col(words)).alias("digest"), F.array_sort(F.array_distinct(F.array_compact(named))).alias("notices"))
+    return found.join(F.broadcast(whole), "digest", "left").select(*keep, "digest", "licence", "notices")
