@@ -117,6 +117,22 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_canonical_text(spark):
+    """Digests against plain Python: capitals of other scripts, carriage returns, blank lines, doubled blanks, symbols within words."""
+    import hashlib
+
+    def plain(text):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        low = re.sub(r"(?m)^[^a-z0-9\n©]*(copyright|\(c\)|©)[^\n]*", " ", low)
+        words = re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F©]+", low)
+        return hashlib.sha256(" ".join(licences.SPELLINGS.get(w, w) for w in words if w).encode()).hexdigest()
+
+    texts = ["Éa ÄB Σς İI", "a\rCopyright x\nb", "A  b\n\n \nC\t-d", "  \n", "Licence\nLICENCE licence", "(C) gone\nstays © here", "x\x1cy\n", "straße Ünder\r\n© z", None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.digest for r in licences.scan(docs).collect()}
+    assert got == {t: plain(t) for t in texts}
+
+
 TOOLS = {"sum": {"a": ("integer", True), "b": ("number", False)}, "say": {"text": ("string", True)}}
 
 
