@@ -199,6 +199,18 @@ def test_near_texts(spark):
     assert near_texts.unique_texts(docs.limit(0)).count() == 0
 
 
+def test_near_texts_that_differ_in_repeats_only(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(20):
+        body, line = ([f"v{rng.randrange(5000)}" for _ in range(n)] for n in (300, 12))
+        few, many = (" ".join(body + line * n) for n in (2, 60))
+        assert jaccard(few, many) == 1
+        rows += [(i, few), (100 + i, many)]
+    got = near_texts.unique_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(20))
+
+
 def test_pipeline_against_its_stages_in_plain_python(spark, tmp_path):
     """Near-duplicates, contamination and mix recomputed in plain Python from what the two models keep."""
     rng = random.Random(11)
