@@ -211,6 +211,22 @@ def test_near_texts_that_differ_in_repeats_only(spark):
     assert sorted(r.doc_id for r in got) == list(range(20))
 
 
+def test_near_texts_on_both_sides_of_the_threshold(spark):
+    """Texts of 200 words with their ends changed: J just below, at and above 0.8."""
+    rng = random.Random(22)
+    rows, gone = [], set()
+    for i in range(120):
+        words = [f"u{rng.randrange(100_000)}" for _ in range(184)]
+        changed = 14 + 2 * (i % 12)
+        other = words[: 184 - changed] + [f"o{rng.randrange(100_000)}" for _ in range(changed)]
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(other))]
+        if jaccard(rows[-1][1], rows[-2][1]) >= 0.8:
+            gone.add(1000 + i)
+    assert 10 < len(gone) < 60 and any(jaccard(rows[2 * i][1], rows[2 * i + 1][1]) == 0.8 for i in range(120))
+    got = near_texts.unique_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {i for i, _ in rows} - {r.doc_id for r in got} == gone
+
+
 def test_pipeline_against_its_stages_in_plain_python(spark, tmp_path):
     """Near-duplicates, contamination and mix recomputed in plain Python from what the two models keep."""
     rng = random.Random(11)
