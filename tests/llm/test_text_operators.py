@@ -227,6 +227,28 @@ def test_near_texts_on_both_sides_of_the_threshold(spark):
     assert {i for i, _ in rows} - {r.doc_id for r in got} == gone
 
 
+def test_near_texts_of_a_large_group_meet_in_bounded_blocks(spark, monkeypatch):
+    """300 near copies of a text, and 60 texts that share most of it but are no near-duplicates of it or of each other."""
+    rng = random.Random(23)
+    new = lambda n: [f"u{rng.randrange(1_000_000)}" for _ in range(n)]
+    base = new(200)
+    rows = [(i, " ".join(base[:-1] + new(1))) for i in range(300)] + [(1000 + i, " ".join(base[:162] + new(38))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = []
+    plain = type(docs).mapInPandas
+
+    def watched(df, *args, **more):
+        met.append(df.groupBy("shard").count().agg(F.max("count")).first()[0] or 0)
+        return plain(df, *args, **more)
+
+    monkeypatch.setattr(type(docs), "mapInPandas", watched)
+    monkeypatch.setattr(near_texts, "SHARD", 30, raising=False)
+    monkeypatch.setattr(near_texts, "BLOCK", 20, raising=False)
+    got = near_texts.unique_texts(docs).collect()
+    assert sorted(r.doc_id for r in got) == [0, *range(1000, 1060)]
+    assert len(met) > 2 and max(met) <= 80
+
+
 def test_pipeline_against_its_stages_in_plain_python(spark, tmp_path):
     """Near-duplicates, contamination and mix recomputed in plain Python from what the two models keep."""
     rng = random.Random(11)
