@@ -11,17 +11,23 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, a temporary one, but only if driver and tasks are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="scratch-")
     return _own["dir"]
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """df written once to the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation.
+
+    All tables of an application lie in one folder named by its id, which may be removed once the application has ended.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
