@@ -176,9 +176,10 @@ def marginals(model: RandomField, column: pa.Array) -> Iterator[tuple[np.ndarray
     """
     data, cuts = texts_of(column)
     initial, move = model.potentials()
-    for low, high in pieces(data, cuts, _SLICE):
+    share = max(1, len(model.labels) // 4)  # of many labels fewer words are held at once
+    for low, high in pieces(data, cuts, _SLICE // share):
         found, starts, sizes, counts = [], [], [], []
-        for a, b in pieces(data[: cuts[high]], cuts[low : high + 1]):
+        for a, b in pieces(data[: cuts[high]], cuts[low : high + 1], _BYTES // share):
             a, b = a + low, b + low
             words = Words(data[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
             found.append(model.scores(words))
@@ -188,7 +189,7 @@ def marginals(model: RandomField, column: pa.Array) -> Iterator[tuple[np.ndarray
         per_text, scores, start, size = (np.concatenate(x) for x in (counts, found, starts, sizes))
         del found, starts, sizes
         at = np.cumsum(per_text) - per_text
-        for chosen in chains.packs(per_text, _WORDS):
+        for chosen in chains.packs(per_text, _WORDS // share):
             n = per_text[chosen]
             layout = chains.Layout(n)
             rows = np.repeat(at[chosen] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -198,8 +199,14 @@ def marginals(model: RandomField, column: pa.Array) -> Iterator[tuple[np.ndarray
             yield chosen + low, n, start[rows], size[rows], alpha[layout.place]
 
 
+def _slopes(name: str, where: np.ndarray, off: np.ndarray, k: int) -> tuple[str, np.ndarray, np.ndarray]:
+    """The rows of a table of weights that a batch touches, and their slopes."""
+    rows, at = np.unique(where, return_inverse=True)
+    return name, rows, np.stack([np.bincount(at, weights=off[:, j], minlength=len(rows)) for j in range(k)], axis=1) if len(rows) else np.zeros((0, k))
+
+
 def fit(model: RandomField, sequences: list[tuple[bytes, np.ndarray]], epochs: int, rate: float = 0.3, decay: float = 1e-6, group: int = 24, seed: int = 42) -> RandomField:
-    """Weights by AdaGrad on the conditional likelihood of labelled texts: (text, label of each of its words)."""
+    """Weights by AdaGrad on the conditional likelihood of labelled texts: (text, label of each of its words). A step changes the rows it touches only."""
     rng = np.random.default_rng(seed)
     k = len(model.labels)
     names = ("gram", "end", "head", "lex", "bias", "move", "first")
@@ -228,14 +235,15 @@ def fit(model: RandomField, sequences: list[tuple[bytes, np.ndarray]], epochs: i
             seen = np.zeros((k, k))
             np.add.at(seen, (truth[np.flatnonzero(inner) - 1], truth[inner]), 1)
             n = len(truth)
-            slope = {"bias": off.sum(axis=0), "move": seen - pairs, "first": off[start].sum(axis=0)}
             spread = off[np.repeat(np.arange(n), words.length)]
-            for name, where, g, size in (("gram", gram, spread, GRAMS), ("end", end, off, AFFIXES), ("head", head, off, AFFIXES), *(("lex", e, off, len(model.lexicon) + 1) for e in entries)):
-                slope[name] = slope.get(name, 0) + np.stack([np.bincount(where, weights=g[:, j], minlength=size) for j in range(k)], axis=1)
-            slope["lex"][-1] = 0
-            for name in names:
+            known = [e < len(model.lexicon) for e in entries]
+            parts = [
+                ("gram", gram, spread), ("end", end, off), ("head", head, off),
+                ("lex", np.concatenate([e[k] for e, k in zip(entries, known, strict=True)]), np.concatenate([off[k] for k in known])),
+            ]
+            for name, rows, slope in [("bias", slice(None), off.sum(axis=0)), ("move", slice(None), seen - pairs), ("first", slice(None), off[start].sum(axis=0)), *(_slopes(*p, k) for p in parts)]:
                 w = getattr(model, name)
-                g = slope[name] / np.sqrt(n) - decay * w
-                past[name] += g * g
-                w += (rate * g / np.sqrt(past[name])).astype(w.dtype)
+                g = slope / np.sqrt(n) - decay * w[rows]
+                past[name][rows] += g * g
+                w[rows] += (rate * g / np.sqrt(past[name][rows])).astype(w.dtype)
     return model

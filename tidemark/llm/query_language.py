@@ -11,7 +11,7 @@ from .language import identify
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
-    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "runs")
 
 
 QUERIES = {"op6_language_id": languages}
