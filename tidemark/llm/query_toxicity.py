@@ -12,7 +12,7 @@ from .toxicity import tag, train
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     tagger = train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return tag(docs, tagger, ("doc_id",)).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return tag(docs, tagger, ("doc_id",)).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "spans")
 
 
 QUERIES = {"op10_toxicity": toxicity}
