@@ -50,9 +50,11 @@ def forward(layout: Layout, emit: np.ndarray, initial: np.ndarray, move: np.ndar
     return alpha, scale
 
 
-def backward(layout: Layout, emit: np.ndarray, scale: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Scaled backward variables: alpha * beta are the posteriors of the states."""
+def backward(layout: Layout, emit: np.ndarray, scale: np.ndarray, move: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """Scaled backward variables: alpha * beta are the posteriors of the states. last: those of the last element of a single chain that goes on."""
     beta = np.ones_like(emit)
+    if last is not None:
+        beta[-1] = last
     weighed = emit / scale[:, None]
     back = np.ascontiguousarray(move.T)
     for t in range(len(layout.alive) - 2, -1, -1):

@@ -10,11 +10,13 @@ the class in training), and 1 / (N_b + V_b + 1) if it was never seen, as the bas
 
 Corpus work is spread: word counts are summed by a shuffle; only the `known` most frequent words go to the tasks, the others meet
 their counts in a join; expected counts of each Baum-Welch round are summed per task, then in two steps. The driver
-sees tables of states by classes. The first values of the model come from a bounded sample (about START_DOCS documents of
-at most START_TOKENS words); every round that shapes the model runs over all training documents.
+sees tables of states by classes. The first values of the model come from a bounded sample (windows of at most START_TOKENS words of
+about START_DOCS documents); every round that shapes the model runs over all training documents. Texts of more than PIECE
+tokens are gone through piece by piece, the recursions carried over each cut.
 
 Defined cases: a null text is empty and has just its end; repeated rows count and score each by itself; a null id is
-the empty string for the fold; without training rows every word is unknown, and the model is uniform.
+the empty string for the fold; without training rows every word is unknown, and the model is uniform; words whose counts agree in their
+eight leading bits are known together or not at all; other columns of the table don't appear in the result.
 """
 
 from __future__ import annotations
@@ -28,21 +30,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chains
 from .common import fold, stored
-from .counts import about
+from .counts import about, least_counts
 
 #: Hidden states, rounds of Baum-Welch, words with a class of their own, words whose counts all tasks hold, other classes.
 STATES, ROUNDS, OWN, KNOWN, SHARED = 8, 3, 8192, 60_000, 1024
 #: The sample that gives the first values: documents, their longest length, rounds, seed.
 START_DOCS, START_TOKENS, START_ROUNDS, SEED = 800, 1500, 12, 42
+#: Tokens of a piece of a long text.
+PIECE = 1 << 18
 _END = b""  # no word is empty
 _FLUSH = 500_000  # distinct words that a task counts before it passes them on
 _TOKENS = 300_000  # tokens of one batch of chains
-_PIECE = 1 << 20  # training cuts a longer document into pieces of this many tokens
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -97,9 +100,9 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, own: int = OWN, known: int = KNOWN) -> Vocabulary:
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     end = counts.where(F.length("word") == 0).first()
-    # Words of equal count stay together; an ordered limit would send that many words from each task to the driver.
-    ranks = counts.where(F.length("word") > 0).groupBy("n").agg(F.count("*").alias("words"))
-    least = ranks.withColumn("to", F.sum("words").over(Window.orderBy(F.desc("n")))).where(F.col("to") <= known).agg(F.min("n").alias("n")).first()["n"]
+    # Words of like count stay together; an ordered limit would send that many words from each task to the driver.
+    least = least_counts(counts.where(F.length("word") > 0).select(F.lit(0).alias("all"), "n"), "all", known).first()
+    least = least["least"] if least else None
     top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where((F.length("word") > 0) & (F.col("n") >= F.lit(least))).collect()), key=lambda x: (-x[1], x[0]))
     words = [(_END, end["n"] if end else 0), *top]
     n_own = 1 + min(own, len(top))
@@ -175,19 +178,57 @@ class Model:
 def _expected(model: Model, sequences: list[np.ndarray], into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
     """Adds the expected counts of class sequences to (initial, transitions, classes by states)."""
     first, pairs, out = into
-    pieces = [s[a : a + _PIECE] for s in sequences for a in range(0, len(s), _PIECE)]
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    for chosen in chains.packs(lengths, _TOKENS):
+    lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    for i in np.flatnonzero(lengths > PIECE).tolist():
+        _expected_in_pieces(model, sequences[i], into)
+    for chosen in chains.packs(np.where(lengths > PIECE, 0, lengths), _TOKENS):
         layout = chains.Layout(lengths[chosen])
-        cls = layout.spread(np.concatenate([pieces[i] for i in chosen.tolist()])).astype(np.int64)
+        cls = layout.spread(np.concatenate([sequences[i] for i in chosen.tolist()])).astype(np.int64)
         emit = model.emit[cls]
         alpha, scale = chains.forward(layout, emit, model.initial, model.move)
         beta = chains.backward(layout, emit, scale, model.move)
         pairs += chains.pair_counts(layout, alpha, beta, emit, scale, model.move)
         alpha *= beta
         first += alpha[: layout.alive[0]].sum(axis=0)
-        for k in range(alpha.shape[1]):
-            out[:, k] += np.bincount(cls, weights=alpha[:, k], minlength=len(out))
+        _count(out, cls, alpha)
+
+
+def _count(out: np.ndarray, cls: np.ndarray, posterior: np.ndarray) -> None:
+    for k in range(posterior.shape[1]):
+        out[:, k] += np.bincount(cls, weights=posterior[:, k], minlength=len(out))
+
+
+def _expected_in_pieces(model: Model, sequence: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """_expected of one long sequence: forward over its pieces for what each starts from, then backward with what each ends on."""
+    first, pairs, out = into
+    pieces = [sequence[a : a + PIECE].astype(np.int64) for a in range(0, len(sequence), PIECE)]
+    before = [None]  # the last forward variables of the piece before
+    for piece in pieces[:-1]:
+        initial = model.initial if before[-1] is None else before[-1] @ model.move
+        before.append(chains.forward(chains.Layout(np.array([len(piece)])), model.emit[piece], initial, model.move)[0][-1])
+    last = None
+    for piece, left in zip(reversed(pieces), reversed(before), strict=True):
+        layout, emit = chains.Layout(np.array([len(piece)])), model.emit[piece]
+        alpha, scale = chains.forward(layout, emit, model.initial if left is None else left @ model.move, model.move)
+        beta = chains.backward(layout, emit, scale, model.move, last)
+        pairs += chains.pair_counts(layout, alpha, beta, emit, scale, model.move)
+        onward = emit[0] * beta[0] / scale[0]
+        if left is None:
+            first += alpha[0] * beta[0]
+        else:
+            pairs += model.move * np.outer(left, onward)
+        last = model.move @ onward
+        _count(out, piece, alpha * beta)
+
+
+def log_total(model: Model, sequence: np.ndarray) -> float:
+    """Log of the probability of one long sequence, forward over its pieces."""
+    initial, total = model.initial, 0.0
+    for a in range(0, len(sequence), PIECE):
+        piece = sequence[a : a + PIECE].astype(np.int64)
+        alpha, scale = chains.forward(chains.Layout(np.array([len(piece)])), model.emit[piece], initial, model.move)
+        initial, total = alpha[-1] @ model.move, total + float(np.log(scale).sum())
+    return total
 
 
 def _zeros(states: int, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,7 +284,9 @@ def likelihoods(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFr
             sequences = [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(batch.num_columns - 1)]
             lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
             out = np.zeros(len(sequences))
-            for chosen in chains.packs(lengths, _TOKENS):
+            for i in np.flatnonzero(lengths > PIECE).tolist():
+                out[i] = log_total(m, sequences[i]) / np.log(10)
+            for chosen in chains.packs(np.where(lengths > PIECE, 0, lengths), _TOKENS):
                 layout = chains.Layout(lengths[chosen])
                 cls = layout.spread(np.concatenate([sequences[i] for i in chosen.tolist()])).astype(np.int64)
                 _, scale = chains.forward(layout, m.emit[cls], m.initial, m.move)
@@ -254,21 +297,29 @@ def likelihoods(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFr
     return docs.select(*carry, "classes").mapInArrow(run, f"{schema}log_classes double")
 
 
-def score(docs: DataFrame, parts: int = 7, held: int = 2, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    rows = docs.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), F.col("text").cast("binary").alias("body"))
+def fitted(rows: DataFrame, rounds: int = ROUNDS, states: int = STATES, own: int = OWN, known: int = KNOWN) -> tuple[DataFrame, Vocabulary, DataFrame, Model]:
+    """rows(doc_id, held_out, body) -> (counts of the training words, vocabulary, all rows encoded, model)."""
     counts = stored(word_counts(rows.where(~F.col("held_out")).select("body")), "word-counts")
-    vocab = vocabulary(counts)
-    known = stored(encoded(rows, vocab, ("doc_id", "held_out")), "encoded")
-    train = known.where(~F.col("held_out"))
-    short = train.where(F.col("n_tokens") <= START_TOKENS)
-    start = short.where(about(F.col("row"), F.lit(0), {0: short.count()}, START_DOCS)).orderBy("row").limit(2 * START_DOCS).select("classes")
+    vocab = vocabulary(counts, own, known)
+    coded = stored(encoded(rows, vocab, ("doc_id", "held_out")), "encoded")
+    train = coded.where(~F.col("held_out"))
+    # Of a longer text a window, at a place given by the row; two bytes a class.
+    late = F.pmod(F.xxhash64("row", F.lit(3)), F.greatest(F.col("n_tokens") - START_TOKENS + 1, F.lit(1)))
+    window = F.substring(F.col("classes"), (late * 2 + 1).cast("int"), F.lit(2 * START_TOKENS)).alias("classes")
+    start = train.where(about(F.col("row"), F.lit(0), {0: train.count()}, START_DOCS)).orderBy("row").limit(2 * START_DOCS).select(window)
     model = first_model([np.frombuffer(bytes(r["classes"]), np.uint16) for r in start.collect()], vocab.classes, states)
     for _ in range(rounds):
         model = improved(train, model)
-    rare = known.where(F.length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("w")).select("row", F.col("w").cast("binary").alias("word"))
+    return counts, vocab, coded, model
+
+
+def score(docs: DataFrame, parts: int = 7, held: int = 2, rounds: int = ROUNDS, states: int = STATES, own: int = OWN, known: int = KNOWN) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    rows = docs.select("doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), F.col("text").cast("binary").alias("body"))
+    counts, vocab, coded, model = fitted(rows, rounds, states, own, known)
+    rare = coded.where(F.length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("w")).select("row", F.col("w").cast("binary").alias("word"))
     met = rare.join(counts, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("log_rare"), F.count("*").alias("rare_known"))
-    found = likelihoods(known, model, ("doc_id", "held_out", "row", "n_tokens", "known", "log_shared", "log_known")).join(met, "row", "left")
+    found = likelihoods(coded, model, ("doc_id", "held_out", "row", "n_tokens", "known", "log_shared", "log_known")).join(met, "row", "left")
     log_rare = F.coalesce("log_rare", F.lit(0.0))
     base = F.log10(F.lit(float(vocab.tokens + vocab.distinct + 1)))
     return found.select(
