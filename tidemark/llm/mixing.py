@@ -6,12 +6,13 @@ the number; one offset per source is added and a copy is emitted for each intege
 size keeps the words taken within about one document's size of the target.
 
 A source may hold any share of all rows: no window runs over the rows of a source. Rows are counted by (source,
-size, bucket of the id), the counts are summed up within (source, size) and over the sizes of a source, and only the
-rows of one such bucket are numbered together.
+size, bucket of the id and the text), the counts are summed up within (source, size) and over the sizes of a source, and only the
+rows of one such bucket are numbered together. The windows over sources alone run over one row a source.
 
 Defined cases: a null or blank text has size 0 and is sampled like any other; a null source is a source of its own, after
-all others; a null id is the empty string when rows are dealt to buckets; repeated rows are rows of their own; an
-empty table gives an empty result; other columns pass through.
+all others; a null id is the empty string, and a null text like an empty one, when rows are dealt to buckets; rows of one id are told apart by their texts, so reruns
+take the same texts, and rows equal in id, text and source take each other's place; very long texts are counted whole; an
+empty table gives an empty result; other columns pass through, but for those named like a result (in any case), which it replaces.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, Aside, stored
 
 #: Weights that the sources take in turn, in order of code point.
 WEIGHTS = (3, 1, 2)
 #: Words to take, as thousandths of all words, and the most that one source may give, as a multiple of its size.
 SHARE, MOST = 1500, 2
+RESULTS = ("size", "source_size", "target", "copies", "taken")
 _HEX = 3  # hex digits of the bucket: 4096 buckets for each size of a source
 
 
@@ -62,16 +64,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return limited.select("_src", "_none", "source_size", F.when(F.col("_full"), (F.col("source_size") * most).cast("double")).otherwise(words).alias("target"), "_full")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """docs(doc_id, text, source, ...) with size, source_size, target, copies and taken added."""
-    rows = docs.withColumns(
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE, most: int = MOST, seed: str = "mix", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """docs(doc_id, text, source, ...) (or their columns in carry) with size, source_size, target, copies and taken added."""
+    aside = Aside(docs, ("doc_id", "text", "source"), RESULTS, carry)
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    rows = aside.rows.withColumns(
         {
             "_src": F.coalesce(F.col("source").cast("string"), F.lit("")),
             "_none": F.col("source").isNull(),
             "size": word_count(F.col("text")),
-            "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+            "_key": F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest),
         }
-    ).withColumn("_bucket", F.substring(F.md5(F.col("_id")), 1, _HEX))
+    ).withColumn("_bucket", F.substring(F.md5(F.col("_key")), 1, _HEX))
+    if "text" not in aside.carry:
+        # Without the text a row is small, and its words need no second counting.
+        rows = stored(rows.drop("text"), "sized")
     key = ["_src", "_none"]
     counts = rows.groupBy(*key, "size", "_bucket").agg(F.count("*").alias("_n"))
     in_size = Window.partitionBy(*key, "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,18 +89,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE,
     sizes = by_size.groupBy(*key).agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
     starts = by_bucket.join(smaller.join(targets, key), [*key, "size"]).select(*key, "size", "_bucket", (F.col("_before") + F.col("_smaller")).alias("_start"), "source_size", "target", "_full")
-    group = Window.partitionBy(*key, "size", "_bucket").orderBy("_id")
+    group = Window.partitionBy(*key, "size", "_bucket").orderBy("_key")
     numbered = rows.withColumn("_row", F.row_number().over(group)).join(starts, [*key, "size", "_bucket"])
     offset = (F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_src"))), 1, 4), 16, 10).cast("double") + 0.5) / 65536.0
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     at = lambda n: F.floor(ratio * n.cast("double") + offset)
     crossed = F.least(at(F.col("_start") + F.col("_row")) - at(F.col("_start") + F.col("_row") - 1), F.lit(most))
     copies = F.when(F.col("_full"), F.when(F.col("source_size") > 0, F.lit(most)).otherwise(F.lit(0))).otherwise(crossed).cast("long")
-    return (
-        numbered.withColumn("copies", copies)
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*docs.columns, "size", "source_size", "target", "copies", "taken")
-    )
+    return aside.restored(numbered.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")), *RESULTS)
 
 
 def emitted(mixed: DataFrame) -> DataFrame:

@@ -10,14 +10,14 @@ from .mixing import mix
 
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs, carry=("doc_id",)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {"op7_mixing": mixing}
 SQL = {
     "op7_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS id, coalesce(source, '') AS src, source IS NULL AS none,
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, '')) AS id, coalesce(source, '') AS src, source IS NULL AS none,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 numbered AS (
