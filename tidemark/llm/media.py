@@ -7,12 +7,13 @@ digest occurs more than once are kept once, in a table of their own by digest, a
 itself, where no join has to fetch them.
 
 Which digests repeat is counted over all files by a shuffle of digests. The tasks that write the store get a Bloom filter of
-the repeated ones, of fixed size: what it holds by mistake goes to the shared table too, so only the place of a chunk depends
-on it, and the store is exact whatever the filter's load. Reading back joins the lists to the shared table by digest, orders the
+the repeated ones, of FILTER_LOAD bits for each, MOST_BITS at most, which bounds the broadcast: what it holds by mistake goes to the shared table too, so only
+the place of a chunk depends on it, and the store is exact whatever the filter's load (beyond some 10^8 repeated digests more chunks
+move than have to). Reading back joins the lists to the shared table by digest, orders the
 chunks, and checks the length and digest of every file; files of equal content are read once.
 
 Defined cases: a null text is empty (one block of bytes 255); equal texts give equal values; repeated rows give a row
-each; ids may be null or repeated; an empty table gives an empty result.
+each; ids may be null or repeated; an empty table gives an empty result; very long texts are kept whole, a chunk at a time; carried columns named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Aside, stored
 
 #: Bytes of a block of samples, the filling byte, samples a second.
 BLOCK, FILL, RATE = 576, 255, 8000
 #: Least and greatest bytes of a chunk, top bits of the hash that are zero at a cut (mean 4096 bytes between cuts).
 LEAST, MOST, CUT_BITS = 1024, 16384, 12
-#: Bits and hash functions of the filter of repeated digests.
-FILTER_BITS, FILTER_HASHES = 1 << 25, 5
+#: Bits for each repeated digest, least and most bits and hash functions of their filter.
+FILTER_LOAD, LEAST_BITS, MOST_BITS, FILTER_HASHES = 10, 1 << 16, 1 << 30, 5
+RESULTS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 _HEADER = 44
 _GEAR = np.random.Generator(np.random.PCG64(576)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
@@ -90,7 +92,7 @@ def digest(chunk: bytes) -> bytes:
 class DigestFilter:
     """A Bloom filter of digests; their own bytes are its hashes."""
 
-    def __init__(self, bits: int = FILTER_BITS):
+    def __init__(self, bits: int):
         self.bits = np.zeros(bits // 8, np.uint8)
         self.size = bits
 
@@ -106,8 +108,8 @@ class DigestFilter:
         return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
-def repeated(texts: DataFrame, bits: int = FILTER_BITS) -> DigestFilter:
-    """The filter of the digests that occur more than once in texts(body)."""
+def repeated(texts: DataFrame, bits: int | None = None) -> DigestFilter:
+    """The filter, of given bits or by their number, of the digests that occur more than once in texts(body)."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +130,9 @@ def repeated(texts: DataFrame, bits: int = FILTER_BITS) -> DigestFilter:
         total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"]])
         return pd.DataFrame({"piece": [rows["piece"].iloc[0]], "bits": [total.tobytes()]})
 
-    often = texts.mapInArrow(listed, "digest binary").groupBy("digest").count().where("count > 1").select("digest")
+    often = stored(texts.mapInArrow(listed, "digest binary").groupBy("digest").count().where("count > 1").select("digest"), "repeated-digests")
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (often.count() * FILTER_LOAD).bit_length()))
     out = DigestFilter(bits)
     step = len(out.bits) // 64
     for r in often.mapInPandas(filtered, "piece int, bits binary").groupBy("piece").applyInPandas(joined, "piece int, bits binary").toLocalIterator():
@@ -139,7 +143,7 @@ def repeated(texts: DataFrame, bits: int = FILTER_BITS) -> DigestFilter:
 _FILE = "n_bytes bigint, media_bytes bigint, media_sha256 string, chunks array<struct<digest: binary, body: binary>>"
 
 
-def write_store(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def write_store(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """docs(carry..., text) -> (files: carry and n_bytes, media_bytes, media_sha256, chunks; shared: digest, body), both in the shared folder.
 
     A chunk of a file has its body, or if that is null its digest names a row of the shared table.
@@ -212,7 +216,9 @@ def features(read: DataFrame) -> DataFrame:
 
 
 def media_features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    files, shared = write_store(docs, carry)
+    """docs(carry..., text) -> the carried columns and RESULTS, from the bytes that the store gives back."""
+    aside = Aside(docs, ("text",), RESULTS, carry)
+    files, shared = write_store(aside.rows, aside.carry)
     # A file without shared chunks is the only one of its content, unless rows of a task met by chance; one row of each suffices.
     found = features(read_store(files, shared)).dropDuplicates(["media_sha256"])
-    return files.select(*carry, "n_bytes", "media_sha256").join(found, "media_sha256")
+    return aside.restored(files.select(*aside.carry, "n_bytes", "media_sha256").join(found, "media_sha256"), *RESULTS)
