@@ -6,12 +6,13 @@ is judged by the first level that doesn't hold it: listed if that is an even one
 few bits a key, and no page is joined to a list.
 
 The universe is cut into shards by hash, each with a cascade of its own that one task builds from some SHARD_KEYS keys.
-All cascades go to the tasks by broadcast if their measured bytes are within LIMIT; otherwise the pages are dealt to
-the shards and each task takes the cascades of its own ones.
+All cascades go to the tasks by broadcast if their measured bytes are within LIMIT (some fifty million listed keys); otherwise the pages are dealt to
+the shards, those of a hot shard to several parts of about PART_ROWS rows by their place in the table, and each task takes the cascade of its own shard.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, which no rule fits and which is a key like
 any other; a key outside the universe (none here: it is taken from the same table) may be taken for listed; without listed keys every
-key is allowed; repeated rows are judged each for itself.
+key is allowed; repeated rows are judged each for itself; urls of any length are judged whole; an empty table gives an empty result; other columns
+pass through, but for those named like a result (in any case), which it replaces.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, stored
+from .common import Aside, lowered, stored
 
 #: (verdict, host, path start).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Keys of a shard, most bytes of all cascades for a broadcast, bits a key of levels after the first.
-SHARD_KEYS, LIMIT, LATER_BITS = 200_000, 64 << 20, 2
+#: Keys of a shard, most bytes of all cascades for a broadcast, bits a key of levels after the first, pages of a part of a shard.
+SHARD_KEYS, LIMIT, LATER_BITS, PART_ROWS = 200_000, 64 << 20, 2, 100_000
+RESULTS = ("host", "path", "rule", "listed", "verdict")
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -150,37 +152,33 @@ def _judged(batches: Iterator[pa.RecordBatch], levels: dict[int, list[Bloom]], s
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(listed)], names=[*batch.schema.names[:-1], "listed"])
 
 
-def filter_urls(pages: DataFrame, universe: DataFrame, listed: DataFrame, rules: tuple = RULES, limit: int = LIMIT, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def filter_urls(pages: DataFrame, universe: DataFrame, listed: DataFrame, rules: tuple = RULES, limit: int = LIMIT, shard_keys: int = SHARD_KEYS, part_rows: int = PART_ROWS) -> DataFrame:
     """pages(url, ...) with host, path, rule, listed, verdict; universe(host) and listed(host) give the keys of the cascade."""
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "listed", "verdict")]
-    rows = pages.select(*names).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    aside = Aside(pages, ("url",), RESULTS)
+    rows = aside.rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     keys, seed = keyed_universe(universe, listed)
     shards = max(1, -(-keys.count() // shard_keys))
     levels = stored(cascades(keys, shards), "url-cascades")
     size = levels.agg(F.coalesce(F.sum(F.length("data") + 40), F.lit(0)).alias("n")).first()["n"]
     keyed = rows.withColumn("_key", key_of(seed))
-    schema = "".join(f"`{c}` {keyed.schema[c].dataType.simpleString()}, " for c in keyed.columns[:-1]) + "listed boolean"
+    names = keyed.columns[:-1]
+    schema = keyed.select(*names, F.lit(True).alias("listed")).schema
     if size <= limit:
         shared = pages.sparkSession.sparkContext.broadcast(_by_shard(levels.collect()))
         judged = keyed.mapInArrow(lambda batches: _judged(batches, shared.value, shards), schema)
     else:
-        names = keyed.columns[:-1]
-
-        def own(pages_of_shard: pd.DataFrame, levels_of_shard: pd.DataFrame) -> pd.DataFrame:
-            found = _by_shard(levels_of_shard.to_dict("records"))
-            keys = pages_of_shard["_key"].to_numpy()
-            held = next(iter(found.values()), [])
-            return pages_of_shard[names].assign(listed=judge(held, keys.view(np.uint64)))
-
-        # A shard's pages are salted into as many parts as a hot host asks for; each part meets the shard's cascade.
-        salts = 64
-        dealt = keyed.withColumns({"_shard": F.pmod("_key", F.lit(shards)), "_salt": F.pmod(F.xxhash64("url"), F.lit(salts))})
-        spread = levels.withColumnsRenamed({"shard": "_shard"}).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-        judged = dealt.groupBy("_shard", "_salt").cogroup(spread.withColumn("shard", F.col("_shard")).groupBy("_shard", "_salt")).applyInPandas(own, schema)
-    rule = rule_for(F.col("host"), F.col("path"), rules)
-    return (
-        judged.withColumn("_rule", rule)
-        .withColumn("rule", F.col("_rule.rule"))
-        .withColumn("verdict", F.coalesce(F.col("_rule.verdict"), F.when(F.col("listed"), "block").otherwise("allow")))
-        .drop("_rule")
-    )
+
+        def own(pages_of_part: pd.DataFrame, levels_of_shard: pd.DataFrame) -> pd.DataFrame:
+            held = next(iter(_by_shard(levels_of_shard.to_dict("records")).values()), [])
+            return pages_of_part[names].assign(listed=judge(held, pages_of_part["_key"].to_numpy().view(np.uint64)))
+
+        # A row a shard, of some hundred thousand keys each.
+        dealt = keyed.withColumn("_shard", F.pmod("_key", F.lit(shards)))
+        parts = stored(dealt.groupBy("_shard").agg(F.ceil(F.count("*") / part_rows).alias("_parts")), "shard-parts")
+        dealt = dealt.join(F.broadcast(parts), "_shard").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")))
+        own_parts = parts.select(F.col("_shard").alias("shard"), F.col("_parts").alias("parts"))
+        spread = levels.join(F.broadcast(own_parts), "shard").withColumn("_shard", F.col("shard")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        judged = dealt.groupBy("_shard", "_part").cogroup(spread.groupBy("_shard", "_part")).applyInPandas(own, schema)
+    ruled = judged.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
+    return aside.restored(ruled, "host", "path", F.col("_rule.rule").alias("rule"), "listed", verdict.alias("verdict"))
