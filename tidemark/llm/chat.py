@@ -3,24 +3,27 @@
 In DataFrame operations only. Calls meet results by a hash join on the identifier. The order of calls is their level: 0 for a call that
 depends on none, else one more than the deepest call that it depends on. Runs of calls with one dependency each are passed over in
 doubling steps, so a conversation of n turns takes about log2(n) rounds; calls with several dependencies are then settled
-in waves. Every round is written to the shared folder, and no window or array holds a conversation.
+in waves, each of which goes over the calls still open. Every round is written to the shared folder, and no window or array holds a conversation.
 
 Defined cases: a call id that occurs more than once has one level and each of its rows is kept; of several results the one of
 the earliest turn (then least text) is linked, and n_results tells their number; a dependency on an id that no call has is
-passed over and listed in `errors`; calls in or behind a cycle have a null level; null ids link nothing;
-arguments that aren't a JSON object, miss a required key, have an unknown one or a value of another type are errors; other columns of the
-calls pass through.
+passed over and listed in `errors`; calls in or behind a cycle have a null level; null ids link nothing and have a null level;
+arguments that aren't a JSON object, miss a required key, have an unknown one or a value of another type are errors; empty tables give
+an empty result; very long texts are written whole; other columns of the calls pass through, but for those named like a result (in any case), which it replaces.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Aside, stored
 
 #: Tool schemas: name -> key -> (JSON type, required).
 Tools = dict[str, dict[str, tuple[str, bool]]]
+RESULTS = ("level", "valid", "errors", "result_turn", "n_results", "message")
 _TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",), "null": ("VOID",)}
 
 
@@ -68,14 +71,17 @@ def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     behind = needs.join(degree.where("n > 1").select("node"), "node", "left_semi")
     via = reached.select(F.col("node").alias("parent"), "to", "far").unionByName(anchors.select(F.col("node").alias("parent"), F.col("node").alias("to"), F.lit(0).cast("long").alias("far")))
     open_needs = stored(behind.join(via, "parent", "left").select("node", "to", (F.col("far") + 1).alias("far")), "needs")
-    settled = stored(anchors.join(needs.select("node"), "node", "left_anti").select("node", F.lit(0).cast("long").alias("level")), "levels")
-    while True:
-        known = open_needs.join(settled.select(F.col("node").alias("to"), "level"), "to", "left")
-        ready = known.groupBy("node").agg(F.max(F.col("level") + F.col("far")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("all")).where("all").select("node", "level")
-        wave = stored(ready.join(settled.select("node"), "node", "left_anti"), "levels")
-        if wave.isEmpty():
-            break
-        settled = stored(settled.unionByName(wave), "levels")
+    wave = stored(anchors.join(needs.select("node"), "node", "left_anti").select("node", F.lit(0).cast("long").alias("level")), "levels")
+    waves = [wave]
+    # Of each open call: the deepest of what is settled among the calls it depends on, and how many are left.
+    still = stored(open_needs.groupBy("node").agg(F.lit(0).cast("long").alias("level"), F.count("*").alias("left")), "open")
+    while not wave.isEmpty():
+        met = open_needs.join(wave.select(F.col("node").alias("to"), F.col("level").alias("below")), "to").groupBy("node").agg(F.max(F.col("below") + F.col("far")).alias("below"), F.count("*").alias("n"))
+        moved = still.join(met, "node", "left").select("node", F.greatest("level", F.coalesce("below", F.lit(0))).alias("level"), (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"))
+        moved = stored(moved, "open")
+        wave, still = moved.where(F.col("left") == 0).select("node", "level"), moved.where(F.col("left") > 0)
+        waves.append(wave)
+    settled = reduce(DataFrame.unionByName, waves)
     far = reached.join(settled.select(F.col("node").alias("to"), "level"), "to").select("node", (F.col("level") + F.col("far")).alias("level"))
     return nodes.join(settled.unionByName(far), "node", "left")
 
@@ -85,15 +91,16 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: Tools) -> DataF
 
     Adds level, valid, errors, result_turn, n_results and message, the canonical JSON of the call and its result.
     """
+    aside = Aside(calls, ("call_id", "name", "arguments", "after"), RESULTS)
+    calls = aside.rows
     nodes = stored(calls.where(F.col("call_id").isNotNull()).select(F.col("call_id").alias("node")).distinct(), "calls")
     wanted = calls.select(F.col("call_id").alias("node"), F.explode("after").alias("parent")).where("node IS NOT NULL AND parent IS NOT NULL").distinct()
     needs = stored(wanted.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent"), "needs")
-    missing = wanted.join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti").select(F.col("node").alias("call_id")).distinct().withColumn("_lost", F.lit(True))
-    linked = results.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("_result"), F.count("*").alias("n_results"))
-    keep = [c for c in calls.columns if c not in ("level", "valid", "errors", "result_turn", "n_results", "message")]
-    found = calls.select(*keep).join(levels(nodes, needs).withColumnRenamed("node", "call_id"), "call_id", "left").join(linked, "call_id", "left").join(missing, "call_id", "left")
-    errors = argument_errors(F.col("name"), F.col("arguments"), tools)
-    lost = F.when(F.col("_lost"), F.array(F.lit("unknown dependency"))).otherwise(F.array().cast("array<string>"))
+    missing = wanted.join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti").select(F.col("node").alias("call_id")).distinct().withColumn("lost", F.lit(True))
+    linked = results.where(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("result"), F.count("*").alias("n_results"))
+    found = calls.join(levels(nodes, needs).withColumnRenamed("node", "call_id"), "call_id", "left").join(linked, "call_id", "left").join(missing, "call_id", "left")
+    lost = F.when(F.col("lost"), F.array(F.lit("unknown dependency"))).otherwise(F.array().cast("array<string>"))
+    found = found.withColumn("errors", F.concat(argument_errors(F.col("name"), F.col("arguments"), tools), lost))
     parsed = F.coalesce(canonical_json(F.col("arguments")), F.lit("null"))
     text = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
     quoted = lambda value: F.coalesce(F.regexp_extract(F.to_json(F.struct(value.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1), F.lit(""))
@@ -101,13 +108,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, tools: Tools) -> DataF
     # The keys stand in order.
     message = F.concat(
         F.lit("{"), text("arguments", parsed), F.lit(","), text("id", string(F.col("call_id"))), F.lit(","), text("level", F.coalesce(F.col("level").cast("string"), F.lit("null"))),
-        F.lit(","), text("name", string(F.col("name"))), F.lit(","), text("result", string(F.col("_result.content"))), F.lit("}"),
+        F.lit(","), text("name", string(F.col("name"))), F.lit(","), text("result", string(F.col("result.content"))), F.lit("}"),
     )
-    return (
-        found.withColumn("errors", F.concat(errors, lost))
-        .withColumn("valid", F.size("errors") == 0)
-        .withColumn("result_turn", F.col("_result.turn"))
-        .withColumn("n_results", F.coalesce("n_results", F.lit(0)))
-        .withColumn("message", message)
-        .drop("_result", "_lost")
-    )
+    results = [F.col("level"), (F.size("errors") == 0).alias("valid"), F.col("errors"), F.col("result.turn").alias("result_turn"), F.coalesce("n_results", F.lit(0)).alias("n_results"), message.alias("message")]
+    return aside.restored(found, *results)
