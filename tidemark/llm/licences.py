@@ -5,7 +5,9 @@ single blanks, equivalent spellings made one) and its SHA-256 is looked up, by a
 made canonical in the same way. Each line, taken as a text, is looked up in the digests of one-line notices as well. A text is
 made canonical once, with its lines kept apart until both look-ups are served, and no row moves between tasks.
 
-Defined cases: a null text is like an empty one, whose canonical form is empty and which no licence has; repeated rows and null
+Known are the texts of TEXTS, and by their digests alone the long ones of DIGESTS. Headers of source files that name a licence are texts of their own.
+
+Defined cases: an empty table gives an empty result; very long texts are looked up whole; of two licences with one canonical text the first by name is given; a null text is like an empty one, whose canonical form is empty and which no licence has; repeated rows and null
 ids are kept, each with its result; extra columns pass through, but for those named like the three results, which are replaced.
 """
 
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lowered
-from .licence_texts import NOTICES, SPELLINGS, TEXTS
+from .licence_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 #: A line that states a copyright: its first word is one of these.
 COPYRIGHT_LINE = r"(?md)^[^a-z0-9\n©]*(copyright|\(c\)|©)[^\n]*$"
@@ -56,6 +58,8 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, notices: dict[str
     """docs(text, ...) with digest, licence (of the entire text, or null) and notices, the sorted licences of its lines."""
     spark = docs.sparkSession
     whole = known(spark, {text: name for name, text in TEXTS.items()} if texts is None else texts)
+    if texts is None:
+        whole = whole.unionByName(spark.createDataFrame([(digest, name) for name, digest in DIGESTS], whole.schema))
     # As many digests as notices were given: few enough for an expression.
     of_line = [F.lit(x) for row in known(spark, NOTICES if notices is None else notices).collect() for x in row]
     keep = [c for c in docs.columns if c.lower() not in ("digest", "licence", "notices")]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .licence_texts import NOTICES, SPELLINGS, TEXTS
+from .licence_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 from .licences import scan
 
 
@@ -31,7 +31,8 @@ def _canonical(column: str) -> str:
 SQL = {
     "op3_licence_scan": f"""
 WITH s AS (SELECT MAP {{{", ".join(f"{_sql_text(a)}: {_sql_text(b)}" for a, b in SPELLINGS.items())}}} AS spell),
-texts AS (SELECT DISTINCT sha256({_canonical("t")}) AS digest, licence FROM (VALUES {", ".join(f"({_sql_text(t)}, '{n}')" for n, t in TEXTS.items())}) v(t, licence), s),
+texts AS (SELECT DISTINCT sha256({_canonical("t")}) AS digest, licence FROM (VALUES {", ".join(f"({_sql_text(t)}, '{n}')" for n, t in TEXTS.items())}) v(t, licence), s
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"('{d}', '{n}')" for n, d in DIGESTS)}) k(digest, licence)),
 lines AS (SELECT DISTINCT sha256({_canonical("t")}) AS digest, licence FROM (VALUES {", ".join(f"({_sql_text(t)}, '{n}')" for t, n in NOTICES.items())}) v(t, licence), s),
 d AS (SELECT row_number() OVER () AS r, doc_id, text, sha256({_canonical("text")}) AS digest FROM documents, s),
 l AS (SELECT DISTINCT r, lines.licence FROM (SELECT r, sha256({_canonical("line")}) AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d), s WHERE length(line) >= 6) x JOIN lines USING (digest)),
