@@ -3,12 +3,14 @@
 A fingerprint has a bit set where over half of the text's shingle hashes (XXH64, seed 42) have it set. Equal
 fingerprints are one node. Two fingerprints with at most `radius` differing bits agree on some `blocks - radius` of
 `blocks` blocks of bits whole, so each is put into the shards of all such choices of blocks and its neighbours are sought
-there only: no link is missed, and no shard sees more than those that agree on its bits. Every shard has a
+there only: no link is missed, and no shard sees more than those that agree on its bits. The fingerprints of a shard with more than
+SHARD of them are dealt anew by a finer cut, which is exact for the same reason; in shards of the last cut all but twelve bits agree, so no shard that is
+searched has more than SHARD. Every shard has a
 BK-tree, whose children are keyed by their Hamming distance to the parent; a search goes on only along edges within the
 radius of the distance just measured. The shards' trees would have to hold all fingerprints to be sent to every task, so the
 fingerprints go to the trees instead. A shard yields a link of each fingerprint to one other at most, not its pairs.
 
-Defined cases: a text without words, or null, has fingerprint 0 and links like any other; repeated rows share a
+Defined cases: carried columns named fp are replaced; very long texts are signed whole; a text without words, or null, has fingerprint 0 and links like any other; repeated rows share a
 class; a null id is passed over as the name of a class if another id can be had; an empty table gives an empty result.
 """
 
@@ -24,12 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import stored
-from .components import components
 
 BITS = 64
-#: Words of a shingle, differing bits of a link, blocks that the bits are cut into.
-SHINGLE, RADIUS, BLOCKS = 3, 3, 5
+#: Words of a shingle, differing bits of a link, blocks that the bits are cut into (finer for what is left of large shards), most fingerprints of a shard.
+SHINGLE, RADIUS, BLOCKS, SHARD = 3, 3, (5, 9, 16), 1 << 12
 _PAIRS = 1 << 21  # pairs of a search and a node that are measured at once
 _UNPACK = 1 << 17  # hashes whose bits are laid out at once
 
@@ -71,6 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...]
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
+    carry = tuple(c for c in carry if c.lower() != "fp")
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
     return docs.select(*carry, F.col("text").cast("binary").alias("_body")).mapInArrow(run, f"{schema}fp bigint")
 
@@ -161,12 +164,17 @@ def shard_links(batches: Iterator[pd.DataFrame], links: Callable[[pd.DataFrame],
         yield links(pd.concat(held, ignore_index=True))
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """nodes(fp), distinct -> links (u, v) with the same classes as all pairs within the radius."""
+def shards_of(fp: Column, radius: int, blocks: int) -> Column:
+    """The shards of a fingerprint: one for each choice of blocks - radius blocks, by their bits."""
     cut = [BITS * k // blocks for k in range(blocks + 1)]
-    part = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cut, cut[1:], strict=False)]
-    shards = [F.xxhash64(F.lit(k), *[part[i] for i in chosen]) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-    spread = nodes.select("fp", F.explode(F.array(*shards)).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
+    bits = [(1 << b) - (1 << a) for a, b in zip(cut, cut[1:], strict=False)]
+    masks = [sum(chosen) for chosen in combinations(bits, blocks - radius)]
+    signed = F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long") for m in masks])
+    return F.transform(signed, lambda m: F.xxhash64(m, fp.bitwiseAND(m)))
+
+
+def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: tuple[int, ...] = BLOCKS, most: int = SHARD) -> DataFrame:
+    """nodes(fp), distinct -> links (u, v) with the same classes as all pairs within the radius."""
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         values = rows["fp"].to_numpy()
@@ -174,14 +182,27 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
         own = root != np.arange(len(values))
         return pd.DataFrame({"u": values[own], "v": values[root[own]]})
 
-    return spread.mapInPandas(lambda batches: shard_links(batches, links), "u bigint, v bigint")
-
-
-def near_classes(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    rest, found = nodes, None
+    for level, cut in enumerate(blocks):
+        spread = rest.select("fp", F.explode(shards_of(F.col("fp"), radius, cut)).alias("shard"))
+        large = None
+        if level + 1 < len(blocks):
+            large = stored(spread.groupBy("shard").count().where(F.col("count") > most).select("shard"), "large-shards")
+            large = None if large.isEmpty() else large
+        dealt = (spread if large is None else spread.join(large, "shard", "left_anti")).repartition("shard").sortWithinPartitions("shard", "fp")
+        own = dealt.mapInPandas(lambda batches: shard_links(batches, links), "u bigint, v bigint")
+        found = own if found is None else found.unionByName(own)
+        if large is None:
+            return found
+        rest = stored(spread.join(large, "shard", "left_semi").select("fp").distinct(), "rest")
+    return found
+
+
+def near_classes(prints: DataFrame, radius: int = RADIUS, blocks: tuple[int, ...] = BLOCKS, most: int = SHARD) -> DataFrame:
     """prints(doc_id, fp, ...) with component_id: the least id of all documents reachable over links."""
     kept = stored(prints, "fingerprints")
     nodes = stored(kept.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    roots = components(near_links(nodes.select("fp"), radius, blocks))
+    roots = components(near_links(nodes.select("fp"), radius, blocks, most))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
