@@ -86,7 +86,7 @@ def lang_rows():
 
 
 def test_language(spark):
-    docs = spark.createDataFrame(lang_rows(), "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS score", "2 AS _letter_")
+    docs = spark.createDataFrame(lang_rows(), "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS score", "2 AS Lang_Pred", "3 AS _letter", "4 AS _body")
     got = {r.doc_id: r for r in language.identify(docs).collect()}
     assert len(language.identify(docs).collect()) == len(lang_rows())
     assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in (500, 501, 502))
@@ -95,6 +95,21 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_all_of_many_languages_are_learned(spark):
+    """Seventy languages of a few words each, and texts that pass from one to another."""
+    words = lambda k: [f"{a}{chr(97 + k % 26)}{chr(97 + k // 26)}{b}" for a, b in zip("bdfgh", "aeiou", strict=True)]
+    rows = [(1000 * k + i, " ".join(words(k)[(i + j) % 5] for j in range(8)), f"l{k:02}") for k in range(70) for i in range(12)]
+    mixed = " ".join(words(3) * 3 + words(40) * 3)
+    docs = spark.createDataFrame([*rows, (99_999, "é. " + mixed, None)], "doc_id long, text string, lang string")
+    got = language.identify(docs, ("doc_id", "lang", "text")).collect()
+    assert {r.lang_pred for r in got} == {f"l{k:02}" for k in range(70)}
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(rows)
+    runs = next(r for r in got if r.doc_id == 99_999).runs
+    assert {"l03", "l40"} <= {x.lang for x in runs}
+    for r in got:
+        assert all(x.start < x.end and r.text[x.start : x.end].strip() == r.text[x.start : x.end] for x in r.runs)
+
+
 def test_language_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language.identify(docs).first().lang_pred == "und"
@@ -111,7 +126,7 @@ def toxic_rows():
 def test_toxicity(spark):
     rows = toxic_rows()
     extra = [(5000, None), (5001, ""), (None, "you grotty one, vilest of all"), (5002, "rain " * 5000), (1000, rows[150][1]), (5003, "é ô grotty vilesque")]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string").selectExpr("*", "1 AS score")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + extra, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS Predicted", "3 AS _body")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None), (99999, 1), (1000, 0)], "doc_id long, toxic int")
     tagger = toxicity.train(docs, labels)
     got = toxicity.tag(docs, tagger, ("doc_id", "text")).collect()
@@ -126,6 +141,44 @@ def test_toxicity(spark):
     assert "grotty" in [by[5003].text[s.start : s.end] for s in by[5003].spans]
 
 
+def test_typical_words_against_plain_counts(spark):
+    """Which keys pass the test, from counts made in plain Python."""
+    rng = np.random.default_rng(4)
+    rows = [(float(t), float(t + c)) for t in range(12) for c in range(0, 30, 3)]
+    frame = spark.createDataFrame(rows, "t double, n double").where("n > 0")
+    for rate, tested in ((0.1, 50), (0.5, 2000), (float(rng.random()), 10)):
+        got = {(r.t, r.n) for r in frame.where(toxicity.typical(frame.t, frame.n, rate, tested)).collect()}
+        want = set()
+        for t, n in rows:
+            if n and t >= toxicity.LEAST and t / n > rate and t * (1 - rate) >= toxicity.LIFT * rate * (n - t):
+                p = t / n
+                bound = n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0))
+                if bound >= math.log(tested / toxicity.ALPHA):
+                    want.add((t, n))
+        assert got == want
+
+
+def test_one_toxic_text_in_many_copies_makes_no_word_toxic(spark):
+    rows = [(i, f"quiet day {i} rain", 0) for i in range(120)] + [(500 + i, f"vilest thing {i} rain", 1) for i in range(40)] + [(900 + i, "vilest harmless gardening", 1) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(2000, "harmless gardening in rain")], "doc_id long, text string")
+    tagger = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.tag(docs, tagger).collect()}
+    assert got[2000].predicted == 0 and got[900].predicted == 1 and all(got[i].predicted == 0 for i in range(120))
+
+
+def test_few_labels_in_a_second_language(spark):
+    """Toxic texts without any of the common toxic words are tested among themselves."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abdeghilmnoprst"), 5))
+    rows = [(i, " ".join(word() for _ in range(12)), 0) for i in range(300)]
+    rows += [(400 + i, " ".join([*(word() for _ in range(6)), "vilest", *(word() for _ in range(6))]), 1) for i in range(40)]
+    rows += [(600 + i, " ".join([*(word() for _ in range(6)), f"qrux{i}", *(word() for _ in range(6))]), 1) for i in range(9)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    tagger = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.tag(docs, tagger).collect()}
+    assert sum(got[i] for i in range(600, 609)) >= 8 and sum(got[i] for i in range(300)) == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

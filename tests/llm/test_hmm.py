@@ -74,8 +74,66 @@ def test_no_training_rows(spark):
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
 
 
-def test_probabilities_of_short_texts_sum_to_one():
-    """Over a closed vocabulary: texts of up to two words and the end, and what is left for longer ones."""
+def test_score_against_all_state_paths(spark):
+    """With few classes and known words, so that all kinds of words occur: the score from the fitted model, path by path, in plain Python."""
+    from pyspark.sql import functions as F
+
+    texts = [(i, t) for i, t in ROWS if t is None or len(t) < 60]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = docs.select("doc_id", (hmm.fold(F.col("doc_id"), 7) == 2).alias("held_out"), F.col("text").cast("binary").alias("body"))
+    *_, vocab, _, model = hmm.fitted(rows, 2, 2, own=3, known=6)
+    toks = lambda t: [*(t or "").lower().encode().split(), b""]
+    count = Counter(w for i, t in texts if crc32(("" if i is None else str(i)).encode()) % 7 != 2 for w in toks(t))
+    own = {w: k for w, k in vocab.number.items() if k < vocab.n_own}
+    assert len(own) == 4 and len(vocab.number) <= 7
+    shared: dict = {}
+    for w, n in count.items():
+        if w not in own:
+            c = shared.setdefault(hmm.class_of_rare(w), [0, 0])
+            c[0] += n
+            c[1] += 1
+    want = []
+    for i, t in texts:
+        cls, logs = [], 0.0
+        for w in toks(t):
+            if w in own:
+                cls.append(own[w])
+            else:
+                b = hmm.class_of_rare(w)
+                cls.append(vocab.n_own + b)
+                n, v = shared.get(b, (0, 0))
+                logs += math.log10((count[w] + 1) / (n + v + 1))
+        want.append((str(i), str(t), round(math.log10(brute_chain(model.emit[cls], model.initial, model.move)[0]) + logs, 6)))
+    got = [(str(r.doc_id), round(r.score, 6)) for r in hmm.score(docs, rounds=2, states=2, own=3, known=6).collect()]
+    assert sorted(got) == sorted((i, s) for i, _, s in want)
+
+
+def test_long_texts_in_pieces_as_if_whole(monkeypatch):
+    rng = np.random.default_rng(9)
+    model = hmm.first_model([rng.integers(0, 6, 40).astype(np.uint16) for _ in range(5)], 6, states=3, rounds=3)
+    sequences = [rng.integers(0, 6, n).astype(np.uint16) for n in (50, 7, 1, 23)]
+    whole, cut = hmm._zeros(3, 6), hmm._zeros(3, 6)
+    hmm._expected(model, sequences, whole)
+    layout = chains.Layout(np.array([50]))
+    total = chains.totals(layout, chains.forward(layout, model.emit[sequences[0].astype(int)], model.initial, model.move)[1])[0]
+    monkeypatch.setattr(hmm, "PIECE", 8)
+    hmm._expected(model, sequences, cut)
+    for a, b in zip(whole, cut, strict=True):
+        assert np.allclose(a, b)
+    assert math.isclose(hmm.log_total(model, sequences[0]), total)
+
+
+def test_long_documents_alone_still_start_the_model(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "START_TOKENS", 5)
+    seen = []
+    plain = hmm.first_model
+    monkeypatch.setattr(hmm, "first_model", lambda sample, *a, **k: seen.extend(sample) or plain(sample, *a, **k))
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j") for i in range(30)], "doc_id long, text string")
+    assert hmm.score(docs, rounds=1, states=2).count() == 30
+    assert len(seen) > 20 and all(len(x) == 5 for x in seen)
+
+
+def test_matrices_of_the_model_sum_to_one():
     model = hmm.first_model([np.array([1, 2, 0], np.uint16), np.array([2, 1, 2, 0], np.uint16)], 3, states=2, rounds=3)
     assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1) and math.isclose(model.initial.sum(), 1)
 

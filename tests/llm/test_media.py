@@ -55,8 +55,9 @@ def texts():
 
 def test_whole_operator(spark):
     rows = list(enumerate(texts())) + [(None, "a"), (3, "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS digest", "2 AS body")
-    got = media.media_features(docs).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS digest", "2 AS body", "3 AS media_bytes", "4 AS chunks", "5 AS _body")
+    got = media.media_features(docs, ("doc_id", "chunks", "_body", "media_bytes")).collect()
+    assert all((r.chunks, r._body) == (4, 5) for r in got)
     assert len(got) == len(rows)
     by = {}
     for r in got:

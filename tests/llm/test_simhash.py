@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm.components import components
+from tidemark.operators.components import components
 from tidemark.llm.simhash import Forest, fingerprint, fingerprints, hexed, near_classes
 
 
@@ -50,12 +50,36 @@ def rows_of(seed, n):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_whole_operator_against_all_pairs(spark, seed):
     rows = rows_of(seed, 60)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("fp", "fp2")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS root", "3 AS component_id")
     got = sorted((r.doc_id is None, r.doc_id, r.fingerprint, r.component_id) for r in near_classes(fingerprints(docs)).select("doc_id", hexed("fp").alias("fingerprint"), "component_id").collect())
     prints, classes = brute_classes(rows)
     assert got == sorted((i is None, i, f"{p:016x}", c) for (i, _), p, c in zip(rows, prints, classes, strict=True))
 
 
+@pytest.mark.parametrize("most", [1, 20])
+def test_large_shards_are_dealt_by_finer_cuts(spark, most):
+    """Variants of one fingerprint, whose shards are all large: the classes of all pairs."""
+    rng = random.Random(most)
+    base = rng.getrandbits(64)
+    values = {base ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 5, 7]))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(30)}
+    values = [v - 2**64 if v >= 2**63 else v for v in values]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, fp long")
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(values):
+        for j, b in enumerate(values[:i]):
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 3:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in near_classes(frame, most=most).collect()}
+    assert got == {i: find(i) for i in range(len(values))}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_classes(fingerprints(docs)).count() == 0

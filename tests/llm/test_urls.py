@@ -43,10 +43,10 @@ URLS = [
 
 @pytest.mark.parametrize(("limit", "shard_keys"), [(1 << 20, 100), (0, 2), (1 << 20, 1)])
 def test_verdicts(spark, limit, shard_keys):
-    pages = spark.createDataFrame([(i, row[0]) for i, row in enumerate(URLS)], "page_id long, url string").selectExpr("*", "'mine' AS _shard_", "7 AS listed")
+    pages = spark.createDataFrame([(i, row[0]) for i, row in enumerate(URLS)], "page_id long, url string").selectExpr("*", "'mine' AS _shard", "7 AS listed", "8 AS _key", "9 AS _rule", "10 AS Verdict")
     hosts = pages.select(u.host_of(pages.url).alias("host"))
     listed = spark.createDataFrame([("bad.io",), ("example.net",), ("elsewhere",)], "host string")
-    got = u.filter_urls(pages, hosts, listed, limit=limit, shard_keys=shard_keys).collect()
+    got = u.filter_urls(pages, hosts, listed, limit=limit, shard_keys=shard_keys, part_rows=3).collect()
     assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == [(i, *row[1:]) for i, row in enumerate(URLS)]
     assert {r.page_id for r in got if r.listed} == {1, 8, 9}
 
