@@ -1,41 +1,20 @@
-"""Shared helpers: scratch storage all executors can read, table access, held-out folds."""
+"""Shared helpers: scratch storage all executors can read, table access, held-out folds, columns set aside."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.scratch import shared_dir, stored
+from ..sources.tables import table
+
+__all__ = ["LOWER", "UPPER", "WORD", "Aside", "fold", "lowered", "shared_dir", "stored", "table", "with_body"]
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    return _own["dir"]
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
-
 
 def lowered(text: Column) -> Column:
     """Only A-Z lower-cased; other letters keep their case. Where no other letter has a case to lose, lower does it, and faster."""
@@ -48,9 +27,33 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def with_body(docs: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, str, str]:
-    """(carried columns and the text for a task, their schema as DDL ending in a comma, the column that has the text)."""
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
+class Aside:
+    """A table's columns under plain names while an operator works on them.
+
+    rows has the needed columns under their own names and every other kept column under a number, so that no name of the operator's can
+    clash with one of the table's. restored gives the kept columns their names back and adds results; a column of the table
+    that is named like a result (in any case) is replaced by it.
+    """
+
+    def __init__(self, df: DataFrame, needed: tuple[str, ...], results: tuple[str, ...] = (), carry: tuple[str, ...] | None = None):
+        gone = {name.lower() for name in results}
+        self.kept = [c for c in (df.columns if carry is None else carry) if c.lower() not in gone]
+        self.names = {c: c if c in needed else f"_{k}" for k, c in enumerate(self.kept)}
+        also = [c for c in needed if c not in self.names]
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        self.rows = df.select(*[quoted(c).alias(self.names[c]) for c in self.kept], *also)
+        #: The kept columns' names within rows, for mapInArrow and the like.
+        self.carry = tuple(self.names.values())
+
+    def restored(self, found: DataFrame, *results: Column | str) -> DataFrame:
+        return found.select(*[F.col(self.names[c]).alias(c) for c in self.kept], *results)
+
+
+def with_body(docs: DataFrame, carry: tuple[str, ...], results: str, *more: Column) -> tuple[DataFrame, StructType, str]:
+    """(carried columns, the text for a task and more, the schema of the carried columns and the results, the column that has the text)."""
+    schema = StructType([docs.schema[c] for c in carry])
+    for field in StructType.fromDDL(results):
+        schema = schema.add(field)
     if "text" in carry:
-        return docs.select(*carry), schema, "text"
-    return docs.select(*carry, F.col("text").cast("binary").alias("_body")), schema, "_body"
+        return docs.select(*carry, *more), schema, "text"
+    return docs.select(*carry, F.col("text").cast("binary").alias("_body"), *more), schema, "_body"

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
@@ -47,14 +47,30 @@ def document_keys(rows: DataFrame, label: str, starts: tuple[int, ...] = ()) ->
     return rows.select(label, "body").mapInArrow(run, f"{label} {kind}, hash bigint, n bigint").groupBy(label, "hash").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, label: str, most: int) -> DataFrame:
-    """The rows of counts(label, hash, n) with the greatest n of each label: all that share a count or none, `most` of a label at most.
+def coarse(n: Column) -> Column:
+    """n with all but its eight leading bits made zero: at most some 7,300 values of a long."""
+    return F.call_function("shiftleft", F.call_function("shiftright", n, F.greatest(F.length(F.bin(n)) - 8, F.lit(0))), F.greatest(F.length(F.bin(n)) - 8, F.lit(0)))
+
 
-    Decided on the number of rows for each count, so neither a window nor the driver gets the rows of a label.
+def least_counts(counts: DataFrame, label: str, most: int) -> DataFrame:
+    """(label, least): the least coarse count that at most `most` rows of counts(label, n) reach, null if none.
+
+    Decided on the number of rows for each coarse count, a bounded array a label, so neither a window nor the driver gets rows.
     """
-    steps = counts.groupBy(label, "n").agg(F.count("*").alias("_rows"))
-    upto = steps.withColumn("_upto", F.sum("_rows").over(Window.partitionBy(label).orderBy(F.desc("n")))).where(F.col("_upto") <= most)
-    return counts.join(F.broadcast(upto.groupBy(label).agg(F.min("n").alias("_least"))), label).where("n >= _least").drop("_least")
+    steps = counts.groupBy(label, coarse(F.col("n")).alias("step")).agg(F.count("*").alias("rows"))
+    downward = F.sort_array(F.collect_list(F.struct("step", "rows")), asc=False)
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("least"))
+
+    def further(so_far: Column, step: Column) -> Column:
+        upto = so_far["upto"] + step["rows"]
+        return F.struct(upto.alias("upto"), F.when(upto <= most, step["step"]).otherwise(so_far["least"]).alias("least"))
+
+    return steps.groupBy(label).agg(F.aggregate(downward, start, further)["least"].alias("least"))
+
+
+def most_frequent(counts: DataFrame, label: str, most: int) -> DataFrame:
+    """The rows of counts(label, hash, n) with the greatest n of each label: all that share a coarse count or none, `most` of a label at most."""
+    return counts.join(F.broadcast(least_counts(counts, label, most)), label).where("n >= least").drop("least")
 
 
 def about(value: Column, label: Column, sizes: dict, most: int) -> Column:
