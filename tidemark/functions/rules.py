@@ -5,22 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .titles import once
+
 TOPICS = (
-    ("rates", ("fed", "rate", "rates", "yield", "treasury", "inflation")),
-    ("trade", ("tariff", "tariffs", "trade", "export", "sanction")),
-    ("energy", ("oil", "gas", "opec", "crude", "energy")),
-    ("technology", ("chip", "chips", "ai", "cloud", "software", "semiconductor")),
-    ("crypto", ("bitcoin", "ethereum", "crypto", "stablecoin")),
-    ("geopolitics", ("war", "military", "missile", "election")),
+    ("ai_semiconductors", ("ai", "人工智能", "半导体", "芯片", "gpu", "算力", "data center")),
+    ("monetary_policy", ("fed", "federal reserve", "美联储", "央行", "降息", "加息", "利率")),
+    ("recession_growth", ("recession", "hard landing", "衰退", "硬着陆", "经济增长", "通缩")),
+    ("inflation", ("inflation", "cpi", "通胀", "物价")),
+    ("geopolitics_trade", ("war", "conflict", "tariff", "sanction", "战争", "冲突", "关税", "制裁")),
+    ("crypto", ("bitcoin", "ethereum", "crypto", "比特币", "以太坊", "加密货币")),
+    ("financial_system", ("credit", "liquidity", "bank", "debt", "信用", "流动性", "银行", "债务")),
+    ("china_markets", ("china", "chinese", "中国", "人民币", "a股", "中概股")),
+    ("market_risk", ("market", "equity", "stock", "vix", "市场", "股票", "美股", "风险资产")),
 )
-POSITIVE = ("gain", "gains", "rally", "beat", "growth", "strong", "upgrade", "bullish", "surge")
-NEGATIVE = ("loss", "losses", "drop", "miss", "weak", "downgrade", "bearish", "slump", "recession")
+POSITIVE = ("bullish", "buy", "upside", "outperform", "benefit", "opportunity", "positive", "看好", "买入", "增持", "利好", "受益", "上涨", "机会", "逢低配置")
+NEGATIVE = (
+    "bearish", "sell", "downside", "underperform", "avoid", "warning", "risk", "crash", "collapse", "negative",
+    "看空", "卖出", "减持", "利空", "下跌", "警告", "风险", "危机", "崩盘", "破裂",
+)
+NEGATED = ("不", "并不", "不再", "不要", "别")
+#: Horizon to the words that tell it, in the order they are tried.
+HORIZONS = (("long", ("中长期", "长期", "year", "年度")), ("medium", ("中期", "quarter", "季度")), ("short", ("短期", "day", "week", "天", "周")))
+UNCERTAIN = ("不确定", "unknown", "随时")
 #: Age in days up to which an edge has a freshness.
 FRESHNESS = ((1, 1.0), (3, 0.9), (7, 0.75), (30, 0.5), (90, 0.25))
 WEIGHTS = {"strength": 0.20, "confidence": 0.20, "freshness": 0.15, "corroboration": 0.15, "market": 0.20, "coverage": 0.10}
 STRENGTH_BY_IMPACT = {"low": 0.05, "medium": 0.15, "high": 0.30, "severe": 0.40, "catastrophic": 0.50}
 
 
+def is_latin(word: str) -> bool:
+    return any(c.isascii() and c.isalnum() for c in word)
+
+
+def any_word(words: tuple[str, ...]) -> str:
+    """A pattern on lower-cased text: words with ASCII letters or digits stand between other characters than those, the others anywhere."""
+    latin, other = [w for w in words if is_latin(w)], [w for w in words if not is_latin(w)]
+    return "|".join([f"(?:^|[^a-z0-9])(?:{'|'.join(latin)})(?:$|[^a-z0-9])"] * bool(latin) + other)
+
+
 def has_word(text: Column, word: str) -> Column:
     """Whether the word stands in the text between characters that aren't letters or digits of ASCII."""
     return F.lower(text).rlike(rf"(^|[^a-z0-9]){word}($|[^a-z0-9])")
@@ -28,33 +50,52 @@ def has_word(text: Column, word: str) -> Column:
 
 def topic(text: Column) -> Column:
     """The first topic one of whose words the text has, else general."""
-    out = F.lit("general")
-    for name, words in reversed(TOPICS):
-        out = F.when(has_word(text, "(" + "|".join(words) + ")"), name).otherwise(out)
-    return out
 
+    def of(low: Column) -> Column:
+        out = F.lit("general")
+        for name, words in reversed(TOPICS):
+            out = F.when(low.rlike(any_word(words)), name).otherwise(out)
+        return out
+
+    return once(F.lower(F.coalesce(text, F.lit(""))), of)
 
-def _hits(text: Column, words: tuple[str, ...]) -> Column:
-    """How many of the words the text has and nowhere negates: not, never or no, up to two words before."""
-    total = F.lit(0)
-    for word in words:
-        negated = F.lower(text).rlike(rf"(^|[^a-z0-9])(not|never|no) ([a-z0-9]+ ){{0,2}}{word}($|[^a-z0-9])")
-        total = total + F.when(has_word(text, word) & ~negated, 1).otherwise(0)
-    return total
+
+def negation(word: str) -> str:
+    """A pattern of what negates the word: not, never or no up to two words before it, or a fixed prefix."""
+    letter = r"[\p{L}\p{N}_]"
+    if is_latin(word):
+        return rf"(?:^|[^\p{{L}}\p{{N}}_])(?:not|never|no)\s+(?:{letter}+\s+){{0,2}}{word}(?:$|[^\p{{L}}\p{{N}}_])"
+    return "|".join(p + word for p in NEGATED)
+
+
+def _hits(low: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words the text has and nowhere negates."""
+    # One pattern tells whether any is there; most texts have none.
+    each = sum((F.when(low.rlike(any_word((w,))) & ~low.rlike(negation(w)), 1).otherwise(0) for w in words), F.lit(0))
+    return F.when(low.rlike(any_word(words)), each).otherwise(0)
 
 
 def stance(text: Column) -> Column:
-    good, bad = _hits(text, POSITIVE), _hits(text, NEGATIVE)
-    return F.when(good > bad, "bullish").when(bad > good, "bearish").otherwise("unknown")
+    def of(low: Column) -> Column:
+        hits = F.struct(_hits(low, POSITIVE).alias("good"), _hits(low, NEGATIVE).alias("bad"))
+        return once(hits, lambda h: F.when(h["good"] > h["bad"], "bullish").when(h["bad"] > h["good"], "bearish").otherwise("unknown"))
+
+    return once(F.lower(F.coalesce(text, F.lit(""))), of)
 
 
 def horizon(text: Column) -> Column:
     """short, medium, long or unknown: a span of months by its end, else by keyword."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    months = F.regexp_extract(low, r"[0-9]+ ?- ?([0-9]+) ?months?", 1)
-    end = F.expr("0") + F.when(months != "", months).otherwise("0").cast("int")
-    by_word = F.when(low.contains("long"), "long").when(low.contains("medium"), "medium").when(low.contains("short"), "short").otherwise("unknown")
-    return F.when(months != "", F.when(end <= 3, "short").when(end <= 6, "medium").otherwise("long")).otherwise(by_word)
+
+    def of(low: Column) -> Column:
+        months = F.regexp_extract(low, r"[0-9]+\s*[-–—至到]\s*([0-9]+)\s*个?月", 1)
+        end = months.try_cast("int")
+        by_word = F.lit("unknown")
+        for name, words in reversed(HORIZONS):
+            by_word = F.when(low.rlike("|".join(words)), name).otherwise(by_word)
+        known = F.when(months != "", F.when(end <= 3, "short").when(end <= 6, "medium").otherwise("long")).otherwise(by_word)
+        return F.when((low == "") | low.rlike("|".join(UNCERTAIN)), "unknown").otherwise(known)
+
+    return once(F.lower(F.trim(F.coalesce(text, F.lit("")))), of)
 
 
 def confidence(has_asset: Column, stance_: Column, topic_: Column, is_event: Column) -> Column:
@@ -128,8 +169,9 @@ def china_score(usd_cny: Column, policy_word: Column) -> Column:
 
 
 def composite(recession: Column, market: Column, geopolitics: Column, china: Column) -> Column:
-    return F.round(0.30 * recession + 0.25 * market + 0.20 * geopolitics + 0.25 * china, 2)
+    """The whole number nearest to the weighted sum, halves to the even one."""
+    return F.bround(0.30 * recession + 0.25 * market + 0.20 * geopolitics + 0.25 * china, 0).cast("int")
 
 
 def risk_level(score: Column, limits: tuple[float, float, float] = (70, 55, 40)) -> Column:
-    return F.when(score >= limits[0], "severe").when(score >= limits[1], "high").when(score >= limits[2], "elevated").otherwise("low")
+    return F.when(score >= limits[0], "critical").when(score >= limits[1], "high").when(score >= limits[2], "medium").otherwise("low")

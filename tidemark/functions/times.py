@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Minutes of the Beijing day from which the noon, evening and night editions count.
-EDITIONS = ((9 * 60 + 30, "morning"), (15 * 60, "close"), (20 * 60 + 30, "evening"))
-PEAK_HOURS = (9, 22)
+#: Minutes of the Beijing day from which the editions after the morning one count, and the peak minutes of a working day. Fixed values.
+EDITIONS = ((9 * 60 + 30, "midday"), (15 * 60, "close"), (20 * 60 + 30, "us_premarket"))
+PEAK = ((9 * 60, 12 * 60), (14 * 60, 18 * 60))
+#: Unit of a relative label: seconds, and the greatest number it comes with. Fixed values.
+OFFSETS = {"s": (1, 59), "m": (60, 59), "h": (3600, 23)}
 
 
 def slot(ts: Column, minutes: int = 30) -> Column:
@@ -24,19 +26,30 @@ def minute_of_day(ts: Column) -> Column:
 
 
 def edition(ts: Column) -> Column:
-    """The last edition whose Beijing time has come; the evening one until the first of the day."""
+    """The edition by the minute of the Beijing day, the morning one first."""
     m = minute_of_day(beijing(ts))
-    out = F.lit("evening")
+    out = F.lit("morning")
     for start, name in EDITIONS:
         out = F.when(m >= start, name).otherwise(out)
     return out
 
 
 def peak(ts: Column, holidays: list[str]) -> Column:
-    """Whether it is a working day in Beijing, in the peak hours."""
+    """Whether it is a working day in Beijing, in the peak minutes."""
     local = beijing(ts)
-    day = F.date_format(local, "yyyy-MM-dd")
-    return ~F.dayofweek(local).isin(1, 7) & ~day.isin(holidays) & F.hour(local).between(PEAK_HOURS[0], PEAK_HOURS[1] - 1)
+    day, m = F.date_format(local, "yyyy-MM-dd"), minute_of_day(local)
+    inside = F.lit(False)
+    for start, end in PEAK:
+        inside = inside | ((m >= start) & (m < end))
+    return ~F.dayofweek(local).isin(1, 7) & ~day.isin(holidays) & inside
+
+
+def next_off_peak(ts: Column, holidays: list[str]) -> Column:
+    """The instant itself if it isn't at peak, else the end of its peak span, in UTC."""
+    local = beijing(ts)
+    hour = F.when(F.hour(local) < 12, 12).otherwise(18)
+    ends = F.to_utc_timestamp(F.date_trunc("day", local) + F.make_interval(hours=hour), "Asia/Shanghai")
+    return F.when(peak(ts, holidays), ends).otherwise(ts.cast("timestamp"))
 
 
 def next_due(last: Column, ts: Column, peak_minutes: int, off_minutes: int, holidays: list[str]) -> Column:
@@ -46,16 +59,17 @@ def next_due(last: Column, ts: Column, peak_minutes: int, off_minutes: int, holi
 
 
 def relative(label: Column, now: Column) -> Column:
-    """The older edge of a label such as `5 minutes ago`, `2 h` or `yesterday`."""
-    n = F.expr("0") + F.coalesce(F.try_to_number(F.regexp_extract(label, "([0-9]+)", 1), F.lit("999999")), F.lit(0)).cast("int")
-    low = F.lower(label)
-    unit = F.when(low.rlike("[0-9] ?(m|min|minutes?)( ago)?$"), 60).when(low.rlike("[0-9] ?(h|hours?)( ago)?$"), 3600).when(low.rlike("[0-9] ?(d|days?)( ago)?$"), 86400)
-    seconds = F.when(low == "yesterday", 86400).otherwise((n + 1) * unit)
+    """The older edge of a label such as `5m` or `2h`: a number up to its unit's limit and s, m or h; null for anything else."""
+    plain = F.lower(F.trim(label))
+    number, unit = F.regexp_extract(plain, r"^([0-9]{1,2})\s*[smh]$", 1), F.regexp_extract(plain, r"^[0-9]{1,2}\s*([smh])$", 1)
+    n = number.try_cast("int")
+    seconds = F.lit(None).cast("int")
+    for name, (size, most) in OFFSETS.items():
+        seconds = F.when((unit == name) & (n <= most), (n + 1) * size).otherwise(seconds)
     return F.timestamp_seconds(F.unix_seconds(now.cast("timestamp")) - seconds)
 
 
 def url_stamp(url: Column) -> Column:
-    """The UTC instant of a Beijing stamp yyyyMMddHHmm in a url, or of its day yyyyMMdd at midnight; null if there is none."""
-    digits = F.regexp_extract(url, r"(?:^|[^0-9])(20[0-9]{6}(?:[0-9]{4})?)(?:[^0-9]|$)", 1)
-    whole = F.rpad(digits, 12, "0")
-    return F.when(digits != "", F.to_utc_timestamp(F.try_to_timestamp(whole, F.lit("yyyyMMddHHmm")), "Asia/Shanghai"))
+    """The UTC instant of the Beijing time yyyyMMddHHmmss that stands, perhaps with more digits, between slashes of a url; null if there is none."""
+    digits = F.regexp_extract(url, r"/([0-9]{14})[0-9]*/", 1)
+    return F.when(digits != "", F.to_utc_timestamp(F.try_to_timestamp(digits, F.lit("yyyyMMddHHmmss")), "Asia/Shanghai"))

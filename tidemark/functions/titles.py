@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
+from functools import cache
+from unicodedata import normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import canonical_url
+
 #: Letters of a prefix key, least letters of a prefix duplicate, least letters of a repeated half.
 PREFIX, LEAST, REPEAT = 12, 16, 6
+#: Separators of CJK titles that Unicode counts among the letters.
+LETTER_SEPARATORS = "丨"
+
+
+@cache
+def compatible() -> tuple[str, str]:
+    """Characters whose NFKC form is another single character, and these: full and half widths, presentation forms, compatibility ideographs."""
+    pairs = [(chr(c), normalize("NFKC", chr(c))) for c in range(0xA0, 0x10000) if not 0xD800 <= c < 0xE000]
+    moved = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in moved), "".join(b for _, b in moved)
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def collapse_repeat(text: Column) -> Column:
     """A text whose second half starts over: cut before the first place, past the middle, from which the rest equals its start."""
-    n = F.length(text)
-    places = F.filter(F.sequence(F.greatest(F.floor(n / 2), F.lit(1)), F.greatest(n - REPEAT, F.lit(1))), lambda k: (k >= n / 2) & (n - k >= REPEAT) & text.startswith(F.substr(text, (k + 1).cast("int"))))
-    return F.when((n >= 2 * REPEAT) & (F.size(places) > 0), F.substr(text, F.lit(1), F.get(places, 0).cast("int"))).otherwise(text)
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        places = F.filter(F.sequence(F.greatest(F.floor(n / 2), F.lit(1)), F.greatest(n - REPEAT, F.lit(1))), lambda k: (k >= n / 2) & (n - k >= REPEAT) & t.startswith(F.substr(t, (k + 1).cast("int"))))
+        # Few texts have their first letters again in the second half; the others are left at once.
+        again = F.contains(F.substr(t, (F.floor(n / 2) + 1).cast("int")), F.left(t, F.lit(REPEAT)))
+        return F.when((n >= 2 * REPEAT) & again, F.when(F.size(places) > 0, F.substr(t, F.lit(1), F.get(places, 0).cast("int"))).otherwise(t)).otherwise(t)
+
+    return once(text, cut)
 
 
 def normal_title(title: Column) -> Column:
-    """Lower-cased letters and digits only, a self-repeat collapsed."""
-    return collapse_repeat(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}]+", ""))
+    """Compatible forms made one (those of one character), letters and digits only, lower-cased, a self-repeat collapsed."""
+    plain = F.lower(F.translate(F.coalesce(title, F.lit("")), *compatible()))
+    return collapse_repeat(F.regexp_replace(plain, rf"[^\p{{L}}\p{{N}}]+|[{LETTER_SEPARATORS}]", ""))
 
 
 def dedup_key(title: Column, url: Column) -> Column:
-    plain = normal_title(title)
-    return F.left(F.sha1(F.when(plain != "", plain).otherwise(F.coalesce(url, F.lit("")))), F.lit(20))
+    return once(normal_title(title), lambda plain: F.left(F.sha1(F.when(plain != "", plain).otherwise(canonical_url(url))), F.lit(20)))
 
 
 def prefix_key(title: Column) -> Column:
-    plain = normal_title(title)
-    return F.when(F.length(plain) >= PREFIX, F.left(F.sha1(F.left(plain, F.lit(PREFIX))), F.lit(16)))
+    return once(normal_title(title), lambda plain: F.when(F.length(plain) >= PREFIX, F.left(F.sha1(F.left(plain, F.lit(PREFIX))), F.lit(16))))
 
 
 def is_prefix_duplicate(a: Column, b: Column) -> Column:
@@ -37,9 +62,11 @@ def is_prefix_duplicate(a: Column, b: Column) -> Column:
 
 
 def amounts(text: Column) -> Column:
-    """Sorted distinct amounts such as 25bp or 3.5pct."""
-    points = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)([0-9]+(?:\.[0-9]+)?) ?(?:bp|bps|basis points?)\b"), 1), lambda x: F.concat(x, F.lit("bp")))
-    parts = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)([0-9]+(?:\.[0-9]+)?) ?(?:%|percent\b)"), 1), lambda x: F.concat(x, F.lit("pct")))
+    """Sorted distinct amounts such as 25bp or 3.5pct: points by any of their names, parts by the sign %, numbers without zeros at their ends."""
+    short = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^0+(?=[0-9])", ""), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    number = r"(?<![0-9])([0-9]+(?:\.[0-9]+)?)\s*"
+    points = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i){number}(?:个?基点|bps?\b|basis\s+points?\b)"), 1), lambda x: F.concat(short(x), F.lit("bp")))
+    parts = F.transform(F.regexp_extract_all(text, F.lit(rf"{number}%"), 1), lambda x: F.concat(short(x), F.lit("pct")))
     return F.array_sort(F.array_distinct(F.concat(points, parts)))
 
 
@@ -48,10 +75,18 @@ def cash_tags(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\$([A-Z]{2,5})(?![A-Za-z0-9])"), 1))
 
 
+#: What a post may hold beside its own words. Fixed values.
+REPOST, ATTRIBUTION = r"(?i)^\s*(?:RT|RETRUTH)\b[\s:：|—-]*", r"(?i)^\s*(?:FROM|VIA|BY)\b[\s:：|—-]*"
+LINK = r"(?i)(?:(?:https?:)?//|www\.)[^\s<>()]+|(?<![A-Za-z0-9_@])(?:[a-z0-9-]+\.)+(?:com|org|net|xyz|io|gov|edu)(?:/[^\s<>()]*)?"
+MENTION, CASHTAG = r"(?<![A-Za-z0-9_@])@[A-Za-z0-9_]{1,64}\b", r"(?<![A-Za-z0-9_$])\$[A-Za-z][A-Za-z0-9._-]{0,9}\b"
+
+
 def substantive(text: Column) -> Column:
-    """Whether something is left beside links, handles, tags and marks: eight letters or digits at least."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"https?://\S+|[@#]\S+", " ")
-    return F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", "")) >= 8
+    """Whether something is left beside repost marks, links and mentions: a cashtag, three letters or digits, or two Han characters."""
+    bare = F.coalesce(text, F.lit(""))
+    for pattern, to in ((REPOST, ""), (ATTRIBUTION, ""), (LINK, " "), (MENTION, " ")):
+        bare = F.regexp_replace(bare, pattern, to)
+    return once(bare, lambda t: t.rlike(CASHTAG) | (F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")) >= 3) | (F.length(F.regexp_replace(t, r"[^\u3400-\u9fff]+", "")) >= 2))
 
 
 def plain_text(html: Column) -> Column:

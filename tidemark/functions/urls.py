@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query keys that only track. Fixed values.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "spm")
+#: Query keys that differ from fetch to fetch. Fixed values.
+TRACKING = ("ref", "aid", "tid", "c", "mkt", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "src")
+#: Scheme, host, path and query of a url.
+_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
 def host(url: Column) -> Column:
@@ -20,13 +22,38 @@ def _kept_query(url: Column, ordered: bool, drop: Column) -> Column:
     return F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(F.lit(""))
 
 
+def _decoded(text: Column) -> Column:
+    """A part of a query as it is meant; one that can't be decoded as it stands."""
+    return F.coalesce(F.try_url_decode(text), text)
+
+
+def _encoded(text: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def unwrapped(url: Column) -> Column:
+    """The address that a redirect's `url` (or else `u`) parameter holds, if it is one of http or https; else the url."""
+    query = F.regexp_extract(url, _PARTS, 4)
+    of = lambda key: F.regexp_extract(query, f"(?:^|&){key}=([^&]+)", 1)
+    inner = _decoded(F.when(of("url") != "", of("url")).otherwise(of("u")))
+    return F.when(inner.rlike("^https?://"), inner).otherwise(url)
+
+
 def canonical_url(url: Column) -> Column:
-    """Scheme and host lower-cased, tracking pairs, fragment and last slashes of the path dropped; a text without a host stays as it is, trimmed."""
-    u = F.trim(url)
-    scheme = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    path = F.regexp_replace(F.regexp_extract(u, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), "/+$", "")
-    whole = F.concat(scheme, F.lit("://"), host(u), path, _kept_query(u, False, "^(" + "|".join(TRACKING) + ")$"))
-    return F.when(host(u) == "", u).otherwise(whole)
+    """Redirects unwrapped up to three times, scheme and host lower-cased, pairs that track (their key in any case) or are blank dropped and the others
+    encoded anew, no fragment, no slash at the end of a path, which is / if empty. A null url is the empty string."""
+    u = F.coalesce(F.trim(url), F.lit(""))
+    for _ in range(3):
+        u = unwrapped(u)
+    part = lambda k: F.regexp_extract(u, _PARTS, k)
+    pairs = F.transform(F.filter(F.split(part(4), "&"), lambda p: p.rlike("=.")), lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)=", 1)).alias("k"), _decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.transform(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING)), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"])))
+    path = F.regexp_replace(part(3), "/+$", "")
+    whole = F.concat(
+        F.when(part(1) != "", F.concat(F.lower(part(1)), F.lit(":"))).otherwise(""), F.when(part(2) != "", F.concat(F.lit("//"), F.lower(part(2)))).otherwise(""),
+        F.when(path == "", "/").otherwise(path), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""),
+    )
+    return F.when(u == "", u).otherwise(whole)
 
 
 def publisher_url(url: Column, hosts: list[str]) -> Column:

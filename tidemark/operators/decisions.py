@@ -62,6 +62,8 @@ def market_validation(edges: DataFrame, reactions: DataFrame, keys: tuple[str, s
     groups = groups.withColumn("expected", F.when(kind == "opportunity", "up").when(kind == "risk", "down")).withColumn("required", _by(F.col("horizon"), REQUIRED, "3D"))
     way = F.when(F.col("direction") == "positive", "up").when(F.col("direction") == "negative", "down")
     agreeing = edges.where("source_type = 'event'").withColumn("_way", way).join(groups.select(t, a, "expected", "required"), [t, a]).where(F.col("_way") == F.col("expected"))
+    # Only whether there are such rows counts, so edges of one source meet the reactions once.
+    agreeing = agreeing.select(t, a, "expected", "required", "source_id").distinct()
     matched = agreeing.select(t, a, "expected", "required", "source_id").join(reactions.withColumnRenamed("direction", "observed"), ["source_id", a])
     complete = (F.col("status") == "complete") & (F.col("sample_count") >= _by(F.col("window"), SAMPLES, 99))
     agrees = F.when(F.col("observed").isin("up", "down"), F.col("observed") == F.col("expected"))

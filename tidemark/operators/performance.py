@@ -84,11 +84,11 @@ def period_return(points: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def trailing_growth(points: DataFrame, years: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
-    """Growth over the last n years from the last point on or before the day n years earlier; no row if there is none."""
+    """Growth over the last n years, from the first point on or after the day n years earlier (29 Feb counts as the 28th); no row if that is the last one."""
     last = _ends(points).select("series", F.col("b.day").alias("end_day"), F.col("b.value").alias("end_value"))
     asked = last.withColumn("years", F.explode(F.array(*[F.lit(y) for y in years]))).withColumn("start_target", F.add_months("end_day", -12 * F.col("years")))
-    # One row a series and span: the points meet them by series, and the latest that is early enough stays.
-    found = points.join(F.broadcast(asked), "series").where(F.col("day") <= F.col("start_target")).groupBy("series", "years", "end_day", "end_value").agg(F.max(F.struct("day", "value")).alias("s"))
+    # As many rows a series as spans: the points meet them by series, and the earliest that is late enough stays.
+    found = points.join(asked, "series").where((F.col("day") >= F.col("start_target")) & (F.col("day") < F.col("end_day"))).groupBy("series", "years", "end_day", "end_value").agg(F.min(F.struct("day", "value")).alias("s"))
     return found.select("series", "years", F.col("s.day").alias("start_day"), "end_day", growth(F.col("s.value"), F.col("end_value"), F.datediff("end_day", "s.day")).alias("cagr"))
 
 

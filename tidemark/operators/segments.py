@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of a chunk; least segments and characters, least seconds, most speakers, least turns of the one who speaks most. Fixed values.
 CHUNK = 11_000
+SEGMENTS, CHARACTERS, SECONDS, SPEAKERS, TURNS = 20, 2000, 60, 12, 3
 
 
 def chunks(segments: DataFrame, most: int = CHUNK) -> DataFrame:
-    """segments(doc, at, text) -> (doc, at, chunk): in order into chunks of at most so many characters; a longer one is a chunk by itself.
+    """segments(doc, at, text) -> (doc, at, part, chunk): in order into chunks of at most so many characters, a longer text cut into parts of that many first.
 
-    A chunk begins where the ones before leave off, so the lengths of a document are folded in order; its texts are not gathered.
+    A chunk begins where the ones before leave off, so the lengths of a document are folded in order; its texts are not gathered. Empty texts are in no chunk.
     """
-    sizes = segments.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", F.length("text").alias("n")))).alias("parts"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<struct<at: bigint, chunk: int>>").alias("out"))
+    n = F.length("text")
+    parts = segments.where(n > 0).select("doc", "at", F.posexplode(F.transform(F.sequence(F.lit(0), ((n - 1) / most).cast("int")), lambda k: F.least(F.lit(most), n - k * most))).alias("part", "n"))
+    sizes = parts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "part", "n"))).alias("parts"))
+    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<struct<at: bigint, part: int, chunk: int>>").alias("out"))
 
     def add(acc, x):
         new = (acc["used"] > 0) & (acc["used"] + x["n"] > most)
         chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
-        placed = F.struct(x["at"].cast("bigint").alias("at"), chunk.alias("chunk"))
+        placed = F.struct(x["at"].cast("bigint").alias("at"), x["part"].alias("part"), chunk.alias("chunk"))
         return F.struct(chunk.alias("chunk"), (F.when(new, 0).otherwise(acc["used"]) + x["n"]).alias("used"), F.concat(acc["out"], F.array(placed)).alias("out"))
 
-    return sizes.select("doc", F.explode(F.aggregate("parts", start, add, lambda acc: acc["out"])).alias("p")).select("doc", "p.at", "p.chunk")
+    return sizes.select("doc", F.explode(F.aggregate("parts", start, add, lambda acc: acc["out"])).alias("p")).select("doc", "p.at", "p.part", "p.chunk")
 
 
 def split_oversize(segments: DataFrame, most: int = CHUNK) -> DataFrame:
@@ -38,13 +42,19 @@ def duration(text: Column) -> Column:
     return F.when(text.rlike("^[0-9]+(:[0-9]{1,2}){0,2}$"), total)
 
 
-def validated(segments: DataFrame, least_seconds: int = 60, most_speakers: int = 12) -> DataFrame:
-    """segments(doc, start, speaker) -> (doc, segments, speakers, seconds, valid): starts rise, so many seconds at least, so many speakers at most."""
+def validated(segments: DataFrame, segments_: int = SEGMENTS, characters: int = CHARACTERS) -> DataFrame:
+    """segments(doc, at, start, end, speaker, text) -> (doc, segments, speakers, seconds, valid): enough segments and text, starts that don't fall, no empty text, no end
+    before its start, a minute at least, so many speakers at most, one of whom speaks three times."""
     w = Window.partitionBy("doc").orderBy("at")
-    rising = F.col("start") > F.lag("start").over(w)
-    s = segments.withColumn("_rising", F.coalesce(rising, F.lit(True)))
-    found = s.groupBy("doc").agg(F.count("*").alias("segments"), F.count_distinct("speaker").alias("speakers"), (F.max("start") - F.min("start")).alias("seconds"), F.bool_and("_rising").alias("_ok"))
-    return found.withColumn("valid", F.col("_ok") & (F.col("seconds") >= least_seconds) & (F.col("speakers") <= most_speakers)).drop("_ok")
+    fits = F.coalesce(F.col("start") >= F.lag("start").over(w), F.lit(True)) & (F.trim("text") != "") & F.coalesce(F.col("end") > F.col("start"), F.lit(True))
+    by_speaker = segments.withColumn("_fits", F.coalesce(fits, F.lit(False))).groupBy("doc", "speaker").agg(
+        F.count("*").alias("turns"), F.sum(F.length("text")).alias("n"), F.min("start").alias("a"), F.max("start").alias("b"), F.bool_and("_fits").alias("ok")
+    )
+    found = by_speaker.groupBy("doc").agg(
+        F.sum("turns").alias("segments"), F.count("*").alias("speakers"), (F.max("b") - F.min("a")).alias("seconds"), F.max("turns").alias("_most"), F.sum("n").alias("_n"), F.bool_and("ok").alias("_ok")
+    )
+    valid = F.col("_ok") & (F.col("segments") >= segments_) & (F.col("_n") >= characters) & (F.col("seconds") >= SECONDS) & (F.col("speakers") <= SPEAKERS) & (F.col("_most") >= TURNS)
+    return found.withColumn("valid", valid).drop("_most", "_n", "_ok")
 
 
 def with_ends(segments: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ def best_per_group(rows: DataFrame, keys: list[str], order: list[Column]) -> Dat
 
 
 def sighting_order() -> list[Column]:
-    """Verified time first, then the owner's own post, then the latest publication, first and last seen, and id."""
-    return [(F.col("time_status") == "verified").desc(), F.col("owned_direct").desc(), F.col("published_at").desc_nulls_last(), F.col("first_seen").desc(), F.col("last_seen").desc(), F.col("sighting_id").desc()]
+    """Verified time first, then the owner's own post, then the latest verified publication or else first sight, last sight, and id."""
+    verified = F.col("time_status") == "verified"
+    return [verified.desc(), F.col("owned_direct").desc(), F.when(verified, F.col("published_at")).desc_nulls_last(), F.when(~verified, F.col("first_seen")).desc_nulls_last(), F.col("last_seen").desc(), F.col("sighting_id").desc()]
 
 
 def dedup_exact(items: DataFrame) -> DataFrame:
@@ -30,18 +31,23 @@ def dedup_exact(items: DataFrame) -> DataFrame:
 def prefix_twins(items: DataFrame) -> DataFrame:
     """Pairs of distinct normal titles of which the longer starts with the shorter, both long enough: (long, short).
 
-    Every start of a title is looked up among the titles, so no bucket of a common start is joined with itself.
+    A title's starts, of the lengths that titles with its first letters have, are looked up among the titles by their hash, so no bucket of a common
+    start is joined with itself.
     """
     plain = items.select(titles.normal_title(F.col("title")).alias("plain")).where(F.length("plain") >= titles.LEAST).distinct()
-    starts = plain.select(F.col("plain").alias("long"), F.explode(F.sequence(F.lit(titles.LEAST), F.length("plain"))).alias("n")).select("long", F.expr("left(long, n)").alias("short"))
-    return starts.where("short <> long").join(plain.withColumnRenamed("plain", "short"), "short").select("long", "short")
+    bucket = F.xxhash64(F.left("plain", F.lit(titles.LEAST)))
+    lengths = plain.groupBy(bucket.alias("bucket")).agg(F.collect_set(F.length("plain")).alias("lengths"))
+    starts = plain.select(F.col("plain").alias("long"), bucket.alias("bucket")).join(lengths, "bucket").select("long", F.explode(F.filter("lengths", lambda n: n < F.length("long"))).alias("n"))
+    asked = starts.select("long", "n", F.xxhash64(F.expr("left(long, n)")).alias("hash"))
+    met = asked.join(plain.select(F.col("plain").alias("short"), F.xxhash64("plain").alias("hash")), "hash")
+    return met.where(F.col("long").startswith(F.col("short")) & (F.col("long") != F.col("short"))).select("long", "short")
 
 
 def fold_prefixes(items: DataFrame) -> DataFrame:
-    """(item_id, class_title): the shortest title that an item's title starts with, which names its class of twins."""
-    shortest = prefix_twins(items).groupBy(F.col("long").alias("plain")).agg(F.min_by("short", F.length("short")).alias("root"))
+    """(item_id, class_title): the longest title that starts with an item's (of equal ones the last by code point), which names its class of twins."""
+    longest = prefix_twins(items).groupBy(F.col("short").alias("plain")).agg(F.max_by("long", F.struct(F.length("long"), "long")).alias("root"))
     named = items.select("item_id", titles.normal_title(F.col("title")).alias("plain"))
-    return named.join(shortest, "plain", "left").select("item_id", F.coalesce("root", "plain").alias("class_title"))
+    return named.join(longest, "plain", "left").select("item_id", F.coalesce("root", "plain").alias("class_title"))
 
 
 def alias_classes(aliases: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def _edges(spark, d):
 
 
 def _reactions(spark, d):
-    e, k = _events(spark, d).where("event_id % 3 = 0"), F.col("event_id")
+    e, k = _events(spark, d), F.col("event_id")
     span = F.explode(F.array(F.lit("1D"), F.lit("3D"), F.lit("5D"))).alias("window")
     r = e.select(k, (k % 997).cast("string").alias("source_id"), F.concat(F.lit("US:"), F.col("user_id") % 12).alias("asset"), "value", span)
     hours = F.substring("window", 1, 1).cast("int")
@@ -93,7 +93,7 @@ def person_summary(spark, d):
     e = _events(spark, d)
     day = F.col("ts") >= F.lit("2024-01-29 12:00:00").cast("timestamp_ntz")
     seen = e.groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(day).alias("last_day"), F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"))
-    directory = table(spark, d, "customer", "c_custkey").where("c_custkey <= 400").select(F.col("c_custkey").alias("user_id"))
+    directory = table(spark, d, "customer", "c_custkey").select(F.col("c_custkey").alias("user_id"))
     return directory.join(seen, "user_id", "full").select("user_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("last_day", F.lit(0)).alias("last_day"), "latest")
 
 
@@ -247,7 +247,7 @@ k AS (SELECT g.*, gh.horizon, CASE WHEN pos AND NOT neg THEN 'opportunity' WHEN
   CASE WHEN gh.horizon IN ('short', 'intraday') THEN '1D' WHEN gh.horizon IN ('long', 'mixed') THEN '5D' ELSE '3D' END AS required FROM g JOIN gh USING (topic, asset)),
 ag AS (SELECT ok.topic, ok.asset, expected, required, source_id FROM ok JOIN k USING (topic, asset) WHERE source_type = 'event' AND CASE direction WHEN 'positive' THEN 'up' WHEN 'negative' THEN 'down' END = expected),
 re AS (SELECT CAST(event_id % 997 AS VARCHAR) AS source_id, 'US:' || (user_id % 12) AS asset, w || 'D' AS win, CASE WHEN (event_id + w) % 97 = 0 THEN 'unavailable' WHEN (event_id + w) % 11 = 0 THEN 'pending' ELSE 'complete' END AS status, w + 2 AS sample_count,
-  CASE WHEN user_id % 12 IN (1, 5, 9) THEN 'up' WHEN (event_id + w) % 50 = 0 THEN 'flat' WHEN value > 1.5 THEN 'up' ELSE 'down' END AS observed FROM events, (VALUES (1), (3), (5)) v(w) WHERE event_id % 3 = 0),
+  CASE WHEN user_id % 12 IN (1, 5, 9) THEN 'up' WHEN (event_id + w) % 50 = 0 THEN 'flat' WHEN value > 1.5 THEN 'up' ELSE 'down' END AS observed FROM events, (VALUES (1), (3), (5)) v(w)),
 ma AS (SELECT topic, ag.asset, required, win, status, status = 'complete' AND sample_count >= CASE win WHEN '1D' THEN 2 WHEN '3D' THEN 4 ELSE 6 END AS done, CASE WHEN observed IN ('up', 'down') THEN observed = expected END AS agrees FROM ag JOIN re ON ag.source_id = re.source_id AND ag.asset = re.asset),
 wi AS (SELECT topic, asset, win, required, bool_or(done AND agrees IS NOT NULL AND NOT agrees) AS contrary, bool_or(done AND agrees IS NULL) AS unclear, bool_and(done AND coalesce(agrees, false)) AS confirms, bool_and(done) AS done,
   bool_or(status = 'unavailable' AND win <= required) AS lost, bool_or(status = 'pending') AS pending FROM ma GROUP BY ALL),
@@ -271,7 +271,7 @@ SQL = {
     "group_horizon": f"WITH {_E}, {_H.format('e')} SELECT topic, asset, horizon FROM gh",
     "edge_dedup": f"WITH {_E} SELECT topic, asset, source_id, arg_max(edge_id, (confidence, strength, edge_id)) AS edge_id, count(*) AS edges FROM e GROUP BY ALL",
     "event_counters": "SELECT count(*) AS total, count(*) FILTER (value > 20) AS high, count(*) FILTER (value BETWEEN 5 AND 20) AS medium, greatest(0, count(*) - count(*) FILTER (value > 20) - count(*) FILTER (value BETWEEN 5 AND 20)) AS low, count(*) FILTER (event_type = 'purchase') AS market, count(DISTINCT user_id) AS active FROM events WHERE ts >= TIMESTAMP '2024-01-24'",
-    "person_summary": "WITH s AS (SELECT user_id, count(*) AS total, count(*) FILTER (ts >= TIMESTAMP '2024-01-29 12:00:00') AS last_day, arg_max(event_type, (ts, event_id)) AS latest FROM events GROUP BY 1), c AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey <= 400) SELECT user_id, coalesce(total, 0) AS total, coalesce(last_day, 0) AS last_day, latest FROM c FULL JOIN s USING (user_id)",
+    "person_summary": "WITH s AS (SELECT user_id, count(*) AS total, count(*) FILTER (ts >= TIMESTAMP '2024-01-29 12:00:00') AS last_day, arg_max(event_type, (ts, event_id)) AS latest FROM events GROUP BY 1), c AS (SELECT c_custkey AS user_id FROM customer) SELECT user_id, coalesce(total, 0) AS total, coalesce(last_day, 0) AS last_day, latest FROM c FULL JOIN s USING (user_id)",
     "relations_semi": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "anti_unmatched": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
     "latest_quote": "WITH l AS (SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM orders GROUP BY 1) SELECT c_custkey AS o_custkey, c_nationkey + 1 AS quantity, price, round(price * (c_nationkey + 1), 2) AS exposure FROM customer LEFT JOIN l ON c_custkey = o_custkey",
@@ -291,5 +291,5 @@ SQL = {
     "due_selection": "WITH w AS (SELECT event_id AS edge_id, ts, event_id % 5 = 0 AS retry, row_number() OVER (PARTITION BY event_id % 5 = 0 ORDER BY ts, event_id) AS n FROM events), t AS (SELECT *, CAST(CASE WHEN retry AND n <= 13 THEN 0 WHEN NOT retry THEN 1 ELSE 2 END AS INTEGER) AS tier FROM w WHERE n <= 40) SELECT edge_id, retry, tier FROM t ORDER BY tier, ts, edge_id LIMIT 40",
     "usage_summary": "SELECT count(*) AS calls, count(*) FILTER (event_id % 3 = 0) AS succeeded, CAST(sum(CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END) AS BIGINT) AS tokens_in, CAST(sum(user_id) AS BIGINT) AS tokens_out, round(avg(CASE WHEN event_id % 5 > 0 THEN CAST(event_id % 60 AS DOUBLE) END), 6) AS mean_seconds FROM events",
     "slots": "SELECT CAST(floor(epoch(ts) / 1800) AS BIGINT) AS slot, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
-    "editions": "WITH b AS (SELECT event_id, ts + INTERVAL 8 HOUR AS l FROM events), m AS (SELECT *, hour(l) * 60 + minute(l) AS m FROM b) SELECT event_id, CASE WHEN m >= 1230 THEN 'evening' WHEN m >= 900 THEN 'close' WHEN m >= 570 THEN 'morning' ELSE 'evening' END AS edition, dayofweek(l) NOT IN (0, 6) AND CAST(l AS DATE) <> DATE '2024-01-01' AND hour(l) BETWEEN 9 AND 21 AS peak FROM m",
+    "editions": "WITH b AS (SELECT event_id, ts + INTERVAL 8 HOUR AS l FROM events), m AS (SELECT *, hour(l) * 60 + minute(l) AS m FROM b) SELECT event_id, CASE WHEN m >= 1230 THEN 'us_premarket' WHEN m >= 900 THEN 'close' WHEN m >= 570 THEN 'midday' ELSE 'morning' END AS edition, dayofweek(l) NOT IN (0, 6) AND CAST(l AS DATE) <> DATE '2024-01-01' AND (m >= 540 AND m < 720 OR m >= 840 AND m < 1080) AS peak FROM m",
 }

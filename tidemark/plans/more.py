@@ -72,7 +72,9 @@ def oversize_parts(spark, d):
 
 
 def transcript_checks(spark, d):
-    t = _turns(spark, d).select(F.col("conv_id").alias("doc"), F.col("turn").alias("at"), (F.col("turn") * 17 % 90 + F.col("turn") * 5).alias("start"), F.col("role").alias("speaker"))
+    at, doc = (F.col("conv_id") % 8) * 8 + F.col("turn"), F.floor(F.col("conv_id") / 8)
+    back = F.when((doc % 5 == 0) & (at % 16 == 9), 30).otherwise(0)
+    t = _turns(spark, d).select(doc.alias("doc"), at.alias("at"), (at * 7 - back).alias("start"), F.when(at % 3 == 0, at * 7 + 5).alias("end"), F.col("role").alias("speaker"), "text")
     return segments.validated(t)
 
 
@@ -143,7 +145,7 @@ def webvtt_cues(spark, d):
     """Conversations written as WebVTT and read again."""
     t = _turns(spark, d)
     at = lambda n: F.concat(F.lit("00:"), F.lpad((n % 60).cast("string"), 2, "0"), F.lit(":05.500"))
-    cue = F.concat(at(F.col("turn")), F.lit(" --> "), at(F.col("turn") + 1), F.lit(" align:start\n<v "), "role", F.lit(">"), F.left(F.regexp_replace("text", r"[^A-Za-z]+", " "), F.lit(50)))
+    cue = F.concat(at(F.col("turn")), F.lit(" --> "), at(F.col("turn") + 1), F.lit(" align:start\n<v "), "role", F.lit(">"), F.regexp_replace("text", r"[^A-Za-z]+", " "))
     files = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cue.alias("cue")))).alias("c"))
     body = F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.col("c.cue"), "\n\n"))
     return payloads.webvtt(files.select(F.col("conv_id").alias("doc"), body.alias("body"))).select("doc", "at", "start", "end", "speaker", "text")
@@ -172,14 +174,15 @@ def holdings_rows(spark, d):
 def relative_times(spark, d):
     e = table(spark, d, "events", "event_id", "ts")
     k = F.col("event_id")
-    label = F.when(k % 4 == 0, F.concat(k % 50, F.lit(" minutes ago"))).when(k % 4 == 1, F.concat(k % 20, F.lit("h"))).when(k % 4 == 2, "yesterday").otherwise("some day")
+    label = F.when(k % 5 == 0, F.concat(k % 70, F.lit("m"))).when(k % 5 == 1, F.concat(k % 30, F.lit(" H "))).when(k % 5 == 2, F.concat(k % 90, F.lit("s"))).when(k % 5 == 3, "Aug 4").otherwise("5 minutes ago")
     return e.select("event_id", F.unix_seconds(times.relative(label, F.col("ts"))).alias("t"))
 
 
 def url_stamps(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_orderdate")
-    stamp = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "'20'yyMMdd")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.date_format("o_orderdate", "'20'yyMMdd"), F.lit("0930"))).otherwise("12345")
-    return o.select("o_orderkey", F.unix_seconds(times.url_stamp(F.concat(F.lit("https://x.cn/a_"), stamp, F.lit(".html")))).alias("t"))
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    stamp = F.when(F.col("o_orderkey") % 3 == 0, F.concat(day, F.lit("0930157"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("a_"), day, F.lit("093015"))).otherwise("20191399999999")
+    return o.select("o_orderkey", F.unix_seconds(times.url_stamp(F.concat(F.lit("https://x.cn/"), stamp, F.lit("/index.html")))).alias("t"))
 
 
 def drawdown_path(spark, d):
@@ -224,13 +227,17 @@ b AS (SELECT *, CAST((n * tb // 10000) / 100.0 AS DECIMAL(18,2)) AS tl, CAST((n
 c AS (SELECT *, greatest(0, least(bp, cash - buf)) AS room FROM b), e AS (SELECT *, least(ceiling, tl, existing + room) AS eff FROM c)
 SELECT c_custkey, CAST(tl AS DOUBLE) AS total_limit, CAST(sl AS DOUBLE) AS single_limit, CAST(buf AS DOUBLE) AS buffer, CAST(room AS DOUBLE) AS room, CAST(eff AS DOUBLE) AS effective, CAST(eff - existing AS DOUBLE) AS remaining,
   CASE WHEN cash < buf THEN 'cash_buffer_breached' WHEN existing > least(ceiling, tl) THEN 'existing_collateral_limit_breached' WHEN wl <= 0 THEN 'weekly_new_contract_limit_reached' WHEN eff <= existing THEN 'new_capacity_unavailable' END AS abstain FROM e""",
-    "segment_chunks": """WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
-r AS (SELECT conv_id, turn, k, 0 AS chunk, n AS used FROM s WHERE k = 1
-  UNION ALL SELECT s.conv_id, s.turn, s.k, CASE WHEN r.used > 0 AND r.used + s.n > 1500 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.used > 0 AND r.used + s.n > 1500 THEN s.n ELSE r.used + s.n END FROM r JOIN s ON s.conv_id = r.conv_id AND s.k = r.k + 1)
-SELECT conv_id AS doc, turn AS at, CAST(chunk AS INTEGER) AS chunk FROM r""",
+    "segment_chunks": """WITH RECURSIVE q AS (SELECT conv_id, turn, length(text) AS whole, unnest(range(0, length(text), 1500)) AS a FROM conversations WHERE length(text) > 0),
+s AS (SELECT conv_id, turn, a // 1500 AS part, least(1500, whole - a) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, a) AS k FROM q),
+r AS (SELECT conv_id, turn, part, k, 0 AS chunk, n AS used FROM s WHERE k = 1
+  UNION ALL SELECT s.conv_id, s.turn, s.part, s.k, CASE WHEN r.used > 0 AND r.used + s.n > 1500 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.used > 0 AND r.used + s.n > 1500 THEN s.n ELSE r.used + s.n END FROM r JOIN s ON s.conv_id = r.conv_id AND s.k = r.k + 1)
+SELECT conv_id AS doc, turn AS at, CAST(part AS INTEGER) AS part, CAST(chunk AS INTEGER) AS chunk FROM r""",
     "oversize_parts": "SELECT doc_id AS doc, CAST(p AS INTEGER) AS part, CAST(length(substr(text, p * 5000 + 1, 5000)) AS INTEGER) AS n, md5(substr(text, p * 5000 + 1, 5000)) AS digest FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil(length(text) / 5000) AS BIGINT)))) AS p FROM documents)",
-    "transcript_checks": """WITH t AS (SELECT conv_id AS doc, turn, turn * 17 % 90 + turn * 5 AS start, role FROM conversations), l AS (SELECT *, coalesce(start > lag(start) OVER (PARTITION BY doc ORDER BY turn), true) AS ok FROM t)
-SELECT doc, count(*) AS segments, count(DISTINCT role) AS speakers, max(start) - min(start) AS seconds, bool_and(ok) AND max(start) - min(start) >= 60 AND count(DISTINCT role) <= 12 AS valid FROM l GROUP BY doc""",
+    "transcript_checks": """WITH t AS (SELECT conv_id // 8 AS doc, (conv_id % 8) * 8 + turn AS "at", role, text FROM conversations),
+u AS (SELECT *, "at" * 7 - CASE WHEN doc % 5 = 0 AND "at" % 16 = 9 THEN 30 ELSE 0 END AS start, CASE WHEN "at" % 3 = 0 THEN "at" * 7 + 5 END AS stop FROM t),
+l AS (SELECT *, coalesce(start >= lag(start) OVER (PARTITION BY doc ORDER BY "at"), true) AND trim(text) <> '' AND coalesce(stop > start, true) AS ok, count(*) OVER (PARTITION BY doc, role) AS turns FROM u)
+SELECT doc, count(*) AS segments, count(DISTINCT role) AS speakers, max(start) - min(start) AS seconds,
+  bool_and(coalesce(ok, false)) AND count(*) >= 20 AND sum(length(text)) >= 2000 AND max(start) - min(start) >= 60 AND count(DISTINCT role) <= 12 AND max(turns) >= 3 AS valid FROM l GROUP BY doc""",
     "segment_ends": "WITH t AS (SELECT conv_id AS doc, turn AS \"at\", turn - turn % 2 AS start FROM conversations) SELECT doc, \"at\", start, (SELECT min(u.start) FROM t u WHERE u.doc = t.doc AND u.start > t.start) AS \"end\" FROM t",
     "durations": "SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 5) * 3600 + (o_orderkey % 60) * 60 + o_orderkey % 59 WHEN 1 THEN (o_orderkey % 70) * 60 + o_orderkey % 60 WHEN 2 THEN o_orderkey % 1000 END AS BIGINT) AS seconds FROM orders",
     "briefing_sections": f"""WITH {_ITEMS}, b AS (SELECT section, min(place) FILTER (tier = 'reporting') AS bp, bool_or(tier = 'reporting') FILTER (place <= 6) AS has, max(place) FILTER (place <= 6 AND impact < 3 AND tr < 3) AS weak FROM r GROUP BY 1),
@@ -243,13 +250,13 @@ SELECT item_id, section, CAST(choice AS INTEGER) AS choice FROM h ORDER BY choic
     "last_complete_row": "SELECT o_orderkey, o_totalprice AS a, o_custkey AS b FROM orders WHERE o_orderkey % 9 <> 0 AND o_custkey % 3 = 1 ORDER BY o_orderkey DESC LIMIT 1",
     "csv_series": "SELECT o_orderpriority AS series, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2",
     "webvtt_cues": r"""SELECT conv_id AS doc, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS at, CAST(turn % 60 * 60 + 5.5 AS DOUBLE) AS start, CAST((turn + 1) % 60 * 60 + 5.5 AS DOUBLE) AS "end", role AS speaker,
-  trim(regexp_replace(left(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), 50), '\s+', ' ', 'g')) AS text FROM conversations""",
+  trim(regexp_replace(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations""",
     "rank_lists": """WITH p AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY -p_retailprice, p_partkey) AS t, row_number() OVER (ORDER BY -p_size, p_partkey) AS b FROM part)
 SELECT id, CAST(least(CASE WHEN t <= 40 THEN t END, CASE WHEN b <= 40 THEN b END) AS INTEGER) AS rank, CAST(CASE WHEN t <= 40 THEN t END AS INTEGER) AS top_rank, CAST(CASE WHEN b <= 40 THEN b END AS INTEGER) AS best_rank FROM p WHERE t <= 40 OR b <= 40""",
     "feed_rows": "SELECT CAST(page_id AS VARCHAR) AS source, 'Page ' || page_id AS title, url, '2024-01-03 02:00' AS published FROM pages",
     "holdings_rows": "SELECT c_nationkey AS doc, c_custkey AS at, upper('us:' || c_name) AS asset, CAST(1000 + c_custkey % 1000 AS DOUBLE) AS quantity FROM customer WHERE c_custkey % 9 > 1",
-    "relative_times": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CASE event_id % 4 WHEN 0 THEN (event_id % 50 + 1) * 60 WHEN 1 THEN (event_id % 20 + 1) * 3600 WHEN 2 THEN 86400 END AS t FROM events",
-    "url_stamps": """SELECT o_orderkey, CAST(CASE o_orderkey % 3 WHEN 0 THEN epoch(strptime('20' || strftime(o_orderdate, '%y%m%d'), '%Y%m%d')) - 28800 WHEN 1 THEN epoch(strptime('20' || strftime(o_orderdate, '%y%m%d'), '%Y%m%d')) + 34200 - 28800 END AS BIGINT) AS t FROM orders""",
+    "relative_times": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - CASE event_id % 5 WHEN 0 THEN CASE WHEN event_id % 70 <= 59 THEN (event_id % 70 + 1) * 60 END WHEN 1 THEN CASE WHEN event_id % 30 <= 23 THEN (event_id % 30 + 1) * 3600 END WHEN 2 THEN CASE WHEN event_id % 90 <= 59 THEN event_id % 90 + 1 END END AS t FROM events",
+    "url_stamps": "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN epoch(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) + 34215 - 28800 END AS BIGINT) AS t FROM orders",
     "drawdown_path": """WITH p AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS value FROM orders GROUP BY 1, 2)
 SELECT series, CAST(day AS VARCHAR) AS day, round(value / max(value) OVER w - 1, 6) AS drawdown, CAST(arg_max(day, (value, -date_diff('day', DATE '1970-01-01', day))) OVER w AS VARCHAR) AS peak_day FROM p WINDOW w AS (PARTITION BY series ORDER BY day ROWS UNBOUNDED PRECEDING)""",
 }

@@ -8,9 +8,13 @@ from ..functions import rules, signals
 from ..operators import news, store
 from ..sources.tables import table
 from .common import shown
-from .text import _A, _B, _list, _word
+from .text import _A, _B, _any, _hits, _list, _word
 
 _NOW = "2024-01-31 12:00:00"
+#: Ways to write an asset and the key of each.
+_KEYS = (
+    ("aapl", "US:AAPL"), ("HK:700", None), ("toolong7", None), ("brk.b", "US:BRK.B"), ("SH:600519", "CN:600519"), ("000001.sz", "CN:000001"), ("$X", "US:X"), ("usd/cny", "FX:USD/CNY"), ("(btc)", "CRYPTO:BTC"), ("crypto: doge", "CRYPTO:DOGE"),
+)
 
 
 def _now():
@@ -24,7 +28,7 @@ def _events(spark, d):
 def _texts(spark, d):
     pick = lambda words, n: F.get(F.array(*[F.lit(w) for w in words]), (F.col("event_id") % n).cast("int"))
     asset = F.get(F.array(F.lit("gold and bitcoin"), F.lit("$AAPL"), F.lit("code 600519 now"), F.lit("nothing"), F.lit("NVDA and THE CEO")), (F.col("event_id") % 5).cast("int"))
-    return _events(spark, d).withColumn("text", F.concat_ws(" ", pick(_A, len(_A)), asset, pick(_B, len(_B))))
+    return _events(spark, d).withColumn("head", pick(_A, len(_A))).withColumn("text", F.concat_ws(" ", "head", asset, pick(_B, len(_B))))
 
 
 def news_snapshot(spark, d):
@@ -76,7 +80,7 @@ def private_overlay(spark, d):
     c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal")
     cards = table(spark, d, "nation", "n_nationkey").select(F.col("n_nationkey").alias("card_id"), F.col("n_nationkey").alias("asset"), (F.lit(0.5) + F.col("n_nationkey") * 0.01).alias("confidence"))
     positions = c.where("c_nationkey % 4 < 3").select(F.col("c_nationkey").alias("asset"), (F.col("c_custkey") % 100).alias("quantity"), F.when((F.col("c_nationkey") % 5 == 0) & (F.col("c_custkey") % 2 == 0), "CNY").otherwise("USD").alias("currency"), (F.col("c_custkey") % 800 == 1).alias("stale"))
-    quotes = c.where("c_custkey <= 80").groupBy(F.col("c_nationkey").alias("asset")).agg(F.round(F.max("c_acctbal"), 2).alias("price"), (F.count("*") < 2).alias("quote_stale"))
+    quotes = c.groupBy(F.col("c_nationkey").alias("asset")).agg(F.round(F.max("c_acctbal"), 2).alias("price"), (F.count("*") < 2).alias("quote_stale"))
     return news.overlay(cards, positions, quotes)
 
 
@@ -87,11 +91,14 @@ def event_edges(spark, d):
 
 
 def text_tickers(spark, d):
-    return _texts(spark, d).select("event_id", F.array_join(signals.tickers(F.upper(F.left("text", F.lit(24)))), ",").alias("tickers"))
+    named = F.concat(F.upper(F.regexp_extract("source", "[a-z]+", 0)), F.lit(" class B stock, THE shares of AI stock"))
+    text = F.concat_ws(" ", "text", F.concat(F.lit("buy $"), F.upper("lang")), named)
+    return table(spark, d, "documents", "doc_id", "text", "lang", "source").select("doc_id", F.array_join(signals.tickers(text), ",").alias("tickers"))
 
 
 def asset_keys(spark, d):
-    v = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(" us:"), F.col("p_partkey"))).when(F.col("p_partkey") % 5 == 1, F.lpad(F.col("p_partkey").cast("string"), 6, "0")).when(F.col("p_partkey") % 5 == 2, "aapl").when(F.col("p_partkey") % 5 == 3, "HK:700").otherwise("toolong7")
+    k = F.col("p_partkey")
+    v = F.when(k % 12 == 0, F.concat(F.lit(" us:"), k)).when(k % 12 == 1, F.lpad(k.cast("string"), 6, "0")).otherwise(F.get(F.array(*[F.lit(name) for name, _ in _KEYS]), (k % 12 - 2).cast("int")))
     return table(spark, d, "part", "p_partkey").select("p_partkey", signals.asset_key(v).alias("asset"))
 
 
@@ -111,13 +118,13 @@ def signature_clusters(spark, d):
 def categories(spark, d):
     e = _texts(spark, d)
     tier = signals.source_tier(F.col("event_id") % 9 == 0, F.col("event_id") % 4 == 0, F.col("event_id") % 2 == 0)
-    return e.select("event_id", signals.category(F.left("text", F.lit(16)), F.col("text")).alias("category"), signals.severity(F.col("text")).alias("severity"), tier.alias("tier"), signals.substring_hits(F.col("text"), ("war", "rate", "rally", "loss")).alias("hits"))
+    return e.select("event_id", signals.category(F.col("head"), F.col("text")).alias("category"), signals.severity(F.col("text")).alias("severity"), tier.alias("tier"), signals.substring_hits(F.col("text"), ("war", "rate", "rally", "loss")).alias("hits"))
 
 
 def signal_scores(spark, d):
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
-    score = signals.signal_score(F.col("l_quantity") / 5, F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_linenumber"), F.col("l_orderkey") % 11 - 1)
-    return li.select("l_orderkey", "l_linenumber", score.alias("score"))
+    score = signals.signal_score(F.col("l_quantity") * 2, F.col("l_discount") * 1000, F.col("l_tax") * 1250, F.col("l_linenumber") * 14, F.col("l_orderkey") % 101)
+    return li.select("l_orderkey", "l_linenumber", score.alias("score")).withColumn("level", signals.signal_level(F.col("score")))
 
 
 def opportunities(spark, d):
@@ -181,21 +188,17 @@ def _has(column: str, words) -> str:
 
 
 def _named(column: str) -> str:
-    return "[" + ", ".join(f"CASE WHEN {_has(column, [name])} THEN '{key}' END" for name, key in signals.ALIASES.items()) + "]"
+    return "[" + ", ".join(f"CASE WHEN {_any(names, column)} THEN '{key}' END" for key, names in signals.ALIASES) + "]"
 
 
 def _scores(title: str, evidence: str) -> list[str]:
     return ["(" + " + ".join(f"3 * CAST({_has(title, [w])} AS INTEGER) + CAST({_has(evidence, [w])} AS INTEGER)" for w in words) + ")" for words in signals.TAXONOMY.values()]
 
 
-_TOPIC = "CASE " + " ".join(f"WHEN {_has('text', w)} THEN '{name}'" for name, w in rules.TOPICS) + " ELSE 'general' END"
+_TOPIC = "CASE " + " ".join(f"WHEN {_any(w, 'text')} THEN '{name}'" for name, w in rules.TOPICS) + " ELSE 'general' END"
 
 
-def _count(words) -> str:
-    return " + ".join(f"CASE WHEN {_has('text', [w])} AND NOT regexp_matches(lower(text), '(^|[^a-z0-9])(not|never|no) ([a-z0-9]+ ){{0,2}}{w}($|[^a-z0-9])') THEN 1 ELSE 0 END" for w in words)
-
-
-_EDGES = f"""a AS (SELECT *, {_TOPIC} AS topic, {_count(rules.POSITIVE)} AS good, {_count(rules.NEGATIVE)} AS bad,
+_EDGES = f"""a AS (SELECT *, {_TOPIC} AS topic, {_hits(rules.POSITIVE, "text")} AS good, {_hits(rules.NEGATIVE, "text")} AS bad,
   list_filter(list_concat(CASE WHEN event_id % 7 = 0 THEN ['US:MSFT', 'CN:X'] ELSE [] END, CASE WHEN event_id % 5 = 1 THEN ['US:AAPL'] ELSE [] END, CASE WHEN event_id % 5 = 2 THEN ['CN:600519'] ELSE [] END, {_named("text")}), lambda v: v IS NOT NULL) AS assets FROM x),
 s AS (SELECT *, CASE WHEN good > bad THEN 'bullish' WHEN bad > good THEN 'bearish' ELSE 'unknown' END AS stance FROM a),
 e AS (SELECT *, unnest(CASE WHEN len(assets) = 0 THEN [NULL] ELSE assets END) AS asset FROM s),
@@ -206,7 +209,7 @@ _SIGN = f"""t AS (SELECT event_id, ts, event_type, {_TITLE} AS title FROM x),
 f AS (SELECT *, {_ACTIONS} AS found, list_filter(list_concat(CASE WHEN regexp_matches(title, '(^|[^0-9])[0-9]{{6}}($|[^0-9])') THEN ['CN:600519'] ELSE [] END, {_named("title")}), lambda v: v IS NOT NULL) AS entities FROM t),
 g AS (SELECT *, CASE WHEN len(found) = 1 AND NOT regexp_matches(title, '{signals.MODAL}') THEN CASE WHEN regexp_matches(title, '{signals.NEGATION}') THEN 'not_' || found[1] ELSE found[1] END END AS action FROM f),
 h AS (SELECT *, CASE WHEN action IS NOT NULL AND len(entities) > 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) || '|' || action || '|' || array_to_string(list_sort(entities), ',') || '|' || event_type END AS signature FROM g)"""
-_CAT = _scores("left(text, 16)", "text")
+_CAT = _scores(f"{_list(_A)}[event_id % {len(_A)} + 1]", "text")
 SQL = {
     "news_snapshot": """WITH i AS (SELECT event_id % 2000 AS item_id, max(ts) FILTER (event_id % 3 > 0) AS p, min(ts) AS f FROM events GROUP BY 1), b AS (SELECT event_id % 2000 AS item_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources, count(DISTINCT event_type) AS n_sources FROM events GROUP BY 1)
 SELECT item_id, sources, n_sources, strftime(coalesce(p, f), '%Y-%m-%d %H:%M:%S') AS shown_at FROM i JOIN b USING (item_id) WHERE coalesce(p, f) BETWEEN TIMESTAMP '2024-01-24 12:00:00' AND TIMESTAMP '2024-01-31 12:00:00'""",
@@ -220,19 +223,22 @@ FROM (SELECT event_id, ts, w, CASE WHEN event_id % 2 = 0 AND w < 5 THEN CASE WHE
     "best_reactions": "WITH s AS (SELECT user_id % 40 AS source, event_type, event_id, ts, CASE WHEN event_id % 9 = 0 THEN 3 WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS r FROM events) SELECT source, event_type, event_id AS row_id, ['pending', 'preliminary', 'complete'][r] AS status FROM s QUALIFY row_number() OVER (PARTITION BY source, event_type ORDER BY r DESC, ts DESC, event_id DESC) = 1",
     "merged_feeds": "SELECT event_id, value, CASE WHEN value > 15 THEN 'priority' ELSE 'regular' END AS feed FROM events WHERE value > 15 OR event_id % 3 = 0",
     "private_overlay": """WITH h AS (SELECT c_nationkey AS asset, sum(c_custkey % 100) AS quantity, count(*) AS positions, count(DISTINCT CASE WHEN c_nationkey % 5 = 0 AND c_custkey % 2 = 0 THEN 'CNY' ELSE 'USD' END) AS cur, bool_or(c_custkey % 800 = 1) AS ps FROM customer WHERE c_nationkey % 4 < 3 GROUP BY 1),
-q AS (SELECT c_nationkey AS asset, round(max(c_acctbal), 2) AS price, count(*) < 2 AS qs FROM customer WHERE c_custkey <= 80 GROUP BY 1)
+q AS (SELECT c_nationkey AS asset, round(max(c_acctbal), 2) AS price, count(*) < 2 AS qs FROM customer GROUP BY 1)
 SELECT n_nationkey AS card_id, n_nationkey AS asset, coalesce(positions, 0) AS positions, CASE WHEN cur = 1 AND NOT coalesce(qs, true) THEN round(price * quantity, 2) END AS exposure,
   round((0.5::DOUBLE + n_nationkey * 0.01::DOUBLE) * (CASE WHEN coalesce(ps, false) THEN 0.8::DOUBLE ELSE 1 END * CASE WHEN coalesce(qs, true) THEN 0.75::DOUBLE ELSE 1 END), 4) AS confidence FROM nation LEFT JOIN h ON h.asset = n_nationkey LEFT JOIN q ON q.asset = n_nationkey""",
     "event_edges": f"""WITH {_T}, {_EDGES} SELECT event_id, topic, asset, CASE stance WHEN 'unknown' THEN 'neutral' ELSE stance END AS direction, round(CASE WHEN stance = 'unknown' THEN least(c, 0.45) ELSE c END, 2) AS confidence,
   round(least(0.30::DOUBLE + CASE WHEN value > 60 THEN 0.30::DOUBLE WHEN value > 20 THEN 0.15 ELSE 0.05 END + CASE WHEN stance <> 'unknown' THEN 0.15::DOUBLE ELSE 0 END, 1.0), 2) AS strength FROM c""",
-    "text_tickers": rf"WITH {_T} SELECT event_id, array_to_string(list_filter(regexp_extract_all(upper(left(text, 24)), '\b([A-Z]{{2,5}})\b', 1), lambda w, i: NOT list_contains({_list(signals.STOP_TICKERS)}, w) AND list_position(regexp_extract_all(upper(left(text, 24)), '\b([A-Z]{{2,5}})\b', 1), w) = i)[1:8], ',') AS tickers FROM x",
-    "asset_keys": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'US:' || p_partkey WHEN 1 THEN 'CN:' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') WHEN 2 THEN 'US:AAPL' END AS asset FROM part",
+    "text_tickers": rf"""WITH x AS (SELECT doc_id, concat_ws(' ', text, 'buy $' || upper(lang), upper(regexp_extract(source, '[a-z]+', 0)) || ' class B stock, THE shares of AI stock') AS t FROM documents),
+f AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_extract_all(t, '({signals.TICKER})', 1), lambda m: regexp_extract(m, '^(\$?[A-Z][A-Z0-9.-]{{0,5}})', 1)), lambda w: NOT list_contains({_list(signals.STOP_TICKERS)}, w)), lambda w: replace(w, '$', '')) AS f FROM x)
+SELECT doc_id, array_to_string(list_filter(f, lambda w, i: list_position(f, w) = i)[1:8], ',') AS tickers FROM f""",
+    "asset_keys": "SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'US:' || p_partkey WHEN 1 THEN 'CN:' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') " + " ".join(f"WHEN {i} THEN '{key}'" for i, (_, key) in enumerate(_KEYS, 2) if key) + " END AS asset FROM part",
     "semantic_signatures": f"WITH {_T}, {_SIGN} SELECT event_id, title, action, signature, sha256(coalesce(signature, 'none') || chr(31) || event_type) AS story_key FROM h",
     "signature_clusters": f"WITH {_T}, {_SIGN} SELECT signature, min(event_id) AS base_id, count(*) AS members FROM h WHERE signature IS NOT NULL GROUP BY 1",
     "categories": f"""WITH {_T}, k AS (SELECT *, [{", ".join(_CAT)}] AS s FROM x) SELECT event_id, CASE WHEN list_max(s) > 0 THEN {_list(signals.TAXONOMY)}[list_position(s, list_max(s))] ELSE 'other' END AS category,
   CASE WHEN {_has("text", signals.SEVERE)} THEN 'severe' WHEN {_has("text", ("tariff", "sanction", "rate"))} THEN 'high' ELSE 'normal' END AS severity, CASE WHEN event_id % 9 = 0 THEN 'official' WHEN event_id % 4 = 0 THEN 'first_party' WHEN event_id % 2 = 0 THEN 'reporting' ELSE 'discovery' END AS tier,
   CAST({" + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in ("war", "rate", "rally", "loss"))} AS INTEGER) AS hits FROM k""",
-    "signal_scores": "SELECT l_orderkey, l_linenumber, floor((round(10000.0::DOUBLE * (least(10.0::DOUBLE, greatest(0.0::DOUBLE, l_quantity / 5)) * 0.30::DOUBLE + least(10.0::DOUBLE, greatest(0.0::DOUBLE, l_discount * 100)) * 0.25::DOUBLE + least(10.0::DOUBLE, greatest(0.0::DOUBLE, l_tax * 100)) * 0.20::DOUBLE + least(10.0::DOUBLE, l_linenumber::DOUBLE) * 0.15::DOUBLE + least(10.0::DOUBLE, greatest(0.0::DOUBLE, (l_orderkey % 11 - 1)::DOUBLE)) * 0.10::DOUBLE)) + 500) / 1000) / 10 AS score FROM lineitem",
+    "signal_scores": """SELECT *, CASE WHEN score >= 85 THEN 'CRITICAL' WHEN score >= 70 THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT l_orderkey, l_linenumber,
+  floor((round(10000.0::DOUBLE * (l_quantity * 2 * 0.35::DOUBLE + l_discount * 1000 * 0.25::DOUBLE + l_tax * 1250 * 0.20::DOUBLE + (l_linenumber * 14)::DOUBLE * 0.10::DOUBLE + (l_orderkey % 101)::DOUBLE * 0.10::DOUBLE)) + 500) / 1000) / 10 AS score FROM lineitem)""",
     "opportunities": """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, list_filter([CASE WHEN l_quantity >= 30 THEN 'volatility_premium' END, CASE WHEN l_linenumber * 0.5 >= 1.5 THEN 'gold_momentum' END, CASE WHEN l_discount * 10 >= 0.5::DOUBLE THEN 'curve_steepening' END, CASE WHEN 7 - l_tax * 2 < 6.9::DOUBLE THEN 'yuan_strength' END], lambda v: v IS NOT NULL) AS o, l_tax FROM lineitem)
 SELECT id || ':opportunities:' || (p - 1) AS source_id, 'opportunities' AS kind, o[p] AS name FROM (SELECT id, o, unnest(range(1, len(o) + 1)) AS p FROM r) UNION ALL SELECT id || ':risks:0', 'risks', 'tax' FROM r WHERE l_tax > 0.05::DOUBLE""",
     "input_hashes": "SELECT p_partkey, sha256('{\"brand\":' || CASE WHEN p_partkey % 6 > 0 THEN '\"' || p_brand || '\"' ELSE 'null' END || ',\"size\":' || p_size || '}') AS hash FROM part",
@@ -242,5 +248,5 @@ SELECT id || ':opportunities:' || (p - 1) AS source_id, 'opportunities' AS kind,
 s AS (SELECT series, day, last_value(value IGNORE NULLS) OVER w AS v, last_value(CASE WHEN value IS NOT NULL THEN day END IGNORE NULLS) OVER w AS d FROM p WINDOW w AS (PARTITION BY series ORDER BY day ROWS UNBOUNDED PRECEDING))
 SELECT series, CAST(day AS VARCHAR) AS day, CASE WHEN date_diff('day', d, day) <= 10 THEN round(v, 2) END AS value, CASE WHEN date_diff('day', d, day) <= 10 THEN CAST(date_diff('day', d, day) AS INTEGER) END AS age FROM s""",
     "price_scan": "SELECT event_id, value FROM events WHERE event_type = 'view' AND ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' ORDER BY ts, event_id LIMIT 1000",
-    "labelled_confirmation": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (event_id % 3 = 0) = (user_id % 2 = 0) END AS confirmed, CASE WHEN value >= 70 THEN 'severe' WHEN value >= 55 THEN 'high' WHEN value >= 40 THEN 'elevated' ELSE 'low' END AS level FROM events",
+    "labelled_confirmation": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (event_id % 3 = 0) = (user_id % 2 = 0) END AS confirmed, CASE WHEN value >= 70 THEN 'critical' WHEN value >= 55 THEN 'high' WHEN value >= 40 THEN 'medium' ELSE 'low' END AS level FROM events",
 }

@@ -134,7 +134,7 @@ FROM e CROSS JOIN (VALUES (1), (3), (5)) w(k) JOIN days d0 ON d0.n = e.base_n LE
     "period_return": f"WITH {_P} SELECT series, min(day) AS first_day, max(day) AS last_day, round(arg_max(value, day) / arg_min(value, day) - 1, 6) AS period_return FROM p WHERE day BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP BY series HAVING min(day) < max(day)",
     "trailing_cagr": f"""WITH {_P}, l AS (SELECT series, max(day) AS end_day, arg_max(value, day) AS end_value FROM p GROUP BY series),
 a AS (SELECT l.*, CAST(y AS INTEGER) AS years, CAST(end_day - to_months(CAST(12 * y AS INTEGER)) AS DATE) AS target FROM l, (VALUES (1), (3), (5), (10)) v(y)),
-s AS (SELECT a.series, years, end_day, end_value, max(day) AS start_day, arg_max(value, day) AS start_value FROM a JOIN p ON p.series = a.series AND p.day <= a.target GROUP BY ALL)
+s AS (SELECT a.series, years, end_day, end_value, min(day) AS start_day, arg_min(value, day) AS start_value FROM a JOIN p ON p.series = a.series AND p.day >= a.target AND p.day < a.end_day GROUP BY ALL)
 SELECT series, years, start_day, end_day, round(pow(end_value / start_value, 365.2425::DOUBLE / date_diff('day', start_day, end_day)) - 1, 6) AS cagr FROM s""",
     "monthly_beta": f"WITH {_P}, {_ME}, {_MR}, {_B} SELECT series, months, round(beta, 6) AS beta, round(correlation, 6) AS correlation FROM b",
     "common_range": f"WITH {_P.replace('p AS', 'p0 AS', 1)}, {_RANGE} SELECT series, min(day) AS first_day, max(day) AS last_day, count(*) AS n FROM p GROUP BY series",

@@ -10,18 +10,27 @@ from ..sources.tables import table
 from .common import shown
 
 _HOSTS = ["example.net", "example.org"]
-#: Words from which texts for the rule tables are made, by the number of the row.
-_A = ("fed raises rate", "no gain expected", "tariff drop", "crude rally", "chip stocks beat", "bitcoin slump", "war in 3-6 months", "weak growth", "never a strong year", "long view", "software")
-_B = ("strong upgrade", "not weak", "1-3 months", "loss", "medium term", "short gains", "6-12 months bearish")
+#: Claims that are added to the tables' texts, by the number of the row, so that the rule tables find something in them.
+_A = (
+    "fed raises rate, bullish", "no upside expected", "tariff drop risk", "crude oil beats, benefit", "gpu stock buy", "bitcoin slump crash", "war in 3-6个月", "bank credit 看好", "never a buy this year", "中长期 positive",
+    "software", "不看好 美股",
+)
+_B = ("strong opportunity", "not a negative", "1 - 3 月", "sell", "next quarter", "within days", "6-12个月 bearish")
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents", "doc_id", "text", "source").select(F.col("doc_id").alias("item_id"), F.left("text", F.lit(60)).alias("title"), F.col("source").alias("url"))
+    """Pages by the title of their HTML."""
+    title = F.replace(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("&amp;"), F.lit("&"))
+    return table(spark, d, "pages", "page_id", "url", "html").select(F.col("page_id").alias("item_id"), title.alias("title"), "url")
+
+
+def _pick(words, n):
+    return F.get(F.array(*[F.lit(w) for w in words]), (F.col("doc_id") % n).cast("int"))
 
 
 def _sentences(spark, d):
-    pick = lambda words, n: F.get(F.array(*[F.lit(w) for w in words]), (F.col("event_id") % n).cast("int"))
-    return table(spark, d, "events", "event_id", "event_type", "value").withColumn("t", F.concat_ws(" ", pick(_A, len(_A)), "event_type", pick(_B, len(_B))))
+    docs = table(spark, d, "documents", "doc_id", "text", "n_chars")
+    return docs.select(F.col("doc_id").alias("event_id"), (F.col("n_chars") % 100).alias("value"), F.concat_ws(" ", "text", _pick(_A, len(_A)), _pick(_B, len(_B))).alias("t"))
 
 
 def canonical_url(spark, d):
@@ -55,7 +64,7 @@ def amounts(spark, d):
 
 
 def substantive_text(spark, d):
-    return table(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", titles.substantive(F.left("text", F.lit(14))).alias("substantive"))
+    return table(spark, d, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", titles.substantive(F.concat(F.get(F.array(F.lit("RT @someone "), F.lit("via https://t.co/x "), F.lit("")), (F.col("turn") % 3).cast("int")), F.when(F.col("turn") % 4 > 0, F.col("text")).otherwise(""))).alias("substantive"))
 
 
 def rule_labels(spark, d):
@@ -133,9 +142,8 @@ def cluster_siblings(spark, d):
 
 
 def alias_classes(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
-    kinds = F.array(F.concat(F.lit("s:"), F.md5(F.left("text", F.lit(40)))), F.concat(F.lit("e:"), F.md5(F.right("text", F.lit(40)))))
-    return stories.alias_classes(docs.select(F.col("doc_id").alias("item_id"), F.explode(kinds).alias("alias")))
+    kinds = F.array(F.concat(F.lit("u:"), F.md5("url")), F.concat(F.lit("t:"), F.md5("title")))
+    return stories.alias_classes(_docs(spark, d).select("item_id", F.explode(kinds).alias("alias")))
 
 
 def merged_stories(spark, d):
@@ -161,30 +169,39 @@ def _word(words) -> str:
     return f"regexp_matches(lower(t), '(^|[^a-z0-9])({'|'.join(words)})($|[^a-z0-9])')"
 
 
-def _hits(words) -> str:
-    return " + ".join(f"CASE WHEN {_word([w])} AND NOT regexp_matches(lower(t), '(^|[^a-z0-9])(not|never|no) ([a-z0-9]+ ){{0,2}}{w}($|[^a-z0-9])') THEN 1 ELSE 0 END" for w in words)
+def _any(words, column: str = "t") -> str:
+    return f"regexp_matches(lower({column}), '{rules.any_word(tuple(words))}')"
+
+
+def _hits(words, column: str = "t") -> str:
+    return " + ".join(f"CASE WHEN {_any([w], column)} AND NOT regexp_matches(lower({column}), '{rules.negation(w)}') THEN 1 ELSE 0 END" for w in words)
 
 
 def _stepped(value: str, table_) -> str:
     return "CASE " + " ".join(f"WHEN {value} > {limit} THEN {points}" for limit, points in table_) + " ELSE 0 END"
 
 
-_HOST = "lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
+_P = urls._PARTS
+_D, _E = "url_decode(replace({}, '+', ' '))", "replace(url_encode({}), '%20', '+')"
 _PATH = r"regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
 _PAIRS = r"list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(regexp_extract(p, '^([^=]*)', 1), '{}'))"
-_TRACK = "^(" + "|".join(urls.TRACKING) + ")$"
-_CANON = f"""c AS (SELECT page_id, CASE WHEN {_HOST} = '' THEN u ELSE lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || {_HOST} || regexp_replace({_PATH}, '/+$', '') ||
-  CASE WHEN len({_PAIRS.format(_TRACK)}) > 0 THEN '?' || array_to_string({_PAIRS.format(_TRACK)}, '&') ELSE '' END END AS canonical FROM (SELECT page_id, trim(url) AS u FROM pages))"""
-_TITLE = r"""raw AS (SELECT doc_id AS item_id, source AS url, left(text, 60) AS title, regexp_replace(lower(coalesce(left(text, 60), '')), '[^\p{L}\p{N}]+', '', 'g') AS p0 FROM documents),
+_CANON = f"""part AS (SELECT page_id, regexp_extract(u, '{_P}', 1) AS scheme, regexp_extract(u, '{_P}', 2) AS host, regexp_replace(regexp_extract(u, '{_P}', 3), '/+$', '') AS path, list_transform(list_filter(list_filter(
+  string_split(regexp_extract(u, '{_P}', 4), '&'), lambda x: regexp_matches(x, '=.')), lambda x: NOT list_contains({_list(urls.TRACKING)}, lower({_D.format("split_part(x, '=', 1)")}))),
+  lambda x: {_E.format(_D.format("regexp_extract(x, '^([^=]*)=', 1)"))} || '=' || {_E.format(_D.format("regexp_extract(x, '^[^=]*=(.*)$', 1)"))}) AS q, u FROM (SELECT page_id, coalesce(trim(url), '') AS u FROM pages)),
+c AS (SELECT page_id, CASE WHEN u = '' THEN '' ELSE CASE WHEN scheme <> '' THEN lower(scheme) || ':' ELSE '' END || CASE WHEN host <> '' THEN '//' || lower(host) ELSE '' END || CASE WHEN path = '' THEN '/' ELSE path END
+  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical FROM part)"""
+_COMPATIBLE = ", ".join("'" + x.replace("'", "''") + "'" for x in titles.compatible())
+_PAGE_TITLE = "replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')"
+_TITLE = rf"""{_CANON}, raw AS (SELECT page_id AS item_id, {_PAGE_TITLE} AS title, regexp_replace(lower(translate({_PAGE_TITLE}, {_COMPATIBLE})), '[^\p{{L}}\p{{N}}]+|[{titles.LETTER_SEPARATORS}]', '', 'g') AS p0 FROM pages),
 cut AS (SELECT *, length(p0) AS n, list_filter(range(greatest(length(p0) // 2, 1), greatest(length(p0) - 6, 1) + 1), lambda k: k >= length(p0) / 2 AND length(p0) - k >= 6 AND starts_with(p0, substr(p0, k + 1))) AS places FROM raw),
-titled AS (SELECT item_id, url, title, CASE WHEN n >= 12 AND len(places) > 0 THEN substr(p0, 1, places[1]) ELSE p0 END AS plain FROM cut)"""
-_KEY = "left(sha1(CASE WHEN plain <> '' THEN plain ELSE coalesce(url, '') END), 20)"
-_SENT = f"s AS (SELECT event_id, value, {_list(_A)}[event_id % {len(_A)} + 1] || ' ' || event_type || ' ' || {_list(_B)}[event_id % {len(_B)} + 1] AS t FROM events)"
-_TOPIC = "CASE " + " ".join(f"WHEN {_word(w)} THEN '{name}'" for name, w in rules.TOPICS) + " ELSE 'general' END"
+titled AS (SELECT item_id, canonical AS url, title, CASE WHEN n >= 12 AND len(places) > 0 THEN substr(p0, 1, places[1]) ELSE p0 END AS plain FROM cut JOIN c ON item_id = page_id)"""
+_KEY = "left(sha1(CASE WHEN plain <> '' THEN plain ELSE url END), 20)"
+_SENT = f"s AS (SELECT doc_id AS event_id, n_chars % 100 AS value, concat_ws(' ', text, {_list(_A)}[doc_id % {len(_A)} + 1], {_list(_B)}[doc_id % {len(_B)} + 1]) AS t FROM documents)"
+_TOPIC = "CASE " + " ".join(f"WHEN {_any(w)} THEN '{name}'" for name, w in rules.TOPICS) + " ELSE 'general' END"
 _LABEL = f"""l AS (SELECT *, {_TOPIC} AS topic, CASE WHEN good > bad THEN 'bullish' WHEN bad > good THEN 'bearish' ELSE 'unknown' END AS stance FROM (SELECT *, {_hits(rules.POSITIVE)} AS good, {_hits(rules.NEGATIVE)} AS bad FROM s))"""
 _SIGHT = """g AS (SELECT event_id AS sighting_id, user_id AS event_id, event_type AS kol_key, CASE WHEN event_id % 5 < 3 THEN 'verified' WHEN event_id % 5 = 3 THEN 'future' ELSE 'unknown' END AS time_status,
   event_id % 7 = 0 AS owned_direct, CASE WHEN event_id % 5 < 4 THEN ts END AS published_at, ts, value FROM events)"""
-_ORDER = "(time_status = 'verified') DESC, owned_direct DESC, published_at DESC NULLS LAST, ts DESC, sighting_id DESC"
+_ORDER = "(time_status = 'verified') DESC, owned_direct DESC, CASE WHEN time_status = 'verified' THEN published_at END DESC NULLS LAST, ts DESC, sighting_id DESC"
 _SCRIPT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 SQL = {
     "canonical_url": f"WITH {_CANON} SELECT page_id, canonical, left(sha1(canonical), 16) AS hash FROM c",
@@ -194,15 +211,16 @@ SQL = {
     "title_keys": f"WITH {_TITLE} SELECT item_id, plain, {_KEY} AS dedup_key, CASE WHEN length(plain) >= 12 THEN left(sha1(left(plain, 12)), 16) END AS prefix_key FROM titled",
     "dedup_exact": f"WITH {_TITLE} SELECT {_KEY} AS dedup_key, min(item_id) AS keep_id, count(*) AS members, arg_max(title, (length(title), -item_id)) AS title FROM titled GROUP BY 1",
     "dedup_prefix": f"""WITH {_TITLE}, p AS (SELECT DISTINCT plain, left(plain, 12) AS b FROM titled WHERE length(plain) >= 16),
-r AS (SELECT a.plain, arg_min(s.plain, length(s.plain)) AS root FROM p a JOIN p s ON a.b = s.b AND starts_with(a.plain, s.plain) GROUP BY a.plain)
+r AS (SELECT s.plain, arg_max(a.plain, (length(a.plain), a.plain)) AS root FROM p a JOIN p s ON a.b = s.b AND starts_with(a.plain, s.plain) GROUP BY s.plain)
 SELECT item_id, coalesce(root, plain) AS class_title FROM titled LEFT JOIN r USING (plain)""",
     "html_text": f"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '{_SCRIPT}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM pages""".replace("\\\\", "\\"),
     "amounts": """SELECT o_orderkey, array_to_string(list_sort(list_distinct([(o_orderkey % 90) || 'bp', (o_custkey % 7) || '.5pct'])), ',') AS amounts, 'ABC,XY' AS tags FROM orders""",
-    "substantive_text": r"SELECT conv_id, turn, length(regexp_replace(regexp_replace(coalesce(left(text, 14), ''), 'https?://\S+|[@#]\S+', ' ', 'g'), '[^\p{L}\p{N}]+', '', 'g')) >= 8 AS substantive FROM conversations",
-    "rule_labels": rf"""WITH {_SENT}, {_LABEL}, h AS (SELECT *, regexp_extract(lower(t), '[0-9]+ ?- ?([0-9]+) ?months?', 1) AS m FROM l)
-SELECT event_id, topic, stance, CASE WHEN m <> '' THEN CASE WHEN CAST(m AS INTEGER) <= 3 THEN 'short' WHEN CAST(m AS INTEGER) <= 6 THEN 'medium' ELSE 'long' END
-  WHEN contains(t, 'long') THEN 'long' WHEN contains(t, 'medium') THEN 'medium' WHEN contains(t, 'short') THEN 'short' ELSE 'unknown' END AS horizon FROM h""",
+    "substantive_text": r"""WITH x AS (SELECT conv_id, turn, ['RT @someone ', 'via https://t.co/x ', ''][turn % 3 + 1] || CASE WHEN turn % 4 > 0 THEN text ELSE '' END AS t FROM conversations)
+SELECT conv_id, turn, length(regexp_replace(regexp_replace(regexp_replace(coalesce(t, ''), '^(RT @someone|via) ', ''), 'https?://\S+', ' ', 'g'), '[^\p{L}\p{N}]+', '', 'g')) >= 3 AS substantive FROM x""",
+    "rule_labels": rf"""WITH {_SENT}, {_LABEL}, h AS (SELECT *, lower(trim(t)) AS low, regexp_extract(lower(t), '[0-9]+\s*[-–—至到]\s*([0-9]+)\s*个?月', 1) AS m FROM l)
+SELECT event_id, topic, stance, CASE WHEN low = '' OR regexp_matches(low, '{"|".join(rules.UNCERTAIN)}') THEN 'unknown' WHEN m <> '' THEN CASE WHEN CAST(m AS INTEGER) <= 3 THEN 'short' WHEN CAST(m AS INTEGER) <= 6 THEN 'medium' ELSE 'long' END
+  {" ".join(f"WHEN regexp_matches(low, '{'|'.join(w)}') THEN '{name}'" for name, w in rules.HORIZONS)} ELSE 'unknown' END AS horizon FROM h""",
     "edge_scores": f"""WITH {_SENT}, {_LABEL}, x AS (SELECT *, least(0.30::DOUBLE + CASE WHEN event_id % 3 = 0 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN stance <> 'unknown' THEN 0.20::DOUBLE ELSE 0 END
   + CASE WHEN topic <> 'general' THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN event_id % 10 <> 0 THEN 0.05::DOUBLE ELSE 0 END, 0.95) AS c FROM l)
 SELECT event_id, round(CASE WHEN stance = 'unknown' THEN least(c, 0.45) ELSE c END, 2) AS confidence, round(least(CASE WHEN event_id % 10 <> 0 THEN 0.30::DOUBLE ELSE 0.45 END
@@ -216,8 +234,8 @@ s AS (SELECT l_orderkey, l_linenumber,
   CAST(least(100, 20 + {_stepped("vix", ((35, 25), (28, 15), (20, 5)))} + {_stepped("dollar", ((108, 20), (105, 10)))} + CASE WHEN abs(moved) > 1 THEN 10 ELSE 0 END + {_stepped("stress", ((5, 15), (2, 10), (0, 5)))}) AS INTEGER) AS stress,
   CAST(least(100, 20 + CASE WHEN hi >= 3 THEN 35 WHEN hi >= 1 THEN 20 ELSE 0 END + CASE WHEN med >= 5 THEN 15 WHEN med >= 2 THEN 5 ELSE 0 END) AS INTEGER) AS geopolitics,
   CAST(greatest(0, least(100, 25 + {_stepped("cny", (("7.30::DOUBLE", 30), ("7.20::DOUBLE", 20), ("7.10::DOUBLE", 10)))} - CASE WHEN cny < 6.80::DOUBLE THEN 5 ELSE 0 END + CASE WHEN l_linenumber = 3 THEN 10 ELSE 0 END)) AS INTEGER) AS china FROM x),
-c AS (SELECT *, round(0.30::DOUBLE * recession + 0.25::DOUBLE * stress + 0.20::DOUBLE * geopolitics + 0.25::DOUBLE * china, 2) AS score FROM s)
-SELECT *, CASE WHEN score >= 70 THEN 'severe' WHEN score >= 55 THEN 'high' WHEN score >= 40 THEN 'elevated' ELSE 'low' END AS level FROM c""",
+c AS (SELECT *, CAST(round_even(0.30::DOUBLE * recession + 0.25::DOUBLE * stress + 0.20::DOUBLE * geopolitics + 0.25::DOUBLE * china, 0) AS INTEGER) AS score FROM s)
+SELECT *, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 55 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS level FROM c""",
     "public_impact": """WITH x AS (SELECT doc_id, quality, CASE WHEN n_chars > 4000 THEN 'high' WHEN n_chars > 1000 THEN 'medium' ELSE 'low' END AS rule, CASE WHEN toxic = 1 THEN 'none' WHEN quality = 1 THEN 'high' ELSE 'low' END AS level,
   quality IS NOT NULL AND coalesce(quality, 0) = 1 AS heard FROM documents LEFT JOIN labels USING (doc_id))
 SELECT doc_id, CASE rule WHEN 'high' THEN 'high' WHEN 'medium' THEN CASE WHEN heard AND level = 'high' THEN 'high' WHEN heard AND level = 'none' THEN 'low' ELSE 'medium' END
@@ -230,8 +248,8 @@ SELECT event_id, sighting_id, kol_key, value FROM b WHERE time_status = 'verifie
     "cluster_siblings": """WITH e AS (SELECT event_id, ts, user_id || '/' || CAST(ts AS DATE) AS k FROM events),
 p AS (SELECT a.event_id, b.event_id AS sibling_id, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts DESC, b.event_id DESC) AS k FROM e a JOIN e b ON a.k = b.k AND a.event_id <> b.event_id)
 SELECT event_id, sibling_id, CAST(k AS INTEGER) AS k FROM p WHERE k <= 12""",
-    "alias_classes": """WITH RECURSIVE a AS (SELECT doc_id, md5(left(text, 40)) AS x, md5(right(text, 40)) AS y FROM documents),
-e AS (SELECT a.doc_id AS u, b.doc_id AS v FROM a JOIN a b ON a.x = b.x UNION SELECT a.doc_id, b.doc_id FROM a JOIN a b ON a.y = b.y),
+    "alias_classes": f"""WITH RECURSIVE a AS (SELECT page_id, md5(url) AS x, md5({_PAGE_TITLE}) AS y FROM pages),
+e AS (SELECT a.page_id AS u, b.page_id AS v FROM a JOIN a b ON a.x = b.x UNION SELECT a.page_id, b.page_id FROM a JOIN a b ON a.y = b.y),
 r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
 SELECT u AS item_id, min(v) AS class_id FROM r GROUP BY u""",
     "merged_stories": """SELECT event_id % 400 AS class_id, arg_min(event_id, (-(user_id % 3), -epoch_us(ts), event_id)) AS base_id, round(max(value), 6) AS impact, max(ts) AS updated, count(*) AS members, CAST(count(DISTINCT event_type) AS INTEGER) AS urls FROM events GROUP BY 1""",
