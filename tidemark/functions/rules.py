@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .titles import once
+from .binding import once
 
 TOPICS = (
     ("ai_semiconductors", ("ai", "人工智能", "半导体", "芯片", "gpu", "算力", "data center")),
@@ -43,6 +45,16 @@ def any_word(words: tuple[str, ...]) -> str:
     return "|".join([f"(?:^|[^a-z0-9])(?:{'|'.join(latin)})(?:$|[^a-z0-9])"] * bool(latin) + other)
 
 
+def holds(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words occurs anywhere."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
+
+
+def has_any(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether a lower-cased text has one of the words. A plain search comes first: few texts have the letters at all, and a pattern costs far more."""
+    return holds(low, words) & low.rlike(any_word(words))
+
+
 def has_word(text: Column, word: str) -> Column:
     """Whether the word stands in the text between characters that aren't letters or digits of ASCII."""
     return F.lower(text).rlike(rf"(^|[^a-z0-9]){word}($|[^a-z0-9])")
@@ -54,7 +66,7 @@ def topic(text: Column) -> Column:
     def of(low: Column) -> Column:
         out = F.lit("general")
         for name, words in reversed(TOPICS):
-            out = F.when(low.rlike(any_word(words)), name).otherwise(out)
+            out = F.when(has_any(low, words), name).otherwise(out)
         return out
 
     return once(F.lower(F.coalesce(text, F.lit(""))), of)
@@ -70,9 +82,7 @@ def negation(word: str) -> str:
 
 def _hits(low: Column, words: tuple[str, ...]) -> Column:
     """How many of the words the text has and nowhere negates."""
-    # One pattern tells whether any is there; most texts have none.
-    each = sum((F.when(low.rlike(any_word((w,))) & ~low.rlike(negation(w)), 1).otherwise(0) for w in words), F.lit(0))
-    return F.when(low.rlike(any_word(words)), each).otherwise(0)
+    return sum((F.when(has_any(low, (w,)) & ~low.rlike(negation(w)), 1).otherwise(0) for w in words), F.lit(0))
 
 
 def stance(text: Column) -> Column:
@@ -91,9 +101,9 @@ def horizon(text: Column) -> Column:
         end = months.try_cast("int")
         by_word = F.lit("unknown")
         for name, words in reversed(HORIZONS):
-            by_word = F.when(low.rlike("|".join(words)), name).otherwise(by_word)
+            by_word = F.when(holds(low, words), name).otherwise(by_word)
         known = F.when(months != "", F.when(end <= 3, "short").when(end <= 6, "medium").otherwise("long")).otherwise(by_word)
-        return F.when((low == "") | low.rlike("|".join(UNCERTAIN)), "unknown").otherwise(known)
+        return F.when((low == "") | holds(low, UNCERTAIN), "unknown").otherwise(known)
 
     return once(F.lower(F.trim(F.coalesce(text, F.lit("")))), of)
 

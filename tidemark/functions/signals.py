@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import any_word, has_word
-from .titles import once
+from .rules import has_any, has_word
+from .binding import once
 
 #: Asset to the names it has in texts. Fixed values.
 ALIASES = (
@@ -61,7 +61,7 @@ def assets(text: Column, explicit: Column, most: int = 32) -> Column:
     known = lambda values: F.filter(F.transform(values, asset_key), lambda x: x.isNotNull())
     tags = F.regexp_extract_all(text, F.lit(r"\$([A-Za-z][A-Za-z0-9.-]{0,9})\b"), 1)
     codes = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![0-9])([0-9]{6})(?![0-9])"), 1), lambda x: F.concat(F.lit("CN:"), x))
-    named = once(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(low.rlike(any_word(names)), F.lit(key)) for key, names in ALIASES])))
+    named = once(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(has_any(low, names), F.lit(key)) for key, names in ALIASES])))
     return F.slice(F.array_distinct(F.concat(known(explicit), known(tags), codes, named)), 1, most)
 
 

@@ -8,6 +8,7 @@ from unicodedata import normalize
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import once
 from .urls import canonical_url
 
 #: Letters of a prefix key, least letters of a prefix duplicate, least letters of a repeated half.
@@ -24,11 +25,6 @@ def compatible() -> tuple[str, str]:
     return "".join(a for a, _ in moved), "".join(b for _, b in moved)
 
 
-def once(value: Column, use) -> Column:
-    """use(value), with value evaluated once however often use names it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def collapse_repeat(text: Column) -> Column:
     """A text whose second half starts over: cut before the first place, past the middle, from which the rest equals its start."""
 

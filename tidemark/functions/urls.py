@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import once
+
 #: Query keys that differ from fetch to fetch. Fixed values.
 TRACKING = ("ref", "aid", "tid", "c", "mkt", "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "from", "src")
 #: Scheme, host, path and query of a url.
@@ -33,18 +35,19 @@ def _encoded(text: Column) -> Column:
 
 def unwrapped(url: Column) -> Column:
     """The address that a redirect's `url` (or else `u`) parameter holds, if it is one of http or https; else the url."""
-    query = F.regexp_extract(url, _PARTS, 4)
-    of = lambda key: F.regexp_extract(query, f"(?:^|&){key}=([^&]+)", 1)
-    inner = _decoded(F.when(of("url") != "", of("url")).otherwise(of("u")))
-    return F.when(inner.rlike("^https?://"), inner).otherwise(url)
+    of = lambda key: F.regexp_extract(url, rf"^[^?#]*\?(?:[^#]*&)?{key}=([^&#]+)", 1)
+    held = once(F.struct(of("url").alias("url"), of("u").alias("u")), lambda h: _decoded(F.when(h["url"] != "", h["url"]).otherwise(h["u"])))
+    return once(held, lambda inner: F.when(inner.rlike("^https?://"), inner).otherwise(url))
 
 
 def canonical_url(url: Column) -> Column:
     """Redirects unwrapped up to three times, scheme and host lower-cased, pairs that track (their key in any case) or are blank dropped and the others
     encoded anew, no fragment, no slash at the end of a path, which is / if empty. A null url is the empty string."""
-    u = F.coalesce(F.trim(url), F.lit(""))
-    for _ in range(3):
-        u = unwrapped(u)
+    once_more = lambda u: once(unwrapped(u), lambda v: once(unwrapped(v), unwrapped))
+    return once(once(F.coalesce(F.trim(url), F.lit("")), once_more), _plain)
+
+
+def _plain(u: Column) -> Column:
     part = lambda k: F.regexp_extract(u, _PARTS, k)
     pairs = F.transform(F.filter(F.split(part(4), "&"), lambda p: p.rlike("=.")), lambda p: F.struct(_decoded(F.regexp_extract(p, "^([^=]*)=", 1)).alias("k"), _decoded(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
     kept = F.transform(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(*TRACKING)), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"])))
