@@ -63,11 +63,14 @@ def train(rows: DataFrame) -> crf.RandomField | None:
 
 
 def in_characters(raw: bytes, places: list[dict]) -> list[dict]:
-    """Places in bytes (start, end) of a UTF-8 text as places in characters."""
+    """Places in bytes (start, end) of a UTF-8 text, in order and apart, as places in characters."""
     if places and not raw.isascii():
-        before = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+        data, at, seen = np.frombuffer(raw, np.uint8), 0, 0
         for p in places:
-            p["start"], p["end"] = int(before[p["start"]]), int(before[p["end"]])
+            for end in ("start", "end"):
+                # Bytes that go on with a character, of the part since the last place only.
+                seen += p[end] - at - int(np.count_nonzero((data[at : p[end]] & 0xC0) == 0x80))
+                at, p[end] = p[end], seen
     return places
 
 
@@ -89,21 +92,25 @@ def predict(docs: DataFrame, model: crf.RandomField | None, carry: tuple[str, ..
             texts = batch.column(batch.schema.get_field_index(body)).cast(pa.large_binary())
             means = np.zeros((batch.num_rows, len(m.labels)))
             some = np.asarray(batch.column(batch.schema.get_field_index("_letter")))
-            runs: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            text_of, places = [], []
             for chosen, n, start, size, found in crf.marginals(m, texts):
                 first = np.cumsum(n) - n
                 means[chosen] = np.add.reduceat(found, first, axis=0) / n[:, None]
                 best, text = found.argmax(axis=1), np.repeat(chosen, n)
                 new = np.flatnonzero(np.concatenate(([True], (best[1:] != best[:-1]) | (text[1:] != text[:-1]))))
                 ends = np.append(new[1:], len(best)) - 1
-                for t, k, a, b in zip(text[new].tolist(), best[new].tolist(), start[new].tolist(), (start[ends] + size[ends]).tolist(), strict=True):
-                    runs[t].append({"start": a, "end": b, "lang": m.labels[k]})
+                text_of.append(text[new])
+                places.append(np.stack([best[new], start[new], start[ends] + size[ends]], axis=1))
             some = some & (means.sum(axis=1) > 0)
             best = means.argmax(axis=1)
             names = [m.labels[j] if ok else "und" for j, ok in zip(best.tolist(), some.tolist(), strict=True)]
             score = np.where(some, np.clip(means[np.arange(len(best)), best], 0, 1), 0.0)
-            places = [in_characters(t.as_py(), own) if ok else [] for t, own, ok in zip(texts, runs, some.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(score), pa.array(places, kind)], names=[*batch.schema.names[: len(carry)], *RESULTS])
+            runs: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for t, rows in zip(text_of, places, strict=True):
+                for i, (k, a, b) in zip(t.tolist(), rows.tolist(), strict=True):
+                    runs[i].append({"start": a, "end": b, "lang": m.labels[k]})
+            runs = [in_characters(t.as_py(), own) if ok else [] for t, own, ok in zip(texts, runs, some.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(score), pa.array(runs, kind)], names=[*batch.schema.names[: len(carry)], *RESULTS])
 
     return rows.mapInArrow(run, schema)
 
