@@ -27,7 +27,7 @@ def document_keys(rows: DataFrame, label: str, starts: tuple[int, ...] = ()) ->
             count.clear()
             return pa.RecordBatch.from_arrays(columns, names=[label, "hash", "n"])
 
-        for batch in batches:
+        for batch in crf.shortened(batches):
             kind = batch.column(0).type
             labels = batch.column(0).to_pylist()
             data, cuts = crf.texts_of(batch.column(1))

@@ -118,6 +118,13 @@ def pieces(data: np.ndarray, cuts: np.ndarray, most: int = _BYTES) -> Iterator[t
         at = to
 
 
+def shortened(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that what is made of a part stays small; nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @dataclass
 class RandomField:
     """Weights of a random field: rows of features by labels."""

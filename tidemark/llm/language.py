@@ -88,7 +88,7 @@ def predict(docs: DataFrame, model: crf.RandomField | None, carry: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in crf.shortened(batches):
             texts = batch.column(batch.schema.get_field_index(body)).cast(pa.large_binary())
             means = np.zeros((batch.num_rows, len(m.labels)))
             some = np.asarray(batch.column(batch.schema.get_field_index("_letter")))

@@ -174,7 +174,7 @@ def tag(docs: DataFrame, tagger: Tagger | None, carry: tuple[str, ...] = ("doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
-        for batch in batches:
+        for batch in crf.shortened(batches):
             texts = batch.column(batch.schema.get_field_index(body)).cast(pa.large_binary())
             marks = Marks.of(t.field, texts)
             score = t.score(marks)
