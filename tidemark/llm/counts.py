@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 
-_FLUSH = 400_000  # distinct keys that a task counts before it passes them on
+_FLUSH = 150_000  # distinct keys that a task counts before it passes them on
 
 
 def document_keys(rows: DataFrame, label: str, starts: tuple[int, ...] = ()) -> DataFrame:

@@ -19,7 +19,7 @@ from . import chains
 
 #: Buckets of the hashed trigrams and of the affixes; bytes of text whose features, and whose scores, are held at once, words of a batch of chains.
 GRAMS, AFFIXES = 1 << 16, 1 << 15
-_BYTES, _SLICE, _WORDS = 1 << 20, 8 << 20, 200_000
+_BYTES, _SLICE, _WORDS = 1 << 19, 4 << 20, 100_000
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3)
