@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import stored
 
 #: Links that a task joins at once, part (and least number) of the links that make a node hot, parts of a hot node.
-AT_ONCE, HOT, HOT_LEAST, SALTS = 1 << 19, 1 / 2000, 1000, 32
+AT_ONCE, HOT, HOT_LEAST, SALTS = 1 << 17, 1 / 2000, 1000, 32
 
 
 def least_members(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
