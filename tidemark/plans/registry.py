@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, more, news, prices, text
+from . import decisions, more, news, prices, reads, text
 
-MODULES = [prices, text, decisions, more, news]
+MODULES = [prices, text, decisions, more, news, reads]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
