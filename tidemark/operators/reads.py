@@ -242,3 +242,25 @@ def latest_per_source(episodes: DataFrame, now: Column) -> DataFrame:
     """Episodes(source, episode, published_at): the newest of each source that isn't ahead of the clock, the first id of equal times."""
     seen = episodes.where(F.col("published_at") <= now)
     return seen.groupBy("source").agg(F.min_by("episode", F.struct(-F.unix_micros(F.col("published_at").cast("timestamp")), "episode")).alias("episode"))
+
+
+def completed_claims(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """Claims(task, token, status, result) after results(task, token, result), one a task: only the holder of the token of a task in processing completes it."""
+    j = claims.join(results.select("task", F.col("token").alias("_t"), F.col("result").alias("_r")), "task", "left")
+    holds = F.coalesce((F.col("_t") == F.col("token")) & (F.col("status") == "processing"), F.lit(False))
+    new = {"token": F.lit(""), "status": F.lit("ready"), "result": F.col("_r")}
+    return j.select("task", *[F.when(holds, v).otherwise(F.col(c)).alias(c) for c, v in new.items()])
+
+
+def revoked_claims(claims: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Claims(task, input_hash, token, status) against subjects(task, input_hash) of today: where the evidence is another or gone, the task is pending and its token void."""
+    j = claims.join(subjects.select("task", F.col("input_hash").alias("_now")), "task", "left")
+    stale = ~F.col("input_hash").eqNullSafe(F.col("_now")) | F.col("_now").isNull()
+    return j.select("task", "input_hash", F.when(stale, "").otherwise(F.col("token")).alias("token"), F.when(stale, "pending").otherwise(F.col("status")).alias("status"))
+
+
+def automatic(articles: DataFrame, baselines: DataFrame, initial: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Articles(article, source, published, body_hash, summarised) to be summarised unasked: with a body and no summary, and of the first set, newer than baselines(source, published_after), or with another body than tracked(article, body_hash)."""
+    j = articles.join(baselines, "source").join(initial.select("article", F.lit(True).alias("_first")), "article", "left").join(tracked.select("article", F.col("body_hash").alias("_was")), "article", "left")
+    due = F.col("_first").isNotNull() | F.coalesce(F.col("published") > F.col("published_after"), F.lit(False)) | F.coalesce(F.col("_was") != F.col("body_hash"), F.lit(False))
+    return j.where(due & (F.coalesce("body_hash", F.lit("")) != "") & ~F.col("summarised")).select("article", "source")

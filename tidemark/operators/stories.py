@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import titles
+from ..functions.urls import canonical_url
 from .components import components
 
 
@@ -84,3 +85,24 @@ def merged_stories(members: DataFrame, class_id: str = "class_id") -> DataFrame:
     base = F.min_by("item_id", F.struct(-F.col("tier"), -F.unix_micros(F.col("ts").cast("timestamp")), "item_id"))
     urls = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "url"))), lambda x: x["url"]))
     return members.groupBy(class_id).agg(base.alias("base_id"), F.max("impact").alias("impact"), F.max("ts").alias("updated"), F.count("*").alias("members"), F.size(urls).alias("urls"))
+
+
+def _collapsed(rows: DataFrame) -> DataFrame:
+    """Stored sightings by identity: observations summed, first and last sight, the publication of the best status; of equal ones that of a row that was there, then of the first seen."""
+    rank = F.when(F.col("time_status") == "verified", 0).when(F.col("time_status") == "future", 1).otherwise(2)
+    best = F.min_by(F.struct("time_status", "published_at"), F.struct(rank, "_moved", "first_seen", "published_at"))
+    keys = ["event_id", "kol_key", "source", "source_url"]
+    merged = rows.groupBy(*keys).agg(F.sum("observations").alias("observations"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), best.alias("p"))
+    return merged.select(*keys, "observations", "first_seen", "last_seen", "p.time_status", "p.published_at")
+
+
+def moved_sightings(sightings: DataFrame, moves: DataFrame) -> DataFrame:
+    """Stored sightings after moves(event_id, keep_id) of duplicate events to those that stay; rows of one identity become one."""
+    j = sightings.join(moves, "event_id", "left").withColumn("_moved", F.col("keep_id").isNotNull())
+    return _collapsed(j.withColumn("event_id", F.coalesce("keep_id", "event_id")))
+
+
+def canonical_sightings(sightings: DataFrame) -> DataFrame:
+    """Stored sightings by their canonical urls (as they are, where there is none); rows that then share an identity become one."""
+    j = sightings.withColumn("_url", F.coalesce(canonical_url(F.col("source_url")), F.col("source_url")))
+    return _collapsed(j.withColumn("_moved", F.col("_url") != F.col("source_url")).withColumn("source_url", F.col("_url")))

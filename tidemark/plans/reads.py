@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import states
-from ..operators import reads
+from ..operators import reads, stories
 from ..sources.tables import table
+from . import text
 
 _NOW = "2024-01-20 12:00:00"
 
@@ -258,12 +259,57 @@ def latest_per_source(spark, d):
     return reads.latest_per_source(_events(spark, d).select((F.col("user_id") % 40).alias("source"), F.col("event_id").alias("episode"), F.col("ts").alias("published_at")), _now())
 
 
+def _stored(spark, d):
+    e, k = _events(spark, d), F.col("event_id")
+    status = F.when(k % 4 == 0, "unknown").when(k % 4 == 1, "future").otherwise("verified")
+    return e.select((F.col("user_id") % 200).alias("event_id"), F.col("event_type").alias("kol_key"), F.concat(F.lit("s"), k % 2).alias("source"), F.lit("u").alias("source_url"), (k % 3 + 1).alias("observations"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"), status.alias("time_status"), F.when(k % 4 > 0, F.col("ts")).alias("published_at"))
+
+
+def _seconds(rows):
+    at = [F.unix_seconds(F.col(c).cast("timestamp")).alias(c) for c in ("first_seen", "last_seen", "published_at")]
+    return rows.select("event_id", "kol_key", "source", "source_url", "observations", "time_status", *at)
+
+
+def moved_sightings(spark, d):
+    stored = _stored(spark, d)
+    moves = stored.select("event_id").distinct().where("event_id >= 100").select("event_id", (F.col("event_id") - 100).alias("keep_id"))
+    return _seconds(stories.moved_sightings(stored, moves))
+
+
+def canonical_sightings(spark, d):
+    k, at = F.col("page_id"), F.lit(_NOW).cast("timestamp")
+    p = table(spark, d, "pages", "page_id", "url").select((k % 20).alias("event_id"), F.lit("p").alias("kol_key"), F.lit("s").alias("source"), F.col("url").alias("source_url"), F.lit(1).alias("observations"), at.alias("first_seen"), at.alias("last_seen"), F.lit("unknown").alias("time_status"), F.lit(None).cast("timestamp").alias("published_at"))
+    return stories.canonical_sightings(p).select("event_id", "source_url", "observations")
+
+
+def completed_claims(spark, d):
+    o, k = _orders(spark, d), F.col("o_orderkey")
+    claims = o.select(k.alias("task"), (k % 5).cast("string").alias("token"), F.when(k % 4 == 0, "pending").otherwise("processing").alias("status"), F.lit("old").alias("result"))
+    results = o.where("o_orderkey % 3 = 0").select(k.alias("task"), (k % 7).cast("string").alias("token"), F.lit("new").alias("result"))
+    return reads.completed_claims(claims, results)
+
+
+def revoked_claims(spark, d):
+    o, k = _orders(spark, d), F.col("o_orderkey")
+    claims = o.select(k.alias("task"), F.when(k % 11 > 0, k % 6).alias("input_hash"), F.lit("t").alias("token"), F.lit("processing").alias("status"))
+    subjects = o.where("o_orderkey % 4 > 0").select(k.alias("task"), F.when(k % 13 > 0, k % 6).otherwise(9).alias("input_hash"))
+    return reads.revoked_claims(claims, subjects).select("task", "token", "status")
+
+
+def automatic_articles(spark, d):
+    e, k = _events(spark, d), F.col("event_id")
+    articles = e.select(k.alias("article"), F.col("event_type").alias("source"), F.col("ts").alias("published"), F.when(k % 7 > 0, (k % 9).cast("string")).otherwise("").alias("body_hash"), (k % 5 == 0).alias("summarised"))
+    baselines = articles.select("source").distinct().where("source <> 'click'").withColumn("published_after", _now())
+    tracked = articles.where("article % 2 = 0").select("article", F.when(F.col("article") % 4 > 0, "changed").otherwise(F.col("body_hash")).alias("body_hash"))
+    return reads.automatic(articles, baselines, articles.where("article % 10 = 1").select("article"), tracked)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         reading_states, asset_tags, content_eligible, alert_expiry, latest_row, macro_history, fresh_briefing, snapshot_staleness, source_ids, relations_scan, decision_relations, validation_relations, monitored_events,
         policy_feed, tier_coverage, firsthand, overflow, target_values, option_exposures, window_rows, policy_verdicts, pruned_days, discovered, merged_content, failed_sources, failed_claims, recovered_jobs, job_snapshot,
-        queue_states, daily_budget, analysis_states, new_posts, latest_per_source,
+        queue_states, daily_budget, analysis_states, new_posts, latest_per_source, moved_sightings, canonical_sightings, completed_claims, revoked_claims, automatic_articles,
     )
 }
 _T = f"TIMESTAMP '{_NOW}'"
@@ -276,6 +322,15 @@ _TIERS = """i AS (SELECT event_id AS k, CASE WHEN event_id % 90 = 7 THEN 'offici
   CASE WHEN event_id % 40 = 0 THEN 'critical' WHEN event_id % 45 = 0 THEN 'high' WHEN event_id % 5 = 0 THEN 'medium' WHEN event_id % 7 > 0 THEN 'low' END AS impact, CASE WHEN event_id % 17 > 0 THEN event_id * 7 % 3000 END AS age FROM events)"""
 _JOBS = "j AS (SELECT o_orderkey AS job, CASE WHEN o_orderkey % 50 = 0 THEN 'running' WHEN o_orderkey % 31 = 0 THEN 'queued' ELSE 'done' END AS state, o_orderkey % 5 AS n, o_orderdate AS u FROM orders)"
 SQL = {
+    "moved_sightings": """WITH s AS (SELECT user_id % 200 AS e, event_type AS kol_key, 's' || (event_id % 2) AS source, event_id % 3 + 1 AS n, ts, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS r, CASE WHEN event_id % 4 > 0 THEN ts END AS p FROM events),
+g AS (SELECT e % 100 AS event_id, *, row_number() OVER (PARTITION BY e % 100, kol_key, source ORDER BY r, e >= 100, ts) AS k FROM s)
+SELECT event_id, kol_key, source, 'u' AS source_url, CAST(sum(n) AS BIGINT) AS observations, max(CASE WHEN k = 1 THEN ['verified', 'future', 'unknown'][r + 1] END) AS time_status, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_seen, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_seen,
+  CAST(floor(epoch(max(CASE WHEN k = 1 THEN p END))) AS BIGINT) AS published_at FROM g GROUP BY 1, 2, 3""",
+    "canonical_sightings": f"WITH c AS ({text.SQL['canonical_url']}) SELECT page_id % 20 AS event_id, coalesce(canonical, url) AS source_url, count(*) AS observations FROM c JOIN pages USING (page_id) GROUP BY 1, 2",
+    "completed_claims": """WITH x AS (SELECT o_orderkey AS k, o_orderkey % 3 = 0 AND o_orderkey % 5 = o_orderkey % 7 AND o_orderkey % 4 > 0 AS h FROM orders)
+SELECT k AS task, CASE WHEN h THEN '' ELSE CAST(k % 5 AS VARCHAR) END AS token, CASE WHEN h THEN 'ready' WHEN k % 4 = 0 THEN 'pending' ELSE 'processing' END AS status, CASE WHEN h THEN 'new' ELSE 'old' END AS result FROM x""",
+    "revoked_claims": "WITH x AS (SELECT o_orderkey AS k, o_orderkey % 4 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 AS stale FROM orders) SELECT k AS task, CASE WHEN stale THEN '' ELSE 't' END AS token, CASE WHEN stale THEN 'pending' ELSE 'processing' END AS status FROM x",
+    "automatic_articles": f"""SELECT event_id AS article, event_type AS source FROM events WHERE event_type <> 'click' AND event_id % 7 > 0 AND event_id % 5 > 0 AND (event_id % 10 = 1 OR ts > {_T} OR (event_id % 2 = 0 AND event_id % 4 > 0))""",
     "reading_states": """WITH y AS (SELECT *, (event_id % 50) / 10 AS two, (event_id % 37) / 10 AS ten, (user_id % 60) / 10 AS thirty, value + (event_id % 61) / 10 - 3 AS nxt FROM events),
 s AS (SELECT *, CASE WHEN two <> 0 AND ten <> 0 THEN ten - two END AS near, CASE WHEN ten <> 0 AND thirty <> 0 THEN thirty - ten END AS far, CASE WHEN nxt <> 0 AND value <> 0 THEN nxt - value END AS gap,
   concat_ws(',', CASE WHEN event_id % 2 > 0 THEN 'two' END, CASE WHEN event_id % 3 > 0 THEN 'ten' END, CASE WHEN event_id % 5 > 0 THEN 'thirty' END) AS missing FROM y)
