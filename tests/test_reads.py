@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidemark.functions import states
-from tidemark.operators import reads
+from tidemark.operators import reads, stories
 
 
 def value(spark, column):
@@ -83,3 +83,25 @@ def test_empty_and_null_rows(spark):
     assert {r[0]: r[1] for r in reads.position_values(positions, targets).collect()} == {1: 5.0, 2: None, 3: 0.0}
     events = spark.createDataFrame([(1, "k"), (2, " "), (3, None)], "event_id int, dedup_key string")
     assert sorted(r[0] for r in reads.source_ids(events).collect()) == ["1", "2", "3", "k"]
+
+
+def test_moved_sightings_keep_the_best_publication(spark):
+    schema = "event_id int, kol_key string, source string, source_url string, observations int, first_seen string, last_seen string, time_status string, published_at string"
+    rows = [
+        (1, "a", "s", "u", 2, "2024-01-03", "2024-01-04", "future", "2024-02-01"), (2, "a", "s", "u", 3, "2024-01-01", "2024-01-02", "verified", "2024-01-01"),
+        (1, "b", "s", "u", 1, "2024-01-05", "2024-01-05", "verified", "2024-01-05"), (2, "b", "s", "u", 1, "2024-01-01", "2024-01-01", "verified", "2024-01-01"), (2, "c", "s", "u", 1, "2024-01-01", "2024-01-01", "unknown", None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    for c in ("first_seen", "last_seen", "published_at"):
+        df = df.withColumn(c, F.col(c).cast("timestamp"))
+    moves = spark.createDataFrame([(2, 1)], "event_id int, keep_id int")
+    got = {r["kol_key"]: (r["event_id"], r["observations"], r["first_seen"].day, r["last_seen"].day, r["time_status"], r["published_at"] and r["published_at"].day) for r in stories.moved_sightings(df, moves).collect()}
+    # A verified time beats one ahead; of two verified ones that of the event that stays is kept.
+    assert got == {"a": (1, 5, 1, 4, "verified", 1), "b": (1, 2, 1, 5, "verified", 5), "c": (1, 1, 1, 1, "unknown", None)}
+
+
+def test_only_the_holder_of_a_claim_ends_it(spark):
+    claims = spark.createDataFrame([(1, "t", "processing", "", None), (2, "t", "processing", "", None), (3, "t", "ready", "", None), (4, "t", "processing", "", None)], "task int, token string, status string, error string, next_attempt timestamp")
+    failures = spark.createDataFrame([(1, "t", "HTTP 429", 5), (2, "other", "x", 5), (3, "t", "x", 5), (4, "t", "", None)], "task int, token string, code string, retry_seconds int")
+    got = {r["task"]: tuple(r)[1:] for r in reads.failed_claims(claims, failures, F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert got == {1: ("", "retry", "http429", datetime(2024, 1, 1, 0, 1)), 2: ("t", "processing", "", None), 3: ("t", "ready", "", None), 4: ("", "failed", "unknown", None)}
