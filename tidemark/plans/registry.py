@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decisions, more, news, prices, reads, text
+from . import decisions, more, news, prices, reads, relevance, text
 
-MODULES = [prices, text, decisions, more, news, reads]
+MODULES = [prices, text, decisions, more, news, reads, relevance]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
