@@ -44,8 +44,13 @@ def normal_title(title: Column) -> Column:
     return collapse_repeat(F.regexp_replace(plain, rf"[^\p{{L}}\p{{N}}]+|[{LETTER_SEPARATORS}]", ""))
 
 
+def title_digest(plain: Column, url: Column) -> Column:
+    """The identity of a normal title, of the canonical url where there is none."""
+    return F.left(F.sha1(F.when(plain != "", plain).otherwise(F.coalesce(canonical_url(url), F.lit("")))), F.lit(20))
+
+
 def dedup_key(title: Column, url: Column) -> Column:
-    return once(normal_title(title), lambda plain: F.left(F.sha1(F.when(plain != "", plain).otherwise(canonical_url(url))), F.lit(20)))
+    return once(normal_title(title), lambda plain: title_digest(plain, url))
 
 
 def prefix_key(title: Column) -> Column:

@@ -30,12 +30,17 @@ def dedup_exact(items: DataFrame) -> DataFrame:
 
 
 def prefix_twins(items: DataFrame) -> DataFrame:
+    """The twins among the items' normal titles."""
+    return twins(items.select(titles.normal_title(F.col("title")).alias("plain")).distinct())
+
+
+def twins(plain: DataFrame) -> DataFrame:
     """Pairs of distinct normal titles of which the longer starts with the shorter, both long enough: (long, short).
 
     A title's starts, of the lengths that titles with its first letters have, are looked up among the titles by their hash, so no bucket of a common
     start is joined with itself.
     """
-    plain = items.select(titles.normal_title(F.col("title")).alias("plain")).where(F.length("plain") >= titles.LEAST).distinct()
+    plain = plain.where(F.length("plain") >= titles.LEAST)
     bucket = F.xxhash64(F.left("plain", F.lit(titles.LEAST)))
     lengths = plain.groupBy(bucket.alias("bucket")).agg(F.collect_set(F.length("plain")).alias("lengths"))
     starts = plain.select(F.col("plain").alias("long"), bucket.alias("bucket")).join(lengths, "bucket").select("long", F.explode(F.filter("lengths", lambda n: n < F.length("long"))).alias("n"))
