@@ -1,12 +1,17 @@
-"""Queries on the relevance of sightings."""
+"""Queries on the relevance of sightings and on the story store."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import relevance_values as V
-from ..operators import relevance
+from ..functions import titles
+from ..operators import relevance, story_store
+from ..sources.scratch import shared_dir
 from ..sources.tables import table
+from .text import _TITLE
 
 #: Headlines set before the tables' texts, by the number of the row, so that the rules find people, companies and events.
 _HEADLINES = (
@@ -35,7 +40,25 @@ def event_relevance(spark, d):
     return relevance.assess(rows).select("doc_id", "relevance.*")
 
 
-QUERIES = {"event_relevance": event_relevance}
+def stored_stories(spark, d):
+    """Pages as observations, joined to a store in three batches; a third of the titles cut short."""
+    pages = table(spark, d, "pages", "page_id", "url", "html")
+    title = F.replace(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("&amp;"), F.lit("&"))
+    cut = F.when(F.col("page_id") % 3 == 0, F.left(title, F.lit(24))).otherwise(title)
+    level = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("page_id") % 3 + 1).cast("int"))
+    seen = F.timestamp_seconds(F.lit(1_767_225_600) + F.col("page_id") * 60)
+    rows = pages.select(
+        F.col("page_id").alias("item_id"), cut.alias("title"), F.lit(None).cast("string").alias("snippet"), F.lit("page").alias("source"), "url", F.concat(F.lit("p"), F.col("page_id") % 4).alias("kol_key"), level.alias("impact"),
+        (F.col("page_id") % 7 == 0).alias("has_market_kw"), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("T"), F.col("page_id"))).alias("tickers"), F.lit(None).cast("timestamp").alias("published_at"), seen.alias("seen_at"),
+    )
+    folder = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/stories-{uuid.uuid4().hex}"
+    for k in range(3):
+        story_store.upsert(rows.where(F.floor(F.col("item_id") / 50) % 3 == k), folder, k)
+    found = story_store.stories(spark, folder)
+    return found.select("event_id", "title", "impact", "has_market_kw", "tickers", "url", "kol_key", F.unix_seconds("first_seen").alias("first_seen"), F.unix_seconds("last_seen").alias("last_seen"), "observations")
+
+
+QUERIES = {"event_relevance": event_relevance, "stored_stories": stored_stories}
 
 
 def _list(words):
@@ -63,6 +86,10 @@ _RULES = {
     "severe": " OR ".join(_says(p) for p in (V.BUBBLE_CRISIS, V.RATE_DECISION, V.RATE_HOLD, V.TARIFF_ACTION, V.SYSTEMIC)),
     "asset": " OR ".join([r"regexp_matches(s, '(?:^|[^\w$])\$[A-Z]{1,5}\b')", *(_says(p, "s") for p in (V.FINANCE, V.FINANCE_CONTEXT, V.MARKET_SHOCK, V.BUBBLE_CRISIS))]),
 }
+_FLAT = r"trim(regexp_replace(title, '\s+', ' ', 'g'))"
+_BARE = rf"regexp_replace({_FLAT}, '{story_store.ELLIPSIS.replace(chr(92) + 'u2026', '…')}', '')"
+_BACK = f"list_filter(range((length({_BARE}) + 1) // 2, length({_BARE}) - 5), lambda k: starts_with({_BARE}, substr({_BARE}, k + 1)))"
+_SHOWN = f"CASE WHEN len({_BACK}) > 0 THEN trim(substr({_BARE}, 1, {_BACK}[1])) ELSE {_FLAT} END"
 _META = r"(?i)(?:^|[^A-Za-z0-9_])meta(?:[^A-Za-z0-9_]|$)"
 SQL = {
     "event_relevance": rf"""
@@ -118,5 +145,19 @@ SELECT doc_id, content AND alias IS NOT NULL AS eligible, content AND alias IS N
        CASE WHEN NOT content THEN 'insubstantial_content' WHEN alias IS NULL THEN 'entity_not_found' WHEN NOT finance THEN 'non_finance' WHEN basis = 'direct_source' THEN 'direct_source_finance'
             WHEN basis = 'company_mention' THEN 'affiliated_company_finance' ELSE 'person_mention_finance' END AS reason,
        CASE WHEN NOT finance THEN 'low' WHEN shock OR severe OR fought THEN 'high' WHEN warned OR business THEN 'medium' ELSE 'low' END AS rule_impact,
-       alias AS matched_alias, basis AS attribution_basis, '{relevance.VERSION}' AS classifier_version FROM weighed"""
+       alias AS matched_alias, basis AS attribution_basis, '{relevance.VERSION}' AS classifier_version FROM weighed""",
+    "stored_stories": f"""
+WITH RECURSIVE {_TITLE.replace("pages)", "(SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN '<title>' || left(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&'), 24) || '</title>' ELSE html END AS html FROM pages))")},
+shown AS (
+  SELECT t.item_id, plain, CASE WHEN plain <> '' THEN plain ELSE t.url END AS x, t.url AS y, {_SHOWN} AS title, trim(p.url) AS raw FROM titled t JOIN pages p ON t.item_id = p.page_id
+  WHERE trim(title) <> '' AND trim(p.url) <> ''),
+e AS (
+  SELECT a.item_id AS u, b.item_id AS v FROM shown a JOIN shown b ON a.x = b.x UNION SELECT a.item_id, b.item_id FROM shown a JOIN shown b ON a.y = b.y
+  UNION SELECT a.item_id, b.item_id FROM shown a JOIN shown b ON least(length(a.plain), length(b.plain)) >= {titles.LEAST} AND (starts_with(a.plain, b.plain) OR starts_with(b.plain, a.plain))),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+classes AS (SELECT u AS item_id, min(v) AS event_id FROM r GROUP BY u)
+SELECT event_id, arg_max(title, (length(title), -item_id)) AS title, ['low', 'medium', 'high'][CAST(max(item_id % 3) AS INTEGER) + 1] AS impact, bool_or(item_id % 7 = 0) AS has_market_kw,
+       CASE WHEN min(CASE WHEN item_id % 5 = 0 THEN item_id END) IS NOT NULL THEN 'T' || min(CASE WHEN item_id % 5 = 0 THEN item_id END) END AS tickers, arg_min(raw, item_id) AS url, 'p' || (min(item_id) % 4) AS kol_key,
+       CAST(1767225600 + min(item_id) * 60 AS BIGINT) AS first_seen, CAST(1767225600 + max(item_id) * 60 AS BIGINT) AS last_seen, count(*) AS observations
+FROM classes JOIN shown USING (item_id) GROUP BY event_id""",
 }
