@@ -1,4 +1,4 @@
-"""Assets, actions, taxonomies, sections, tiers, hashes and small scores as columns. Word lists are fixed values."""
+"""Assets, taxonomies, sections, tiers, hashes and small scores as columns. Word lists are fixed values."""
 
 from __future__ import annotations
 
@@ -34,10 +34,6 @@ STOP_TICKERS = ("A", "AI", "CEO", "CFO", "ETF", "GDP", "IPO", "SEC", "THE", "US"
 TICKER = r"\$[A-Z]{1,5}\b|\b[A-Z][A-Z0-9.-]{0,5}\s+(?:(?:class\s+[A-Z]\s+|common\s+)?stock|shares?)\b"
 #: Topic to patterns of its title and evidence: a title hit counts three, an evidence hit one.
 TAXONOMY = {"macro": ("rate", "fed", "inflation"), "markets": ("rally", "slump", "stocks"), "technology": ("chip", "software", "ai"), "policy": ("tariff", "sanction", "war")}
-ACTIONS = (("raise", ("raises", "raised", "hikes")), ("cut", ("cuts", "cut", "lowers")), ("beat", ("beat", "beats", "tops")), ("drop", ("drop", "slump", "falls")))
-NEGATION = r"(^|[^a-z0-9])(not|no|never|denies)($|[^a-z0-9])"
-MODAL = r"(^|[^a-z0-9])(may|might|could|would|expected|to)($|[^a-z0-9])"
-SYNONYMS = (("federal reserve", "fed"), ("per cent", "percent"), ("u.s.", "us"))
 SEVERE = ("crisis", "default", "emergency", "war")
 
 
@@ -72,31 +68,6 @@ def tickers(text: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.transform(kept, lambda w: F.replace(w, F.lit("$"), F.lit("")))), 1, most)
 
 
-def briefing_title(title: Column) -> Column:
-    """Lower-cased, a publisher's ` - Name` at the end dropped, synonyms made one, other signs to single blanks."""
-    t = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r" [-|] [^-|]{1,40}$", "")
-    for a, b in SYNONYMS:
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(t, r"[^a-z0-9%.]+", " "))
-
-
-def action(text: Column) -> Column:
-    """The one action of a claim: null if there is none, several, a modal or an infinitive; not_<action> if it is negated."""
-    found = F.array_compact(F.array(*[F.when(has_word(text, "(" + "|".join(words) + ")"), F.lit(name)) for name, words in ACTIONS]))
-    name = F.get(found, 0)
-    return F.when((F.size(found) == 1) & ~F.lower(text).rlike(MODAL), F.when(F.lower(text).rlike(NEGATION), F.concat(F.lit("not_"), name)).otherwise(name))
-
-
-def signature(day: Column, action_: Column, entities: Column, details: Column) -> Column:
-    """Day, action, sorted entities and details; null without an action or an entity."""
-    join = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
-    return F.when(action_.isNotNull() & (F.size(entities) > 0), F.concat_ws("|", day.cast("string"), action_, join(entities), join(details)))
-
-
-def story_key(parts: list[Column]) -> Column:
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
-
-
 def category(title: Column, evidence: Column) -> Column:
     """The topic of the highest score, the first of equals; other if all are zero."""
     one = lambda text, w: F.when(has_word(text, w), 1).otherwise(0)

@@ -102,19 +102,6 @@ def asset_keys(spark, d):
     return table(spark, d, "part", "p_partkey").select("p_partkey", signals.asset_key(v).alias("asset"))
 
 
-def semantic_signatures(spark, d):
-    t = F.concat(F.initcap("text"), F.lit(" - Some Paper"))
-    e = _texts(spark, d).withColumn("title", signals.briefing_title(t))
-    e = e.withColumns({"action": signals.action(F.col("title")), "entities": signals.assets(F.col("title"), F.array().cast("array<string>"))})
-    sig = signals.signature(F.to_date("ts"), F.col("action"), F.col("entities"), F.array(F.col("event_type")))
-    return e.select("event_id", "title", "action", sig.alias("signature"), signals.story_key([F.coalesce(sig, F.lit("none")), F.col("event_type")]).alias("story_key"))
-
-
-def signature_clusters(spark, d):
-    s = semantic_signatures(spark, d).where("signature IS NOT NULL")
-    return s.groupBy("signature").agg(F.min("event_id").alias("base_id"), F.count("*").alias("members"))
-
-
 def categories(spark, d):
     e = _texts(spark, d)
     tier = signals.source_tier(F.col("event_id") % 9 == 0, F.col("event_id") % 4 == 0, F.col("event_id") % 2 == 0)
@@ -176,8 +163,8 @@ def labelled_confirmation(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        news_snapshot, news_catalogue, data_coverage, reason_histogram, score_anchors, window_states, best_reactions, merged_feeds, private_overlay, event_edges, text_tickers, asset_keys, semantic_signatures,
-        signature_clusters, categories, signal_scores, opportunities, input_hashes, merged_references, reference_checks, carried_stress, price_scan, labelled_confirmation,
+        news_snapshot, news_catalogue, data_coverage, reason_histogram, score_anchors, window_states, best_reactions, merged_feeds, private_overlay, event_edges, text_tickers, asset_keys, categories,
+        signal_scores, opportunities, input_hashes, merged_references, reference_checks, carried_stress, price_scan, labelled_confirmation,
     )
 }
 _T = f"x AS (SELECT *, {_list(_A)}[event_id % {len(_A)} + 1] || ' ' || ['gold and bitcoin', '$AAPL', 'code 600519 now', 'nothing', 'NVDA and THE CEO'][event_id % 5 + 1] || ' ' || {_list(_B)}[event_id % {len(_B)} + 1] AS text FROM events)"
@@ -203,12 +190,6 @@ _EDGES = f"""a AS (SELECT *, {_TOPIC} AS topic, {_hits(rules.POSITIVE, "text")}
 s AS (SELECT *, CASE WHEN good > bad THEN 'bullish' WHEN bad > good THEN 'bearish' ELSE 'unknown' END AS stance FROM a),
 e AS (SELECT *, unnest(CASE WHEN len(assets) = 0 THEN [NULL] ELSE assets END) AS asset FROM s),
 c AS (SELECT *, least(0.30::DOUBLE + CASE WHEN asset IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN stance <> 'unknown' THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN topic <> 'general' THEN 0.10::DOUBLE ELSE 0 END + 0.05::DOUBLE, 0.95) AS c FROM e)"""
-_TITLE = r"trim(regexp_replace(replace(replace(replace(regexp_replace(lower(text || ' - Some Paper'), ' [-|] [^-|]{1,40}$', ''), 'federal reserve', 'fed'), 'per cent', 'percent'), 'u.s.', 'us'), '[^a-z0-9%.]+', ' ', 'g'))"
-_ACTIONS = "list_filter([" + ", ".join(f"CASE WHEN {_has('title', w)} THEN '{name}' END" for name, w in signals.ACTIONS) + "], lambda v: v IS NOT NULL)"
-_SIGN = f"""t AS (SELECT event_id, ts, event_type, {_TITLE} AS title FROM x),
-f AS (SELECT *, {_ACTIONS} AS found, list_filter(list_concat(CASE WHEN regexp_matches(title, '(^|[^0-9])[0-9]{{6}}($|[^0-9])') THEN ['CN:600519'] ELSE [] END, {_named("title")}), lambda v: v IS NOT NULL) AS entities FROM t),
-g AS (SELECT *, CASE WHEN len(found) = 1 AND NOT regexp_matches(title, '{signals.MODAL}') THEN CASE WHEN regexp_matches(title, '{signals.NEGATION}') THEN 'not_' || found[1] ELSE found[1] END END AS action FROM f),
-h AS (SELECT *, CASE WHEN action IS NOT NULL AND len(entities) > 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) || '|' || action || '|' || array_to_string(list_sort(entities), ',') || '|' || event_type END AS signature FROM g)"""
 _CAT = _scores(f"{_list(_A)}[event_id % {len(_A)} + 1]", "text")
 SQL = {
     "news_snapshot": """WITH i AS (SELECT event_id % 2000 AS item_id, max(ts) FILTER (event_id % 3 > 0) AS p, min(ts) AS f FROM events GROUP BY 1), b AS (SELECT event_id % 2000 AS item_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources, count(DISTINCT event_type) AS n_sources FROM events GROUP BY 1)
@@ -232,8 +213,6 @@ SELECT n_nationkey AS card_id, n_nationkey AS asset, coalesce(positions, 0) AS p
 f AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_extract_all(t, '({signals.TICKER})', 1), lambda m: regexp_extract(m, '^(\$?[A-Z][A-Z0-9.-]{{0,5}})', 1)), lambda w: NOT list_contains({_list(signals.STOP_TICKERS)}, w)), lambda w: replace(w, '$', '')) AS f FROM x)
 SELECT doc_id, array_to_string(list_filter(f, lambda w, i: list_position(f, w) = i)[1:8], ',') AS tickers FROM f""",
     "asset_keys": "SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'US:' || p_partkey WHEN 1 THEN 'CN:' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') " + " ".join(f"WHEN {i} THEN '{key}'" for i, (_, key) in enumerate(_KEYS, 2) if key) + " END AS asset FROM part",
-    "semantic_signatures": f"WITH {_T}, {_SIGN} SELECT event_id, title, action, signature, sha256(coalesce(signature, 'none') || chr(31) || event_type) AS story_key FROM h",
-    "signature_clusters": f"WITH {_T}, {_SIGN} SELECT signature, min(event_id) AS base_id, count(*) AS members FROM h WHERE signature IS NOT NULL GROUP BY 1",
     "categories": f"""WITH {_T}, k AS (SELECT *, [{", ".join(_CAT)}] AS s FROM x) SELECT event_id, CASE WHEN list_max(s) > 0 THEN {_list(signals.TAXONOMY)}[list_position(s, list_max(s))] ELSE 'other' END AS category,
   CASE WHEN {_has("text", signals.SEVERE)} THEN 'severe' WHEN {_has("text", ("tariff", "sanction", "rate"))} THEN 'high' ELSE 'normal' END AS severity, CASE WHEN event_id % 9 = 0 THEN 'official' WHEN event_id % 4 = 0 THEN 'first_party' WHEN event_id % 2 = 0 THEN 'reporting' ELSE 'discovery' END AS tier,
   CAST({" + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in ("war", "rate", "rally", "loss"))} AS INTEGER) AS hits FROM k""",
