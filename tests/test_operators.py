@@ -142,6 +142,18 @@ def test_diversified_selection(spark, k):
     assert got == [(rows[i][0], rows[i][1], rows[i][5]) for i in brute_summary(rows, k)]
 
 
+@pytest.mark.parametrize("k", [3, 12, 50])
+def test_selection_from_many(spark, k):
+    """A hot pair, a hot topic and a hot asset before all others."""
+    rng = random.Random(k)
+    names = [("t0", "a0")] * 400 + [("t0", f"a{i}") for i in range(300)] + [(f"t{i}", "a0") for i in range(300)] + [(f"t{rng.randrange(9)}", f"a{rng.randrange(40)}") for _ in range(500)]
+    rows = [(t, a, "verify", True, True, 1 - i / 10_000) for i, (t, a) in enumerate(names)]
+    cards = spark.createDataFrame(rows, "topic string, asset string, stage string, abstain boolean, veto boolean, score double").repartition(5)
+    got = [(r.topic, r.asset, r.score) for r in decisions.select_summary(cards, k).collect()]
+    assert got == [(rows[i][0], rows[i][1], rows[i][5]) for i in brute_summary(rows, k)]
+    assert decisions.select_summary(cards.limit(0), k).count() == 0
+
+
 def test_alert_needs_two_days_up_and_two_days_down(spark):
     day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
     calm, hot, worst = (True, False, False, False, 0, 0, True), (True, True, True, False, 1, 0, True), (True, True, True, True, 2, 2, True)
@@ -152,7 +164,76 @@ def test_alert_needs_two_days_up_and_two_days_down(spark):
     got = alerts.replay(spark.createDataFrame(rows, schema).repartition(5)).collect()
     for m in ("US", "CN"):
         assert [r.action for r in sorted(got, key=lambda r: r.day) if r.market == m] == want
-    assert {r.level for r in got if r.day == day(11)} == {"insufficient"}
+    assert {r.level for r in got if r.day == day(11)} == {"insufficient"} and {r.pending for r in got if r.day == day(3)} == {True}
+
+
+ALERT_DAYS = "market string, day date, valid boolean, watch boolean, confirmed boolean, severe boolean, strong int, critical int, fx boolean"
+
+
+def alert_days(seed, markets=("CN", "US"), n=60, again=0.15):
+    rng = random.Random(seed)
+    out = []
+    for m in markets:
+        for i in range(n):
+            severe = rng.random() < 0.4
+            confirmed = severe or rng.random() < 0.4
+            out.append((m, dt.date(2024, 1, 1) + dt.timedelta(days=i - (rng.random() < again)), rng.random() < 0.95, confirmed or rng.random() < 0.3, confirmed, severe, rng.randint(0, 2), rng.randint(0, 3), rng.random() < 0.7))
+    return out
+
+
+def brute_alerts(rows):
+    """The rules read one evaluation after the other, each from the record of the one before."""
+    rank = {a: k for k, a in enumerate(alerts.ACTIONS)}
+    out, before = [], {}
+    for market, day, valid, watch, confirmed, severe, strong, critical, fx in sorted(rows):
+        p = before.get(market, {"action": "observe", "reduce": [], "exit": [], "recovery": []})
+        add = lambda name: [*p[name], *([day] if day not in p[name] else [])][-3:]  # noqa: B023
+        raw_reduce, raw_exit = confirmed and strong > 0, severe and critical >= 2 and fx
+        reduce, exit_ = add("reduce") if raw_reduce or raw_exit else [], add("exit") if raw_exit else []
+        action = "prepare_reduce" if raw_reduce or raw_exit or watch or strong else "observe"
+        action = "reduce_candidate" if len(reduce) >= 2 else action
+        if len(exit_) >= 2 and p["action"] in ("reduce_candidate", "exit_candidate"):
+            action = "exit_candidate"
+        recovery, pending = [], False
+        active = (p["action"] == "reduce_candidate" and (raw_reduce or raw_exit)) or (p["action"] == "exit_candidate" and raw_exit)
+        if rank[p["action"]] > rank[action]:
+            if active:
+                action = p["action"]
+            else:
+                recovery = add("recovery")
+                action, pending = (p["action"], True) if len(recovery) < 2 else (action, False)
+        if not valid:
+            action, reduce, exit_, recovery, pending = "observe", [], [], [], False
+        before[market] = {"action": action, "reduce": reduce, "exit": exit_, "recovery": recovery}
+        out.append((market, day, action, "insufficient" if not valid else ["low", "medium", "high", "critical"][rank[action]], pending))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_alerts_against_plain(spark, seed):
+    rows = alert_days(seed)
+    got = [tuple(r) for r in alerts.replay(spark.createDataFrame(rows, ALERT_DAYS).repartition(4)).collect()]
+    assert sorted(got) == sorted(brute_alerts(rows))
+
+
+def test_alerts_as_a_stream(spark, tmp_path):
+    """Three batches, days in order, give what the replay of all gives; a kept state of other rules is none."""
+    rows = sorted(alert_days(9, n=30, again=0), key=lambda r: (r[1], r[0]))
+    landing, out, point = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    provider, key = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        for part in (rows[:21], rows[21:40], rows[40:]):
+            days = spark.createDataFrame(part, ALERT_DAYS)
+            days.coalesce(1).write.mode("append").parquet(landing)
+            stream = alerts.follow(spark.readStream.schema(ALERT_DAYS).parquet(landing)).writeStream.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/part={k}"))
+            stream.outputMode("update").option("checkpointLocation", point).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    got = [tuple(r)[:5] for r in spark.read.parquet(out).select("market", "day", "action", "level", "pending").collect()]
+    want = [tuple(r) for r in alerts.replay(spark.createDataFrame(rows, ALERT_DAYS)).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_snapshots_may_not_go_back(spark):

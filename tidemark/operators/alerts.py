@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ACTIONS = ("observe", "prepare_reduce", "reduce_candidate", "exit_candidate")
 #: Days kept in a list, days that confirm.
 KEPT, CONFIRM = 3, 2
 _RANK = {a: k for k, a in enumerate(ACTIONS)}
+#: Level of each action, and the version of the rules that a kept state must have.
+LEVELS, VERSION = ("low", "medium", "high", "critical"), "alerts-2"
 
 
 def pressures(vix: Column, stress: Column, usd_cny: Column | None = None, cny_change: Column | None = None) -> tuple[Column, Column, Column]:
@@ -26,43 +29,53 @@ def pressures(vix: Column, stress: Column, usd_cny: Column | None = None, cny_ch
 
 
 class State:
-    """What a market carries from day to day."""
+    """What a market carries from one evaluation to the next. A state kept under another VERSION is as none."""
 
-    def __init__(self) -> None:
-        self.action, self.reduce, self.exit, self.recovery = ACTIONS[0], [], [], []
+    def __init__(self, action: str = ACTIONS[0], reduce: tuple = (), exit: tuple = (), recovery: tuple = (), last=None):
+        self.action, self.reduce, self.exit, self.recovery, self.last = action, list(reduce), list(exit), list(recovery), last
 
-    def step(self, day, valid: bool, watch: bool, confirmed: bool, severe: bool, strong: int, critical: int, fx: bool) -> tuple[str, str]:
-        """(action, level) of the day."""
+    @staticmethod
+    def _with(days: list, day) -> list:
+        """Different days of a condition; an evaluation later on the same day adds none."""
+        return (days if day in days else [*days, day])[-KEPT:]
+
+    def step(self, day, valid: bool, watch: bool, confirmed: bool, severe: bool, strong: int, critical: int, fx: bool) -> tuple[str, str, bool]:
+        """(action, level, whether a fall waits for its second day) of an evaluation; one of a day before the last is answered and changes nothing."""
+        if self.last is not None and day < self.last:
+            return self.action, LEVELS[_RANK[self.action]], False
+        self.last = day
         if not valid:
-            self.__init__()
-            return self.action, "insufficient"
+            # Stale or missing inputs: nothing that was confirmed counts any more.
+            self.action, self.reduce, self.exit, self.recovery = ACTIONS[0], [], [], []
+            return self.action, "insufficient", False
         raw_reduce, raw_exit = confirmed and strong > 0, severe and critical >= 2 and fx
-        self.reduce = [*self.reduce, day][-KEPT:] if raw_reduce else []
-        self.exit = [*self.exit, day][-KEPT:] if raw_exit else []
-        wanted = ACTIONS[1] if raw_reduce or raw_exit or watch or strong > 0 else ACTIONS[0]
+        self.reduce = self._with(self.reduce, day) if raw_reduce or raw_exit else []
+        self.exit = self._with(self.exit, day) if raw_exit else []
+        before, action = self.action, ACTIONS[1] if raw_reduce or raw_exit or watch or strong > 0 else ACTIONS[0]
         if len(self.reduce) >= CONFIRM:
-            wanted = ACTIONS[2]
-        if len(self.exit) >= CONFIRM and _RANK[self.action] >= 2:
-            wanted = ACTIONS[3]
-        if _RANK[wanted] >= _RANK[self.action]:
-            self.recovery = []
-            self.action = wanted
-        elif (self.action == ACTIONS[2] and raw_reduce) or (self.action == ACTIONS[3] and raw_exit):
-            self.recovery = []
-        else:
-            self.recovery = [*self.recovery, day][-KEPT:]
-            if len(self.recovery) >= CONFIRM:
-                self.action, self.recovery = wanted, []
-        return self.action, "severe" if severe else "confirmed" if confirmed else "watch" if watch else "calm"
+            action = ACTIONS[2]
+        if len(self.exit) >= CONFIRM and _RANK[before] >= 2:
+            action = ACTIONS[3]
+        recovery, pending = [], False
+        if _RANK[before] > _RANK[action]:
+            if (before == ACTIONS[2] and (raw_reduce or raw_exit)) or (before == ACTIONS[3] and raw_exit):
+                action = before
+            else:
+                recovery = self._with(self.recovery, day)
+                if len(recovery) < CONFIRM:
+                    action, pending = before, True
+        self.action, self.recovery = action, recovery
+        return action, LEVELS[_RANK[action]], pending
 
 
 _FIELDS = ("valid", "watch", "confirmed", "severe", "strong", "critical", "fx")
+_RESULT = "market string, day date, action string, level string, pending boolean"
 
 
 def replay(days: DataFrame) -> DataFrame:
-    """days(market, day, valid, watch, confirmed, severe, strong, critical, fx) -> (market, day, action, level).
+    """days(market, day, valid, watch, confirmed, severe, strong, critical, fx) -> (market, day, action, level, pending).
 
-    The days of a market arrive in order and go through the state one at a time; a task holds a batch of them and one state.
+    The days of a market arrive in order (several evaluations of a day by their values) and go through the state one at a time; a task holds a batch of them and one state.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,10 +86,34 @@ def replay(days: DataFrame) -> DataFrame:
                 if row.market != market:
                     market, state = row.market, State()
                 out.append((row.market, row.day, *state.step(row.day, *(getattr(row, f) for f in _FIELDS))))
-            yield pd.DataFrame(out, columns=["market", "day", "action", "level"])
+            yield pd.DataFrame(out, columns=["market", "day", "action", "level", "pending"])
+
+    columns = days.select("market", "day", *_FIELDS)
+    return columns.repartition("market").sortWithinPartitions("market", "day", *_FIELDS).mapInPandas(run, _RESULT)
+
+
+class MarketProcessor(StatefulProcessor):
+    """The state of each market as a value of the stream's store: version, action and days."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("alert", "version string, action string, reduce array<date>, exit array<date>, recovery array<date>, last date")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        kept = self.value.get() if self.value.exists() else None
+        state = State(*kept[1:]) if kept is not None and kept[0] == VERSION else State()
+        found = pd.concat(list(rows), ignore_index=True).sort_values(["day", *_FIELDS], kind="stable")
+        out = [(row.market, row.day, *state.step(row.day, *(getattr(row, f) for f in _FIELDS))) for row in found.itertuples(index=False)]
+        self.value.update((VERSION, state.action, state.reduce, state.exit, state.recovery, state.last))
+        yield pd.DataFrame(out, columns=["market", "day", "action", "level", "pending"])
+
+    def close(self) -> None:
+        pass
+
 
+def follow(days: DataFrame) -> DataFrame:
+    """replay for a stream of days: each micro-batch goes on from what the markets' states hold. Asks for the RocksDB state store."""
     columns = days.select("market", "day", *_FIELDS)
-    return columns.repartition("market").sortWithinPartitions("market", "day").mapInPandas(run, "market string, day date, action string, level string")
+    return columns.groupBy("market").transformWithStateInPandas(MarketProcessor(), outputStructType=_RESULT, outputMode="Update", timeMode="None")
 
 
 def indicator_events(snapshots: DataFrame) -> DataFrame:

@@ -266,6 +266,14 @@ SQL = {
     "decision_cards": f"WITH {_CARDS} SELECT * FROM cards",
     "decision_overview": f"WITH {_CARDS} SELECT count(*) AS total, count(*) FILTER (classification = 'opportunity') AS opportunities, count(*) FILTER (classification = 'risk') AS risks, count(*) FILTER (classification = 'conflict') AS conflicts, count(*) FILTER (stage IN ('scale_in', 'reduce_or_hedge')) AS candidates, count(*) FILTER (stage = 'verify') AS to_verify, count(*) FILTER (veto) AS vetoed, count(*) FILTER (NOT abstain) AS confirmed FROM cards",
     "decision_order": f"WITH {_CARDS} SELECT topic, asset, CAST(row_number() OVER (ORDER BY {_CORDER}) AS INTEGER) AS place FROM cards",
+    "diversified_top_k": f"""WITH RECURSIVE {_CARDS}, o AS (SELECT *, row_number() OVER (ORDER BY {_CORDER}) AS place FROM cards),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS picks, CAST([] AS VARCHAR[]) AS ts, CAST([] AS VARCHAR[]) AS ys
+  UNION ALL SELECT o.place, CASE WHEN take THEN list_append(picks, o.place) ELSE picks END, CASE WHEN take THEN list_append(ts, o.topic) ELSE ts END, CASE WHEN take THEN list_append(ys, o.asset) ELSE ys END
+  FROM (SELECT r.*, o.place AS at_place, len(picks) < 12 AND (o.place <= 2 OR (len(list_filter(ts, lambda x: x = o.topic)) < 3 AND len(list_filter(ys, lambda x: x = o.asset)) < 2)) AS take FROM r JOIN o ON o.place = r.place + 1) s JOIN o ON o.place = s.at_place),
+chosen AS (SELECT picks FROM r ORDER BY place DESC LIMIT 1),
+filled AS (SELECT o.*, row_number() OVER (ORDER BY list_contains(picks, o.place) DESC, o.place) AS n FROM o, chosen)
+SELECT * EXCLUDE (place, n) FROM filled WHERE n <= 12""",
     "impact_matrix": f"WITH {_CARDS} SELECT topic, {', '.join(f'''max(score) FILTER (asset = 'US:{k}') AS us_{k}''' for k in range(12))} FROM cards GROUP BY topic",
     "eligible_edges": f"WITH {_E} SELECT edge_id, round(age_days, 4) AS age_days, CAST({_FRESH} AS DOUBLE) AS freshness FROM ok",
     "group_horizon": f"WITH {_E}, {_H.format('e')} SELECT topic, asset, horizon FROM gh",

@@ -9,6 +9,8 @@ from ..operators import alerts, briefing, options, performance, prices, segments
 from ..sources import payloads
 from ..sources.tables import table
 from .common import shown
+from .prices import _P as _PRICES
+from .prices import _T as _TRENDS
 
 
 def _market_days(spark, d):
@@ -211,6 +213,25 @@ _CODES = [
     ("account_stale", "k % 65 > 60"), ("earnings_before_expiry", "k % 120 <= dte"),
 ]
 SQL = {
+    "market_alerts": rf"""WITH RECURSIVE {_PRICES}, {_TRENDS},
+d AS (
+  SELECT asset AS market, day, date_diff('day', DATE '1995-01-01', day) AS k, close < sma_short OR sma_short - earlier < 0 AS watch, close < sma_short AND sma_short - earlier < 0 AS confirmed,
+         close < sma_long AND sma_short < sma_long AND drawdown <= -0.10 AS severe FROM t WHERE n >= 60),
+v AS (
+  SELECT market, day, row_number() OVER (PARTITION BY market ORDER BY day) AS n, k % 23 <> 0 AS valid, watch, confirmed AND strong > 0 AS raw_reduce, severe AND critical >= 2 AS raw_exit, strong
+  FROM (SELECT *, CAST(k * 7 % 40 >= 28 AS INTEGER) + CAST(k * 3 % 7 > 2 AS INTEGER) AS strong, CAST(k * 7 % 40 >= 35 AS INTEGER) + CAST(k * 3 % 7 > 5 AS INTEGER) AS critical FROM d)),
+r AS (
+  SELECT DISTINCT market, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS day, true AS valid, 0 AS action, 0 AS reduce_n, 0 AS exit_n, 0 AS recovery_n, false AS pending FROM v
+  UNION ALL
+  SELECT market, n, day, valid, CASE WHEN NOT valid THEN 0 WHEN held THEN before ELSE wanted END, CASE WHEN valid THEN reduce_n ELSE 0 END, CASE WHEN valid THEN exit_n ELSE 0 END,
+         CASE WHEN valid AND before > wanted AND NOT active THEN recovery_n + 1 ELSE 0 END, valid AND held AND NOT active
+  FROM (SELECT *, before > wanted AND (active OR recovery_n + 1 < 2) AS held
+        FROM (SELECT *, (before = 2 AND (raw_reduce OR raw_exit)) OR (before = 3 AND raw_exit) AS active,
+                     CASE WHEN exit_n >= 2 AND before >= 2 THEN 3 WHEN reduce_n >= 2 THEN 2 WHEN raw_reduce OR raw_exit OR watch OR strong > 0 THEN 1 ELSE 0 END AS wanted
+              FROM (SELECT v.*, r.action AS before, CASE WHEN v.raw_reduce OR v.raw_exit THEN least(r.reduce_n + 1, 3) ELSE 0 END AS reduce_n, CASE WHEN v.raw_exit THEN least(r.exit_n + 1, 3) ELSE 0 END AS exit_n, r.recovery_n
+                    FROM r JOIN v ON v.market = r.market AND v.n = r.n + 1))))
+SELECT market, CAST(day AS VARCHAR) AS day, ['observe', 'prepare_reduce', 'reduce_candidate', 'exit_candidate'][action + 1] AS action, CASE WHEN valid THEN ['low', 'medium', 'high', 'critical'][action + 1] ELSE 'insufficient' END AS level, pending
+FROM r WHERE n > 0""",
     "indicator_events": """WITH s AS (SELECT event_type AS market, CAST(ts AS DATE) AS day, max(value) AS vix, CAST(count(*) % 7 AS DOUBLE) AS stress, CAST(min(event_id) % 3 - 1 AS DOUBLE) AS curve, CAST(max(event_id) % 5 + 100 AS DOUBLE) AS dollar FROM events GROUP BY 1, 2),
 p AS (SELECT *, lag(vix) OVER w AS pv, lag(stress) OVER w AS ps, lag(curve) OVER w AS pc, lag(dollar) OVER w AS pd FROM s WINDOW w AS (PARTITION BY market ORDER BY day))
 SELECT market, CAST(day AS VARCHAR) AS day, 'vix' AS kind, round(vix, 6) AS value FROM p WHERE abs(vix - pv) >= 3 OR (pv < 25 AND vix >= 25)
