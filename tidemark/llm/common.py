@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from ..sources.scratch import shared_dir, stored
 from ..sources.tables import table
 
-__all__ = ["LOWER", "UPPER", "WORD", "Aside", "fold", "lowered", "shared_dir", "stored", "table", "with_body"]
+__all__ = ["LOWER", "UPPER", "WORD", "Aside", "bounded_batches", "fold", "lowered", "shared_dir", "stored", "table", "window_at", "with_body"]
 
 #: A word of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +49,24 @@ class Aside:
         return found.select(*[F.col(self.names[c]).alias(c) for c in self.kept], *results)
 
 
+#: Bytes and rows of the batches that workers get, so that what a worker holds at once doesn't grow with the texts.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2048
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_BYTES bytes and BATCH_ROWS rows at most; smaller settings stay. A single text may be larger."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(key, None)
+        digits = "".join(c for c in now or "" if c.isdigit())
+        if now != digits or not digits or not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))
+
+
+def window_at(size: Column, most: int, *by: Column) -> Column:
+    """Where, counted from 1, a window of `most` begins in something of a size: chosen by digest, at 1 where all of it fits."""
+    return (F.pmod(F.xxhash64(*by, F.lit(3)), F.greatest(size - most + 1, F.lit(1))) + 1).cast("int")
+
+
 def with_body(docs: DataFrame, carry: tuple[str, ...], results: str, *more: Column) -> tuple[DataFrame, StructType, str]:
     """(carried columns, the text for a task and more, the schema of the carried columns and the results, the column that has the text)."""
     schema = StructType([docs.schema[c] for c in carry])

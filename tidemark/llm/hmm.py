@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chains
-from .common import fold, stored
+from .common import fold, stored, window_at
 from .counts import about, least_counts
 
 #: Hidden states, rounds of Baum-Welch, words with a class of their own, words whose counts all tasks hold, other classes.
@@ -301,12 +301,13 @@ def fitted(rows: DataFrame, rounds: int = ROUNDS, states: int = STATES, own: int
     """rows(doc_id, held_out, body) -> (counts of the training words, vocabulary, all rows encoded, model)."""
     counts = stored(word_counts(rows.where(~F.col("held_out")).select("body")), "word-counts")
     vocab = vocabulary(counts, own, known)
-    coded = stored(encoded(rows, vocab, ("doc_id", "held_out")), "encoded")
+    # What is chosen for the start depends on ids and texts alone, not on how the table is split.
+    coded = stored(encoded(rows.withColumn("pick", F.xxhash64("doc_id", "body")), vocab, ("doc_id", "held_out", "pick")), "encoded")
     train = coded.where(~F.col("held_out"))
-    # Of a longer text a window, at a place given by the row; two bytes a class.
-    late = F.pmod(F.xxhash64("row", F.lit(3)), F.greatest(F.col("n_tokens") - START_TOKENS + 1, F.lit(1)))
-    window = F.substring(F.col("classes"), (late * 2 + 1).cast("int"), F.lit(2 * START_TOKENS)).alias("classes")
-    start = train.where(about(F.col("row"), F.lit(0), {0: train.count()}, START_DOCS)).orderBy("row").limit(2 * START_DOCS).select(window)
+    # Of a longer text a window; two bytes a class.
+    late = window_at(F.col("n_tokens"), START_TOKENS, F.col("pick"))
+    window = F.substring(F.col("classes"), 2 * late - 1, F.lit(2 * START_TOKENS)).alias("classes")
+    start = train.where(about(F.col("pick"), F.lit(0), {0: train.count()}, START_DOCS)).orderBy("pick", "classes").limit(2 * START_DOCS).select(window)
     model = first_model([np.frombuffer(bytes(r["classes"]), np.uint16) for r in start.collect()], vocab.classes, states)
     for _ in range(rounds):
         model = improved(train, model)

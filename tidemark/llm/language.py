@@ -4,7 +4,7 @@ Learned from documents of the training folds that carry a language: their words
 joined end to end in threes, so that the field also learns to pass from one language to another as code-switched
 text does. The lexicon holds the words that most documents of a language use, counted over all training
 documents. The weights are fitted on a bounded sample: of every language that training rows carry, SAMPLE documents divided by the number of
-languages, EACH at least, of at most SAMPLE_BYTES bytes, chosen by hash of their texts. All languages are learned, however many.
+languages, EACH at least, chosen by hash of their texts, and of a longer text than SAMPLE_BYTES a window of so many bytes. All languages are learned, however many.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and no runs; ties go to the first language by code point; without
 training rows all texts are `und` with score 0; ids may be null or repeated (a null id is the empty string for the fold); very
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import Aside, fold, with_body
+from .common import Aside, fold, window_at, with_body
 from .counts import about, document_keys, most_frequent
 
-#: Documents in the sample (as many of each language), least of a language, the longest of them, words of a language in the lexicon, passes over the sample.
+#: Documents in the sample (as many of each language), least of a language, bytes of each, words of a language in the lexicon, passes over the sample.
 SAMPLE, EACH, SAMPLE_BYTES, LEXICON, EPOCHS = 1600, 40, 20_000, 2000, 4
 RESULTS = ("lang_pred", "score", "runs")
 _SCHEMA = "lang_pred string, score double, runs array<struct<start: bigint, end: bigint, lang: string>>"
@@ -41,10 +41,11 @@ def train(rows: DataFrame) -> crf.RandomField | None:
     top = most_frequent(document_keys(rows, "lang"), "lang", LEXICON)
     lexicon = np.unique(np.array([r["hash"] for r in top.select("hash").collect()], np.int64).view(np.uint64))
     each = max(EACH, SAMPLE // len(labels))
-    short = rows.where(F.length("body").between(1, SAMPLE_BYTES))
-    sizes = {r["lang"]: r["count"] for r in short.groupBy("lang").count().collect()}
+    some = rows.where(F.length("body") > 0)
+    sizes = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
     # Equal texts count once, so a large group of copies doesn't fill the sample.
-    some = short.where(about(F.col("body"), F.col("lang"), sizes, each)).groupBy("lang", F.xxhash64("body").alias("h")).agg(F.first("body").alias("body"))
+    part = F.substring(F.col("body"), window_at(F.length("body"), SAMPLE_BYTES, F.col("body")), F.lit(SAMPLE_BYTES)).alias("body")
+    some = some.where(about(F.col("body"), F.col("lang"), sizes, each)).select("lang", F.xxhash64("body").alias("h"), part).groupBy("lang", "h").agg(F.first("body").alias("body"))
     taken: Counter[str] = Counter()
     chosen = []
     for r in some.orderBy("h", "lang").limit(2 * each * len(labels)).collect():

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowered
+from .common import Aside, lowered
 from .licence_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 #: A line that states a copyright: its first word is one of these.
@@ -62,11 +62,10 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, notices: dict[str
         whole = whole.unionByName(spark.createDataFrame([(digest, name) for name, digest in DIGESTS], whole.schema))
     # As many digests as notices were given: few enough for an expression.
     of_line = [F.lit(x) for row in known(spark, NOTICES if notices is None else notices).collect() for x in row]
-    keep = [c for c in docs.columns if c.lower() not in ("digest", "licence", "notices")]
-    words = "_" * (1 + max(map(len, docs.columns)))
-    rows = docs.select("*", _words(F.col("text")).alias(words)).withColumn(words, _spelt(F.col(words)))
+    aside, words = Aside(docs, ("text",), ("digest", "licence", "notices")), "_words"
+    rows = aside.rows.withColumn(words, _words(F.col("text"))).withColumn(words, _spelt(F.col(words)))
     named = F.array().cast("array<string>")
     if of_line:
         named = F.transform(F.split(words, "\n"), lambda line: F.element_at(F.create_map(*of_line), _digest(line)))
-    found = rows.select(*keep, _digest(F.col(words)).alias("digest"), F.array_sort(F.array_distinct(F.array_compact(named))).alias("notices"))
-    return found.join(F.broadcast(whole), "digest", "left").select(*keep, "digest", "licence", "notices")
+    found = rows.select(*aside.carry, _digest(F.col(words)).alias("digest"), F.array_sort(F.array_distinct(F.array_compact(named))).alias("notices"))
+    return aside.restored(found.join(F.broadcast(whole), "digest", "left"), "digest", "licence", "notices")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import bounded_batches, fold, table
 from .language import identify
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     found = identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "runs")
 

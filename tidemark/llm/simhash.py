@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import stored
+from .common import Aside, stored
 
 BITS = 64
 #: Words of a shingle, differing bits of a link, blocks that the bits are cut into (finer for what is left of large shards), most fingerprints of a shard.
@@ -73,9 +73,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, carry: tuple[str, ...]
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
-    carry = tuple(c for c in carry if c.lower() != "fp")
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    return docs.select(*carry, F.col("text").cast("binary").alias("_body")).mapInArrow(run, f"{schema}fp bigint")
+    aside = Aside(docs, ("text",), ("fp",), carry)
+    schema = "".join(f"`{c}` {aside.rows.schema[c].dataType.simpleString()}, " for c in aside.carry)
+    return aside.restored(aside.rows.select(*aside.carry, F.col("text").cast("binary").alias("_body")).mapInArrow(run, f"{schema}fp bigint"), "fp")
 
 
 def hexed(fp: Column) -> Column:

@@ -6,7 +6,7 @@ odds that a text with it is toxic are LIFT times those of all texts, and chance
 this (the binomial bound by the Kullback-Leibler divergence from the part of toxic texts, over all words counted). Toxic texts
 of the sample in which no word is typical are then tested among themselves, against the counts of all clean texts, for what marks them.
 
-The field is fitted to such tokens on a bounded sample (SAMPLE documents of each label, of at most SAMPLE_BYTES bytes, chosen by
+The field is fitted to such tokens on a bounded sample (SAMPLE documents of each label, SAMPLE_BYTES bytes of a longer one, chosen by
 hash); its affixes and n-grams also reach words never seen. The lexicon has at most LEXICON entries, those of most toxic texts (then of least hash).
 The score of a text is a logistic function, fitted on the same sample, of its most toxic word, of the chance that none of its words is
 toxic (marginals under NEGLIGIBLE don't count), and of its length.
@@ -127,6 +127,28 @@ def _marking(counts: DataFrame, bodies: list[bytes], sampled: float, clean: int,
     return [r["hash"] for r in met.where(typical(F.col("own"), like, rate, tested)).select("hash").collect()]
 
 
+def _windows(rows: DataFrame, lexicon: list[int]) -> DataFrame:
+    """rows(toxic, digest, body) with SAMPLE_BYTES bytes of each longer text: about its first word of the lexicon, or at a place given by its digest."""
+    known = np.unique(np.array(lexicon, np.int64).view(np.uint64))
+
+    def cut(digest: str, body: bytes) -> bytes:
+        if len(body) <= SAMPLE_BYTES:
+            return body
+        words = crf.Words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+        met = np.flatnonzero(np.any([np.isin(k, known) for k in words.keys(STARTS)], axis=0)) if len(words) else []
+        last = len(body) - SAMPLE_BYTES
+        at = int(words.start[met[0]]) - SAMPLE_BYTES // 2 if len(met) else int(digest[:8], 16) % (last + 1)
+        at = min(max(at, 0), last)
+        return body[at : at + SAMPLE_BYTES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in crf.shortened(batches, 256):
+            found = [cut(d.as_py(), b.as_py()) for d, b in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["toxic", "digest", "body"])
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> Tagger | None:
     """docs(doc_id, text), labels(doc_id, toxic) -> the tagger, from the folds that aren't held out."""
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("body"))
@@ -142,8 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) ->
     lexicon = [r["hash"] for r in top.select("hash").collect()]
     chosen = known.where(about(F.col("doc_id"), F.col("toxic"), size, SAMPLE))
     # About 1.2 * SAMPLE rows a label.
-    some = docs.where(F.length("body").between(1, SAMPLE_BYTES)).join(F.broadcast(chosen), "doc_id").where(F.md5("body") == F.col("digest"))
-    some = some.groupBy("toxic", "digest").agg(F.first("body").alias("body")).orderBy("digest", "toxic").limit(3 * SAMPLE)
+    some = docs.where(F.length("body") > 0).join(F.broadcast(chosen), "doc_id").where(F.md5("body") == F.col("digest"))
+    some = _windows(some.select("toxic", "digest", "body"), lexicon).groupBy("toxic", "digest").agg(F.first("body").alias("body")).orderBy("digest", "toxic").limit(3 * SAMPLE)
     sample = [(r["toxic"], bytes(r["body"])) for r in some.collect()]
     as_keys = lambda hashes: np.unique(np.array(hashes, np.int64).view(np.uint64))
     found = as_keys(lexicon)
