@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import claims, decisions, more, news, prices, reads, relevance, text
+from . import claims, decisions, imports, more, news, prices, reads, relevance, text
 
-MODULES = [prices, text, decisions, more, news, reads, relevance, claims]
+MODULES = [prices, text, decisions, more, news, reads, relevance, claims, imports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
