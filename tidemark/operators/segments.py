@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +16,27 @@ SEGMENTS, CHARACTERS, SECONDS, SPEAKERS, TURNS = 20, 2000, 60, 12, 3
 def chunks(segments: DataFrame, most: int = CHUNK) -> DataFrame:
     """segments(doc, at, text) -> (doc, at, part, chunk): in order into chunks of at most so many characters, a longer text cut into parts of that many first.
 
-    A chunk begins where the ones before leave off, so the lengths of a document are folded in order; its texts are not gathered. Empty texts are in no chunk.
+    A chunk begins where the ones before leave off, so the lengths of a document go in order through one task, which keeps only how full the chunk is; no document is gathered,
+    and texts stay behind. Empty texts are in no chunk.
     """
-    n = F.length("text")
-    parts = segments.where(n > 0).select("doc", "at", F.posexplode(F.transform(F.sequence(F.lit(0), ((n - 1) / most).cast("int")), lambda k: F.least(F.lit(most), n - k * most))).alias("part", "n"))
-    sizes = parts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "part", "n"))).alias("parts"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<struct<at: bigint, part: int, chunk: int>>").alias("out"))
-
-    def add(acc, x):
-        new = (acc["used"] > 0) & (acc["used"] + x["n"] > most)
-        chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
-        placed = F.struct(x["at"].cast("bigint").alias("at"), x["part"].alias("part"), chunk.alias("chunk"))
-        return F.struct(chunk.alias("chunk"), (F.when(new, 0).otherwise(acc["used"]) + x["n"]).alias("used"), F.concat(acc["out"], F.array(placed)).alias("out"))
-
-    return sizes.select("doc", F.explode(F.aggregate("parts", start, add, lambda acc: acc["out"])).alias("p")).select("doc", "p.at", "p.part", "p.chunk")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, chunk, used = object(), 0, 0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.doc != doc and not (pd.isna(row.doc) and doc is None):
+                    doc, chunk, used = None if pd.isna(row.doc) else row.doc, 0, 0
+                for part, start in enumerate(range(0, row.n, most)):
+                    size = min(most, row.n - start)
+                    if used and used + size > most:
+                        chunk, used = chunk + 1, 0
+                    used += size
+                    out.append((row.doc, row.at, part, chunk))
+            yield pd.DataFrame(out, columns=["doc", "at", "part", "chunk"])
+
+    rows = segments.select("doc", F.col("at").cast("bigint").alias("at"), F.length("text").alias("n")).where("n > 0")
+    return rows.repartition("doc").sortWithinPartitions("doc", "at", "n").mapInPandas(run, f"doc {segments.schema['doc'].dataType.simpleString()}, at bigint, part int, chunk int")
 
 
 def split_oversize(segments: DataFrame, most: int = CHUNK) -> DataFrame:
