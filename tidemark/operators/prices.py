@@ -27,13 +27,14 @@ def common_days(asset: DataFrame, benchmark: DataFrame) -> DataFrame:
     return both.withColumn("n", F.row_number().over(Window.partitionBy("asset").orderBy("day")))
 
 
-def _bars_before(events: DataFrame, days: DataFrame, time: str, name: str) -> DataFrame:
-    """events(asset, event_id, event_ts) with the number of the last day whose `time` lies before the event, 0 if none: an as-of join by union and window."""
-    marks = days.select("asset", F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.col("n").alias("_n"), F.lit(None).cast("long").alias("event_id"))
-    asked = events.select("asset", F.col("event_ts").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("_n"), "event_id")
-    # At equal times the event stands first, so such a day isn't before it.
-    seen = F.max("_n").over(Window.partitionBy("asset").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    return marks.unionByName(asked).withColumn(name, F.coalesce(seen, F.lit(0))).where("_kind = 0").select("asset", "event_id", name)
+def _calendar(days: DataFrame, until, windows: tuple[int, ...]) -> DataFrame:
+    """(asset, on, own_day, low_ts, high_ts, bar, before, n<k>...): for every calendar day the last common day up to it, with the bars around that one."""
+    order = Window.partitionBy("asset").orderBy("day")
+    bar = F.struct("day", "close", "base_close")
+    near = {f"n{k}": F.lead(bar, k).over(order) for k in sorted({x for k in windows for x in (k, k - 1)})}
+    rows = days.withColumns({"bar": bar, "before": F.lag(bar).over(order), "next": F.lead("day").over(order), **near})
+    last = F.coalesce(F.date_sub("next", 1), F.greatest("day", F.lit(until)))
+    return rows.select("asset", F.explode(F.sequence("day", last)).alias("on"), F.col("day").alias("own_day"), "low_ts", "high_ts", "bar", "before", *near)
 
 
 def event_reactions(events: DataFrame, asset: DataFrame, benchmark: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
@@ -41,19 +42,22 @@ def event_reactions(events: DataFrame, asset: DataFrame, benchmark: DataFrame, w
 
     events(event_id, asset, event_ts). Days on which one bar is before and one after the event count for neither side.
     Events without a day before get no row; a window without its end has status 'pending'.
+
+    Bars are of days, so an event meets the one calendar row of its own day, by asset and day; what comes before and after is in that row. Events are moved once and no asset's are in one task.
     """
-    days = common_days(asset, benchmark)
-    before = _bars_before(events, days, "high_ts", "base_n")
-    after = _bars_before(events, days, "low_ts", "first_n")
-    placed = before.join(after, ["asset", "event_id"]).where("base_n > 0")
-    base = days.select("asset", F.col("n").alias("base_n"), F.col("close").alias("c0"), F.col("base_close").alias("b0"), F.col("day").alias("baseline_day"))
-    ends = placed.join(base, ["asset", "base_n"]).withColumn("window", F.explode(F.array(*[F.lit(k) for k in windows]))).withColumn("n", F.col("first_n") + F.col("window"))
-    end = days.select("asset", "n", F.col("day").alias("end_day"), F.col("close").alias("c1"), F.col("base_close").alias("b1"))
-    found = ends.join(end, ["asset", "n"], "left")
-    own, market = F.col("c1") / F.col("c0") - 1, F.col("b1") / F.col("b0") - 1
-    return found.select(
-        "event_id", "asset", "window", "baseline_day", "end_day", own.alias("asset_return"), market.alias("benchmark_return"), (own - market).alias("abnormal_return"),
-        F.when(F.col("end_day").isNull(), "pending").otherwise("complete").alias("status"),
+    asked = events.select("event_id", "asset", "event_ts", F.to_date("event_ts").alias("on"))
+    until = asked.agg(F.max("on")).first()[0]
+    met = asked.join(_calendar(common_days(asset, benchmark), until, windows), ["asset", "on"])
+    # Bars of an earlier day lie before the event; those of its own day are compared.
+    own = F.col("on") > F.col("own_day")
+    base = F.when(own | (F.col("high_ts") < F.col("event_ts")), F.col("bar")).otherwise(F.col("before"))
+    passed = own | (F.col("low_ts") < F.col("event_ts"))
+    ends = F.array(*[F.struct(F.lit(k).alias("window"), F.when(passed, F.col(f"n{k}")).otherwise(F.col(f"n{k - 1}")).alias("end")) for k in windows])
+    rows = met.withColumn("base", base).where("base IS NOT NULL").select("event_id", "asset", "base", F.explode(ends).alias("w"))
+    change = lambda c: F.col(f"w.end.{c}") / F.col(f"base.{c}") - 1
+    return rows.select(
+        "event_id", "asset", F.col("w.window").alias("window"), F.col("base.day").alias("baseline_day"), F.col("w.end.day").alias("end_day"), change("close").alias("asset_return"), change("base_close").alias("benchmark_return"),
+        (change("close") - change("base_close")).alias("abnormal_return"), F.when(F.col("w.end").isNull(), "pending").otherwise("complete").alias("status"),
     )
 
 
