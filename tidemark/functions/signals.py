@@ -32,9 +32,6 @@ SYMBOLS = {
 #: Capitals before `stock` or `shares` that are no tickers. Fixed values.
 STOP_TICKERS = ("A", "AI", "CEO", "CFO", "ETF", "GDP", "IPO", "SEC", "THE", "US", "USD")
 TICKER = r"\$[A-Z]{1,5}\b|\b[A-Z][A-Z0-9.-]{0,5}\s+(?:(?:class\s+[A-Z]\s+|common\s+)?stock|shares?)\b"
-#: Topic to patterns of its title and evidence: a title hit counts three, an evidence hit one.
-TAXONOMY = {"macro": ("rate", "fed", "inflation"), "markets": ("rally", "slump", "stocks"), "technology": ("chip", "software", "ai"), "policy": ("tariff", "sanction", "war")}
-SEVERE = ("crisis", "default", "emergency", "war")
 
 
 def asset_key(value: Column) -> Column:
@@ -68,25 +65,10 @@ def tickers(text: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.transform(kept, lambda w: F.replace(w, F.lit("$"), F.lit("")))), 1, most)
 
 
-def category(title: Column, evidence: Column) -> Column:
-    """The topic of the highest score, the first of equals; other if all are zero."""
-    one = lambda text, w: F.when(has_word(text, w), 1).otherwise(0)
-    scores = [(sum((3 * one(title, w) + one(evidence, w) for w in words), F.lit(0)), name) for name, words in TAXONOMY.items()]
-    best = F.greatest(*[s for s, _ in scores])
-    out = F.lit("other")
-    for s, name in reversed(scores):
-        out = F.when(s == best, name).otherwise(out)
-    return F.when(best > 0, out).otherwise("other")
-
-
 def source_tier(official: Column, own_post: Column, has_link: Column) -> Column:
     return F.when(official, "official").when(own_post, "first_party").when(has_link, "reporting").otherwise("discovery")
 
 
-def severity(text: Column) -> Column:
-    return F.when(has_word(text, "(" + "|".join(SEVERE) + ")"), "severe").when(has_word(text, "(tariff|sanction|rate)"), "high").otherwise("normal")
-
-
 def substring_hits(text: Column, words: tuple[str, ...]) -> Column:
     """How many of the words occur anywhere, inside other words too."""
     return sum((F.when(F.contains(F.lower(text), F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
@@ -110,12 +92,6 @@ def signal_level(score: Column) -> Column:
     return out
 
 
-def opportunities(vix: Column, gold: Column, curve: Column, cny: Column) -> Column:
-    """Names of the openings that the readings give."""
-    found = [("volatility_premium", vix >= 30), ("gold_momentum", gold >= 1.5), ("curve_steepening", curve >= 0.5), ("yuan_strength", cny < 6.9)]
-    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found]))
-
-
 def input_hash(columns: list[Column]) -> Column:
     """Digest of the fields an opinion was formed on; nulls and empty strings differ."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

@@ -102,25 +102,12 @@ def asset_keys(spark, d):
     return table(spark, d, "part", "p_partkey").select("p_partkey", signals.asset_key(v).alias("asset"))
 
 
-def categories(spark, d):
-    e = _texts(spark, d)
-    tier = signals.source_tier(F.col("event_id") % 9 == 0, F.col("event_id") % 4 == 0, F.col("event_id") % 2 == 0)
-    return e.select("event_id", signals.category(F.col("head"), F.col("text")).alias("category"), signals.severity(F.col("text")).alias("severity"), tier.alias("tier"), signals.substring_hits(F.col("text"), ("war", "rate", "rally", "loss")).alias("hits"))
-
-
 def signal_scores(spark, d):
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     score = signals.signal_score(F.col("l_quantity") * 2, F.col("l_discount") * 1000, F.col("l_tax") * 1250, F.col("l_linenumber") * 14, F.col("l_orderkey") % 101)
     return li.select("l_orderkey", "l_linenumber", score.alias("score")).withColumn("level", signals.signal_level(F.col("score")))
 
 
-def opportunities(spark, d):
-    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
-    found = signals.opportunities(F.col("l_quantity"), F.col("l_linenumber") * 0.5, F.col("l_discount") * 10, 7 - F.col("l_tax") * 2)
-    rows = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), found.alias("opportunities"), F.when(F.col("l_tax") > 0.05, F.array(F.lit("tax"))).otherwise(F.array().cast("array<string>")).alias("risks"))
-    return news.scenario_edges(rows)
-
-
 def input_hashes(spark, d):
     p = table(spark, d, "part", "p_partkey", "p_brand", "p_size")
     brand = F.when(F.col("p_partkey") % 6 > 0, F.col("p_brand"))
@@ -163,8 +150,7 @@ def labelled_confirmation(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        news_snapshot, news_catalogue, data_coverage, reason_histogram, score_anchors, window_states, best_reactions, merged_feeds, private_overlay, event_edges, text_tickers, asset_keys, categories,
-        signal_scores, opportunities, input_hashes, merged_references, reference_checks, carried_stress, price_scan, labelled_confirmation,
+        news_snapshot, news_catalogue, data_coverage, reason_histogram, score_anchors, window_states, best_reactions, merged_feeds, private_overlay, event_edges, text_tickers, asset_keys, signal_scores, input_hashes, merged_references, reference_checks, carried_stress, price_scan, labelled_confirmation,
     )
 }
 _T = f"x AS (SELECT *, {_list(_A)}[event_id % {len(_A)} + 1] || ' ' || ['gold and bitcoin', '$AAPL', 'code 600519 now', 'nothing', 'NVDA and THE CEO'][event_id % 5 + 1] || ' ' || {_list(_B)}[event_id % {len(_B)} + 1] AS text FROM events)"
@@ -178,10 +164,6 @@ def _named(column: str) -> str:
     return "[" + ", ".join(f"CASE WHEN {_any(names, column)} THEN '{key}' END" for key, names in signals.ALIASES) + "]"
 
 
-def _scores(title: str, evidence: str) -> list[str]:
-    return ["(" + " + ".join(f"3 * CAST({_has(title, [w])} AS INTEGER) + CAST({_has(evidence, [w])} AS INTEGER)" for w in words) + ")" for words in signals.TAXONOMY.values()]
-
-
 _TOPIC = "CASE " + " ".join(f"WHEN {_any(w, 'text')} THEN '{name}'" for name, w in rules.TOPICS) + " ELSE 'general' END"
 
 
@@ -190,7 +172,6 @@ _EDGES = f"""a AS (SELECT *, {_TOPIC} AS topic, {_hits(rules.POSITIVE, "text")}
 s AS (SELECT *, CASE WHEN good > bad THEN 'bullish' WHEN bad > good THEN 'bearish' ELSE 'unknown' END AS stance FROM a),
 e AS (SELECT *, unnest(CASE WHEN len(assets) = 0 THEN [NULL] ELSE assets END) AS asset FROM s),
 c AS (SELECT *, least(0.30::DOUBLE + CASE WHEN asset IS NOT NULL THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN stance <> 'unknown' THEN 0.20::DOUBLE ELSE 0 END + CASE WHEN topic <> 'general' THEN 0.10::DOUBLE ELSE 0 END + 0.05::DOUBLE, 0.95) AS c FROM e)"""
-_CAT = _scores(f"{_list(_A)}[event_id % {len(_A)} + 1]", "text")
 SQL = {
     "news_snapshot": """WITH i AS (SELECT event_id % 2000 AS item_id, max(ts) FILTER (event_id % 3 > 0) AS p, min(ts) AS f FROM events GROUP BY 1), b AS (SELECT event_id % 2000 AS item_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources, count(DISTINCT event_type) AS n_sources FROM events GROUP BY 1)
 SELECT item_id, sources, n_sources, strftime(coalesce(p, f), '%Y-%m-%d %H:%M:%S') AS shown_at FROM i JOIN b USING (item_id) WHERE coalesce(p, f) BETWEEN TIMESTAMP '2024-01-24 12:00:00' AND TIMESTAMP '2024-01-31 12:00:00'""",
@@ -213,13 +194,8 @@ SELECT n_nationkey AS card_id, n_nationkey AS asset, coalesce(positions, 0) AS p
 f AS (SELECT doc_id, list_transform(list_filter(list_transform(regexp_extract_all(t, '({signals.TICKER})', 1), lambda m: regexp_extract(m, '^(\$?[A-Z][A-Z0-9.-]{{0,5}})', 1)), lambda w: NOT list_contains({_list(signals.STOP_TICKERS)}, w)), lambda w: replace(w, '$', '')) AS f FROM x)
 SELECT doc_id, array_to_string(list_filter(f, lambda w, i: list_position(f, w) = i)[1:8], ',') AS tickers FROM f""",
     "asset_keys": "SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN 'US:' || p_partkey WHEN 1 THEN 'CN:' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') " + " ".join(f"WHEN {i} THEN '{key}'" for i, (_, key) in enumerate(_KEYS, 2) if key) + " END AS asset FROM part",
-    "categories": f"""WITH {_T}, k AS (SELECT *, [{", ".join(_CAT)}] AS s FROM x) SELECT event_id, CASE WHEN list_max(s) > 0 THEN {_list(signals.TAXONOMY)}[list_position(s, list_max(s))] ELSE 'other' END AS category,
-  CASE WHEN {_has("text", signals.SEVERE)} THEN 'severe' WHEN {_has("text", ("tariff", "sanction", "rate"))} THEN 'high' ELSE 'normal' END AS severity, CASE WHEN event_id % 9 = 0 THEN 'official' WHEN event_id % 4 = 0 THEN 'first_party' WHEN event_id % 2 = 0 THEN 'reporting' ELSE 'discovery' END AS tier,
-  CAST({" + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in ("war", "rate", "rally", "loss"))} AS INTEGER) AS hits FROM k""",
     "signal_scores": """SELECT *, CASE WHEN score >= 85 THEN 'CRITICAL' WHEN score >= 70 THEN 'HIGH' WHEN score >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT l_orderkey, l_linenumber,
   floor((round(10000.0::DOUBLE * (l_quantity * 2 * 0.35::DOUBLE + l_discount * 1000 * 0.25::DOUBLE + l_tax * 1250 * 0.20::DOUBLE + (l_linenumber * 14)::DOUBLE * 0.10::DOUBLE + (l_orderkey % 101)::DOUBLE * 0.10::DOUBLE)) + 500) / 1000) / 10 AS score FROM lineitem)""",
-    "opportunities": """WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, list_filter([CASE WHEN l_quantity >= 30 THEN 'volatility_premium' END, CASE WHEN l_linenumber * 0.5 >= 1.5 THEN 'gold_momentum' END, CASE WHEN l_discount * 10 >= 0.5::DOUBLE THEN 'curve_steepening' END, CASE WHEN 7 - l_tax * 2 < 6.9::DOUBLE THEN 'yuan_strength' END], lambda v: v IS NOT NULL) AS o, l_tax FROM lineitem)
-SELECT id || ':opportunities:' || (p - 1) AS source_id, 'opportunities' AS kind, o[p] AS name FROM (SELECT id, o, unnest(range(1, len(o) + 1)) AS p FROM r) UNION ALL SELECT id || ':risks:0', 'risks', 'tax' FROM r WHERE l_tax > 0.05::DOUBLE""",
     "input_hashes": "SELECT p_partkey, sha256('{\"brand\":' || CASE WHEN p_partkey % 6 > 0 THEN '\"' || p_brand || '\"' ELSE 'null' END || ',\"size\":' || p_size || '}') AS hash FROM part",
     "merged_references": "WITH f AS (SELECT conv_id AS doc, role || (turn % 3) AS ref, min(turn) AS t FROM conversations GROUP BY 1, 2) SELECT doc, ref, CAST(row_number() OVER (PARTITION BY doc ORDER BY t) AS INTEGER) AS n FROM f",
     "reference_checks": "SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter([o_orderkey % 5, o_orderkey % 7, o_orderkey % 3], lambda v: v > 2))), ',') AS unknown FROM orders",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import claims, decisions, imports, markets, more, news, prices, reads, relevance, text
+from . import claims, decisions, imports, markets, more, news, prices, reads, relevance, text, topics
 
-MODULES = [prices, text, decisions, more, news, reads, relevance, claims, imports, markets]
+MODULES = [prices, text, decisions, more, news, reads, relevance, claims, imports, markets, topics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
