@@ -22,6 +22,7 @@ def test_canonical_url(spark):
     check(spark, [
         ("https://A.com/x/?utm_source=1&Ref=2&b=3&c=4#f", "https://a.com/x?b=3"), ("http://a.com", "http://a.com/"), ("http://a.com/?q=&z=1", "http://a.com/?z=1"),
         ("https://www.bing.com/news/apiclick.aspx?ref=FexRss&aid=&tid=1&url=https%3A%2F%2Fb.org%2Fp%2F%3Fid%3D7&c=9", "https://b.org/p?id=7"),
+        ("https://r.com/?url=https://one.com/a&b=1&url=https://two.com/b", "https://one.com/a"), ("https://r.com/?url=&url=https://two.com/b", "https://two.com/b"),
         ("https://r.com/?u=https://q.com/?url=http%3A%2F%2Fc.net%2Fd", "http://c.net/d"), ("http://a.com/p?k=a+b%2Fc", "http://a.com/p?k=a+b%2Fc"), (None, ""), ("", ""),
     ], urls.canonical_url)
 

@@ -35,7 +35,7 @@ def _encoded(text: Column) -> Column:
 
 def unwrapped(url: Column) -> Column:
     """The address that a redirect's `url` (or else `u`) parameter holds, if it is one of http or https; else the url."""
-    of = lambda key: F.regexp_extract(url, rf"^[^?#]*\?(?:[^#]*&)?{key}=([^&#]+)", 1)
+    of = lambda key: F.regexp_extract(url, rf"^[^?#]*\?(?:[^#]*?&)??{key}=([^&#]+)", 1)
     held = once(F.struct(of("url").alias("url"), of("u").alias("u")), lambda h: _decoded(F.when(h["url"] != "", h["url"]).otherwise(h["u"])))
     return once(held, lambda inner: F.when(inner.rlike("^https?://"), inner).otherwise(url))
 
