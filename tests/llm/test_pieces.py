@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 spm = pytest.importorskip("sentencepiece")
@@ -77,6 +78,10 @@ def test_decoding(library, model):
     for _ in range(3000):
         ids = [rng.randrange(400) if rng.random() < 0.6 else rng.randrange(32000) for _ in range(rng.randint(0, 12))]
         assert model.decode(ids) == library.decode(ids)
+    rows = [library.encode(t, add_eos=rng.random() < 0.5) for t in texts()] + [[], [2], [0, 5], [3 + 0x41], [3 + 0xE9, 3 + 0x9F]]
+    cuts = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    assert model.decode_all(np.array([i for r in rows for i in r], np.int32), cuts) == [library.decode(r) for r in rows]
+    assert model.decode_all(np.zeros(0, np.int32), np.array([0, 0])) == [""]
 
 
 @pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc", "nfkc_cf", "identity"])

@@ -22,6 +22,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +144,12 @@ class Model:
         self._texts = [p.replace(BLANK, " ").encode() if k in (NORMAL, OWN) else b"" for p, k in zip(self.pieces, kinds, strict=True)]
         self._texts[self.unknown] = self.unknown_text
         self._bytes = {i: b for b, i in self.bytes.items()}
+        # The same for many ids at once: each id's bytes in one run of them, and whether they stand for themselves wherever they are.
+        own = [bytes([self._bytes[i]]) if self._bytes.get(i, 255) < 128 else t for i, t in enumerate(self._texts)]
+        self._run, self._size = np.frombuffer(b"".join(own), np.uint8), np.array([len(t) for t in own])
+        self._at = np.cumsum(self._size) - self._size
+        self._alone = np.array([k in (NORMAL, OWN, CONTROL) or self._bytes.get(i, 255) < 128 for i, k in enumerate(kinds)])
+        self._blank_first = np.array([k in (NORMAL, OWN) and t.startswith(b" ") for k, t in zip(kinds, self._texts, strict=True)])
 
     def _pairs(self) -> None:
         """Tables of the merges: the symbols of two halves in one number, their score's place and the piece they make.
@@ -381,6 +388,20 @@ class Model:
         whole = [np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in out]
         return *whole, pieces + (np.arange(len(pieces)) if end else 0)
 
+    def decode_all(self, ids: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """decode of many rows, row k from cuts[k] to cuts[k + 1]; together those whose pieces stand for themselves, after a first one that begins with the normal form's blank."""
+        n = np.diff(cuts)
+        count = np.concatenate(([0], np.cumsum(~self._alone[ids])))
+        first = ids[np.minimum(cuts[:-1], max(len(ids) - 1, 0))] if len(ids) else np.zeros(len(n), np.int64)
+        easy = (n > 0) & (count[cuts[1:]] == count[cuts[:-1]]) & self._blank_first[first] if len(ids) and self.dummy and not self.trim else np.zeros(len(n), bool)
+        sizes, at = self._size[ids], self._at[ids]
+        begin = cuts[:-1][easy]
+        sizes[begin], at[begin] = sizes[begin] - 1, at[begin] + 1
+        ends = np.cumsum(sizes)
+        whole = self._run[np.repeat(at - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = np.concatenate(([0], ends))[cuts].tolist()
+        return [whole[bounds[k] : bounds[k + 1]].decode() if ok else self.decode(ids[cuts[k] : cuts[k + 1]].tolist()) for k, ok in enumerate(easy.tolist())]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: blanks for the vocabulary's, without the first one that normalising adds; what is no UTF-8 among bytes is U+FFFD."""
         out, run, start = [], bytearray(), True
@@ -504,9 +525,14 @@ def decode(rows: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(data.value)
-        for batch in crf.shortened(batches, 256):
-            texts = [model.decode(x.as_py() or []) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "decoded"])
+        for batch in crf.shortened(batches):
+            lists = batch.column(batch.num_columns - 1)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            cuts, flat = np.concatenate(([0], np.cumsum(sizes))), lists.flatten().to_numpy()
+            for a, b in crf.pieces(cuts, cuts, AT_ONCE // 4):
+                part = batch.slice(a, b - a)
+                texts = model.decode_all(flat[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "decoded"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in listed.schema.fields[:-1])
     return aside.restored(listed.mapInArrow(run, schema + "decoded string"), "decoded")
