@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import policy, topics
 from tidemark.functions import topic_values as V
+from tidemark.sources import payloads
 
 CASES = [
     ("Why Rust language changes API design", "A practical guide and methodology for library authors.", "software_dev", ["rust", "methodology"]),
@@ -72,3 +73,10 @@ def test_openings(spark):
     df = spark.createDataFrame([(k, *v) for k, (v, _) in enumerate(cases)], "k int, v double, c double, g double, h double, r double")
     got = [r[0] for r in df.orderBy("k").select(F.transform(policy.opportunities(*map(F.col, "vcghr")), lambda o: F.concat_ws(" ", o["kind"], o["confidence"]))).collect()]
     assert got == [want for _, want in cases]
+
+
+def test_yield_curves(spark):
+    feed = "<feed><entry><d:NEW_DATE m:type='d'>2026-07-01T00:00:00</d:NEW_DATE><d:BC_2YEAR m:x='1'>3.9104</d:BC_2YEAR><d:BC_10YEAR>4.2</d:BC_10YEAR></entry>\n<entry><d:NEW_DATE>2026-07-02T00:00:00</d:NEW_DATE><d:BC_2YEAR>3.8556</d:BC_2YEAR><d:BC_10YEAR></d:BC_10YEAR></entry></feed>"
+    rows = [("a", feed), ("b", feed.replace("BC_2", "BC_30") + feed), ("c", "<html>"), ("d", None)]
+    got = {r["source"]: (r["as_of"], *(r["yields"][t] for t in ("2Y", "10Y", "30Y")), r["status"]) for r in payloads.treasury_yields(spark.createDataFrame(rows, "source string, body string")).collect()}
+    assert got == {"a": ("2026-07-02", 3.856, 4.2, None, "partial"), "b": ("2026-07-02", 3.856, 4.2, 3.856, "ready"), "c": (None, None, None, None, "unavailable"), "d": (None, None, None, None, "unavailable")}

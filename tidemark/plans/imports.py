@@ -1,4 +1,4 @@
-"""Queries on redacted payloads and on snapshots that are judged before they come in."""
+"""Queries on redacted payloads, on snapshots that are judged before they come in, and on yield curves."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_walk
 from ..operators import imports
+from ..sources import payloads
 from ..sources.tables import table
 
 _BEFORE = ("my portfolio and Account: ", "accounting for shareholders, ", "the cost of 5 shares, shares ", "")
@@ -44,7 +45,19 @@ def import_verdicts(spark, d):
     return rows.select("file", "reason").join(items, "file", "left").select("file", "reason", F.coalesce("items", F.lit(0)).alias("items"))
 
 
-QUERIES = {f.__name__: f for f in (redacted_payloads, import_verdicts)}
+def treasury_yields(spark, d):
+    """A feed a month of orders: each day's largest order as its curve; some days lack a tenor, some months have none."""
+    o = table(spark, d, "orders", "o_orderdate", "o_totalprice")
+    days = o.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("v"))
+    k, month = F.dayofmonth("day"), F.date_format("day", "yyyy-MM")
+    tag = lambda name, scale, cond: F.when(cond & (F.month("day") != 7), F.concat(F.lit(f"<d:{name} m:type='x'>"), F.format_number(F.col("v") / scale, 4).alias("n"), F.lit(f"</d:{name}>"))).otherwise(F.lit(""))
+    entry = F.concat(F.lit("<entry><d:NEW_DATE>"), F.date_format("day", "yyyy-MM-dd"), F.lit("T00:00:00</d:NEW_DATE>"), tag("BC_2YEAR", 100_000, k % 2 == 0), tag("BC_10YEAR", 90_000, k % 5 > 0), tag("BC_30YEAR", 80_000, F.month("day") % 2 == 0), F.lit("</entry>"))
+    bodies = days.groupBy(month.alias("source")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day", entry.alias("e")))), lambda x: x["e"]), "\n").alias("body"))
+    y = lambda t: F.element_at("yields", t)
+    return payloads.treasury_yields(bodies).select("source", "as_of", y("2Y").alias("y2"), y("10Y").alias("y10"), y("30Y").alias("y30"), "status")
+
+
+QUERIES = {f.__name__: f for f in (redacted_payloads, import_verdicts, treasury_yields)}
 _WORDS = "|".join(json_walk.IN_TEXT)
 
 
@@ -68,4 +81,11 @@ SELECT conv_id, turn, CASE WHEN turn % 4 <> 2 THEN {_NAMED.format("source_id")}
 SELECT CAST(page_id AS VARCHAR) AS file, [NULL, 'sections.ai[0].title has no searchable content', 'sections.ai[0].source_url must be a public http url', 'sections.ai[0].source_tier must be one of official, first_party, media, discovery',
   'sections.ai[0] requires published_at or fetched_at', 'sections.ai[0] contains unsupported fields: odd', 'snapshot_date must match generated_at in Asia/Shanghai', 'duplicate JSON key: sections', 'payload must be an object'][page_id % 9 + 1] AS reason,
   CAST(page_id % 9 = 0 AS BIGINT) AS items FROM pages""",
+    "treasury_yields": """
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS v FROM orders GROUP BY 1),
+m AS (
+  SELECT strftime(day, '%Y-%m') AS source, CAST(max(day) AS VARCHAR) AS as_of, arg_max(v, day) FILTER (day(day) % 2 = 0 AND month(day) <> 7) AS a, arg_max(v, day) FILTER (day(day) % 5 > 0 AND month(day) <> 7) AS b,
+         arg_max(v, day) FILTER (month(day) % 2 = 0) AS c FROM d GROUP BY 1)
+SELECT source, as_of, round(round(a / 100000::DOUBLE, 4), 3) AS y2, round(round(b / 90000::DOUBLE, 4), 3) AS y10, round(round(c / 80000::DOUBLE, 4), 3) AS y30,
+       CASE WHEN a IS NULL AND b IS NULL AND c IS NULL THEN 'unavailable' WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'partial' ELSE 'ready' END AS status FROM m""",
 }

@@ -120,3 +120,22 @@ def holdings(lines: DataFrame) -> DataFrame:
     quantity = F.regexp_replace(F.get(cells, 1), ",", "").try_cast("decimal(18,4)")
     rows = lines.where(F.trim("line").startswith("|"))
     return rows.select("doc", "at", F.upper(F.get(cells, 0)).alias("asset"), quantity.alias("quantity")).where("quantity IS NOT NULL AND asset <> ''")
+
+
+#: Tenors of the yield curve and the elements that hold them. Fixed values.
+TENORS = {"2Y": "BC_2YEAR", "10Y": "BC_10YEAR", "30Y": "BC_30YEAR"}
+
+
+def treasury_yields(payloads: DataFrame) -> DataFrame:
+    """payloads(source, body: the Atom feed of daily curves) -> (source, as_of, yields: tenor to value or null, status).
+
+    Of each tenor, and of the day, the last value in the document counts, so a day without one leaves the earlier one standing. A document without any value, or null, is
+    `unavailable`, one with some of them `partial`, else `ready`; none is dropped.
+    """
+    last = lambda pattern: F.element_at(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(pattern), 1), -1)
+    held = lambda pattern: F.regexp_like(F.coalesce("body", F.lit("")), F.lit(pattern))
+    value = lambda tag: F.when(held(rf"<d:{tag}[^>]*>[0-9.]+</d:{tag}>"), F.round(last(rf"<d:{tag}[^>]*>([0-9.]+)</d:{tag}>").try_cast("double"), 3))
+    day = F.when(held("<d:NEW_DATE[^>]*>[0-9-]+T"), last("<d:NEW_DATE[^>]*>([0-9-]+)T"))
+    rows = payloads.select("source", day.alias("as_of"), F.create_map(*[x for name, tag in TENORS.items() for x in (F.lit(name), value(tag))]).alias("yields"))
+    known = F.size(F.array_compact(F.map_values("yields")))
+    return rows.withColumn("status", F.when(known == 0, "unavailable").when(known < len(TENORS), "partial").otherwise("ready"))
