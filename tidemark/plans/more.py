@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import times
+from ..functions.rounding import nearest
 from ..operators import alerts, briefing, options, performance, prices, segments
 from ..sources import payloads
 from ..sources.tables import table
@@ -34,17 +35,17 @@ def indicator_events(spark, d):
 
 def _contracts(spark, d):
     li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity")
-    k, bid = F.col("l_orderkey"), F.round(F.col("l_extendedprice") / 10_000, 2)
+    k, bid = F.col("l_orderkey"), nearest(F.col("l_extendedprice") / 10_000, 2)
     return li.select(
-        k.alias("contract"), "l_linenumber", (k % 75).alias("dte"), (-F.col("l_discount") * 4).alias("delta"), bid.alias("bid"), F.round(bid * (1 + F.col("l_tax")), 2).alias("ask"), (F.col("l_partkey") % 2000).alias("open_interest"),
+        k.alias("contract"), "l_linenumber", (k % 75).alias("dte"), (-F.col("l_discount") * 4).alias("delta"), bid.alias("bid"), nearest(bid * (1 + F.col("l_tax")), 2).alias("ask"), (F.col("l_partkey") % 2000).alias("open_interest"),
         (F.col("l_suppkey") % 200).alias("volume"), F.when(k % 3 == 0, "realtime").when(k % 3 == 1, "delayed").otherwise("end_of_day").alias("mode"), (F.col("l_linenumber") * 4).alias("quote_age"),
-        (k % 65).alias("account_age"), (k % 120).alias("earnings_in"), F.round(F.col("l_quantity") * 10, 2).alias("strike"), F.round(F.col("l_quantity") * 10.5, 2).alias("price"),
+        (k % 65).alias("account_age"), (k % 120).alias("earnings_in"), nearest(F.col("l_quantity") * 10, 2).alias("strike"), nearest(F.col("l_quantity") * 10.5, 2).alias("price"),
     )
 
 
 def contract_gate(spark, d):
     found = options.evaluate(_contracts(spark, d))
-    number = lambda c, n: F.round(F.col(c).cast("double"), n).alias(c)
+    number = lambda c, n: nearest(F.col(c).cast("double"), n).alias(c)
     return found.select("contract", "l_linenumber", F.array_join("rejections", ",").alias("rejections"), number("reserve", 2), number("premium", 2), number("breakeven", 4), "cushion", "annualised")
 
 
