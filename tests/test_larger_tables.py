@@ -1,9 +1,11 @@
 """What differed from SQL, or grew faster than its input, on larger tables."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import nearest
+from tidemark.operators import decisions
 from tidemark.plans import more
 
 #: Prices whose bids are moved the other way by the decimal text.
@@ -28,3 +30,10 @@ def test_contract_gate_at_prices_between_two_cents(spark, tmp_path):
     session = duckdb.connect()
     session.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == sorted(session.sql(more.SQL["contract_gate"]).fetchall())
+
+
+@pytest.mark.parametrize("values", [[0.1, 0.1001], [0.35, 0.3501], [0.5649, 0.565], [0.62, 0.6201], [0.8599, 0.86]])
+def test_means_between_two_places(spark, values):
+    got = spark.createDataFrame([(v,) for v in values], "v double").agg(decisions.mean4(F.col("v"))).first()[0]
+    whole = sum(round(v * 10_000) for v in values)
+    assert got == duckdb.sql(f"SELECT round({whole} / ({len(values)} * 10000.0::DOUBLE), 4)").fetchall()[0][0]

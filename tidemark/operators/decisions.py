@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.rounding import nearest
 
 #: Oldest age in hours of an event edge, by horizon; samples that make a window complete; the window a horizon asks for.
 MAX_AGE = {"intraday": 72, "short": 72, "medium": 168, "unknown": 168, "long": 336, "mixed": 336}
@@ -25,7 +26,7 @@ def _by(column: Column, table: dict, default=None) -> Column:
 
 def mean4(value: Column) -> Column:
     """Mean of ten-thousandths, to four places: whole numbers are summed, so the order of the rows doesn't matter at a tie."""
-    return F.round(F.sum(F.round(value * 10_000).cast("long")) / (F.count(value) * F.lit(10_000.0)), 4)
+    return nearest(F.sum(F.round(value * 10_000).cast("long")) / (F.count(value) * F.lit(10_000.0)), 4)
 
 
 def eligible(edges: DataFrame, now: Column) -> DataFrame:
@@ -103,7 +104,7 @@ def decision_cards(edges: DataFrame, reactions: DataFrame, now: Column, coverage
     checked = cards.join(market_validation(kept, reactions), keys).withColumn("classification", classification(F.col("pos"), F.col("neg")))
     w = rules.WEIGHTS
     total = sum((F.col(f"c_{k}") * w[k] for k in ("strength", "confidence", "freshness", "corroboration")), F.lit(0.0)) + F.col("market_score") * w["market"] + F.lit(round(coverage, 4)) * w["coverage"]
-    scored = checked.withColumn("score", F.round(total, 4))
+    scored = checked.withColumn("score", nearest(total, 4))
     ready = ~F.col("abstain") & ~F.col("veto") & F.col("required_done")
     stage = F.when((F.col("classification") != "conflict") & ready & (F.col("score") >= 0.70), F.when(F.col("classification") == "opportunity", "scale_in").otherwise("reduce_or_hedge")).when(F.col("score") >= 0.45, "verify").otherwise("observe")
     return scored.withColumn("stage", stage).drop("pos", "neg")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, times
+from ..functions.rounding import nearest
 from ..operators import decisions, queues, store
 from ..sources.tables import table
 from .common import shown
@@ -70,7 +71,7 @@ def diversified_top_k(spark, d):
 
 
 def eligible_edges(spark, d):
-    return decisions.eligible(_edges(spark, d), _now()).select("edge_id", F.round("age_days", 4).alias("age_days"), rules.freshness(F.col("age_days")).alias("freshness"))
+    return decisions.eligible(_edges(spark, d), _now()).select("edge_id", nearest(F.col("age_days"), 4).alias("age_days"), rules.freshness(F.col("age_days")).alias("freshness"))
 
 
 def group_horizon(spark, d):
