@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import nearest
-from tidemark.operators import decisions
+from tidemark.operators import decisions, queues
 from tidemark.plans import more
 
 #: Prices whose bids are moved the other way by the decimal text.
@@ -37,3 +37,21 @@ def test_means_between_two_places(spark, values):
     got = spark.createDataFrame([(v,) for v in values], "v double").agg(decisions.mean4(F.col("v"))).first()[0]
     whole = sum(round(v * 10_000) for v in values)
     assert got == duckdb.sql(f"SELECT round({whole} / ({len(values)} * 10000.0::DOUBLE), 4)").fetchall()[0][0]
+
+
+def test_rolling_counts_and_gaps_meet_no_window_of_rows(spark):
+    times = [0, 0, 5, 3599, 3600, 3600, 7199, 7200, 9000, 90_000, 90_001, 176_400, 400_000, None, None]
+    rows = [(k, key, None if t is None else t) for k, (key, t) in enumerate((key, t) for key in ("a", "b", None) for t in times if key != "b" or t != 3600)]
+    asked = spark.createDataFrame(rows, "id int, key string, s bigint").select("id", "key", "s", F.timestamp_seconds("s").alias("ts"))
+    spans = {"near": 3600, "odd": 5000, "far": 86_400}
+    counted = queues.gaps(queues.rolling_counts(asked, "key", "ts", spans), "key", "ts", "id")
+    got = {r["id"]: (*[r[name] for name in spans], r["gap"]) for r in counted.collect()}
+    want = {}
+    for i, key, s in rows:
+        own = [(t, j) for j, k, t in rows if k == key and t is not None]
+        before = [t for t, j in own if s is not None and (t, j) < (s, i)]
+        none = sum(k == key and t is None for _, k, t in rows)
+        want[i] = (*[none if s is None else sum(s - span <= t <= s for t, _ in own) for span in spans.values()], s - max(before) if before else None)
+    assert got == want
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -" not in plan

@@ -6,12 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds of the spans of time that rows are dealt by; a span's rows of one key are ordered in one task.
+CHUNK = 3600
+
+
+def _second(ts: str) -> Column:
+    return F.unix_seconds(F.col(ts).cast("timestamp"))
+
+
+def _chunk(second: Column) -> Column:
+    return F.floor(second / CHUNK)
+
+
 def rolling_counts(requests: DataFrame, key: str, ts: str, seconds: dict[str, int]) -> DataFrame:
-    """Adds, for each name, how many requests of the key came in the seconds up to and with this one."""
-    at = requests.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp")))
-    for name, span in seconds.items():
-        at = at.withColumn(name, F.count("*").over(Window.partitionBy(key).orderBy("_s").rangeBetween(-span, 0)))
-    return at.drop("_s")
+    """Adds, for each name, how many requests of the key came in the seconds up to and with this one.
+
+    A count is the difference of two running counts, of this second and of the last one before the span. Running counts are kept by second within
+    a key's chunk and added to the sum of the chunks before, so no row meets the others of its span and no key is ordered as a whole. Requests without a time count one another.
+    """
+    at = requests.withColumn("_s", _second(ts))
+    counts = at.groupBy(F.col(key).alias("_key"), "_s").agg(F.count("*").alias("_n"))
+    asks = [F.struct(F.lit(None).cast("string").alias("name"), F.col("_s").alias("t"), F.col("_n").alias("n"))]
+    asks += [F.struct(F.lit(name).alias("name"), (F.col("_s") - span - 1).alias("t"), F.lit(0).cast("bigint").alias("n")) for name, span in seconds.items()]
+    points = counts.select("_key", "_s", F.explode(F.array(*asks)).alias("a")).where("a.name IS NULL OR _s IS NOT NULL").select("_key", "_s", "a.*").withColumn("chunk", _chunk(F.col("t")))
+    sums = points.groupBy("_key", "chunk").agg(F.sum("n").alias("n"))
+    before = sums.select("_key", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = points.withColumn("within", F.sum("n").over(Window.partitionBy("_key", "chunk").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)))
+    b = before.select(F.col("_key").alias("_k"), F.col("chunk").alias("_c"), "before")
+    ran = within.join(b, F.col("_key").eqNullSafe(F.col("_k")) & F.col("chunk").eqNullSafe(F.col("_c"))).withColumn("upto", F.col("within") + F.col("before"))
+    own = F.max(F.when(F.col("name").isNull(), F.col("upto")))
+    found = ran.groupBy("_key", "_s").agg(*[(own - F.coalesce(F.max(F.when(F.col("name") == name, F.col("upto"))), F.lit(0))).alias(name) for name in seconds])
+    found = found.withColumnsRenamed({"_key": "_k", "_s": "_t"})
+    return at.join(found, F.col(key).eqNullSafe(F.col("_k")) & F.col("_s").eqNullSafe(F.col("_t"))).select(*requests.columns, *seconds)
+
+
+def gaps(requests: DataFrame, key: str, ts: str, order: str, name: str = "gap") -> DataFrame:
+    """Adds the seconds since the request of the key before this one, by time and then order; null for the first.
+
+    Within a chunk that is the row before; the first row of a chunk asks for the last second of the key's chunk before.
+    """
+    at = requests.withColumn("_s", _second(ts)).withColumn("_chunk", _chunk(F.col("_s")))
+    last = at.groupBy(F.col(key).alias("_k"), F.col("_chunk").alias("_c")).agg(F.max("_s").alias("_end"))
+    last = last.select("_k", "_c", F.lag("_end").over(Window.partitionBy("_k").orderBy("_c")).alias("_end"))
+    near = at.withColumn("_n", F.row_number().over(w := Window.partitionBy(key, "_chunk").orderBy(ts, order))).withColumn("_before", F.lag("_s").over(w))
+    met = near.join(last, F.col(key).eqNullSafe(F.col("_k")) & F.col("_chunk").eqNullSafe(F.col("_c")))
+    return met.select(*requests.columns, (F.col("_s") - F.when(F.col("_n") == 1, F.col("_end")).otherwise(F.col("_before"))).alias(name))
 
 
 def quota_verdict(gap: Column, hour: Column, day: Column, cooldown: int = 10, most_hour: int = 20, most_day: int = 50) -> Column:

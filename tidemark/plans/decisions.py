@@ -180,9 +180,9 @@ def sighting_merge(spark, d):
 
 
 def quota_window(spark, d):
-    r = queues.rolling_counts(_events(spark, d), "event_type", "ts", {"hour": 3600, "day": 86400})
-    gap = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("timestamp"))
-    return r.withColumn("gap", gap).select("event_id", "hour", "day", queues.quota_verdict(F.coalesce("gap", F.lit(99999)), F.col("hour"), F.col("day"), most_day=60).alias("verdict"))
+    e = queues.gaps(_events(spark, d), "event_type", "ts", "event_id")
+    r = queues.rolling_counts(e, "event_type", "ts", {"hour": 3600, "day": 86400})
+    return r.select("event_id", "hour", "day", queues.quota_verdict(F.coalesce("gap", F.lit(99999)), F.col("hour"), F.col("day"), most_day=60).alias("verdict"))
 
 
 def interleaved(spark, d):
