@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.rounding import nearest
-from tidemark.operators import decisions, queues
+from tidemark.operators import decisions, queues, story_store
 from tidemark.plans import more
 
 #: Prices whose bids are moved the other way by the decimal text.
@@ -55,3 +55,15 @@ def test_rolling_counts_and_gaps_meet_no_window_of_rows(spark):
     assert got == want
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame, -" not in plan
+
+
+def test_key_of_a_title_that_repeats_in_its_shown_form(spark):
+    """Shown, the title keeps four of its words; the key of what came, as the query's SQL has it, is those four, the key of what is shown two."""
+    title = "Adomente Adomente Adomente Adomente Adomente Adomente Adomen"
+    rows = [(1, title, "https://a.com/1"), (2, "Adomente Adomente", "https://a.com/2")]
+    items = spark.createDataFrame(rows, "item_id bigint, title string, url string").selectExpr(
+        "item_id", "title", "'' AS snippet", "'page' AS source", "url", "'p' AS kol_key", "'low' AS impact", "false AS has_market_kw", "'' AS tickers", "timestamp'2026-01-01' AS published_at", "timestamp'2026-01-01' AS seen_at"
+    )
+    got = {r["event_id"]: r for r in story_store.observed(items, by_shown=False).collect()}
+    assert got[1]["title"]["title"] == "Adomente Adomente Adomente Adomente" and got[1]["plain"] == "adomente" * 4
+    assert story_store.observed(items).where("event_id = 1").first()["plain"] == "adomente" * 2

@@ -62,11 +62,14 @@ def _level(impact: Column) -> Column:
     return F.when(impact == "high", 2).when(impact == "medium", 1).otherwise(0)
 
 
-def observed(items: DataFrame) -> DataFrame:
-    """Observations as stories of one, with the keys that they may share: their state and key, url_key, plain (the normal title)."""
+def observed(items: DataFrame, by_shown: bool = True) -> DataFrame:
+    """Observations as stories of one, with the keys that they may share: their state and key, url_key, plain (the normal title).
+
+    The normal title is that of the title as it is shown or else as it came; they differ where what is shown repeats itself once more.
+    """
     rows = items.withColumns({"_url": F.trim(F.coalesce("url", F.lit(""))), "_title": F.trim(F.coalesce("title", F.lit("")))}).where("_url <> '' AND _title <> ''")
-    rows = rows.withColumns({"_title": display_title(F.col("_title")), "_canonical": canonical_url(F.col("_url")), "_snippet": F.trim(F.coalesce("snippet", F.lit("")))})
-    rows = rows.withColumn("_plain", titles.normal_title(F.col("_title"))).withColumn("_able", states.content_eligible(F.col("source"), F.coalesce("_canonical", "_url"), F.col("_snippet"), F.col("_title")))
+    rows = rows.withColumns({"_came": F.col("_title"), "_title": display_title(F.col("_title")), "_canonical": canonical_url(F.col("_url")), "_snippet": F.trim(F.coalesce("snippet", F.lit("")))})
+    rows = rows.withColumn("_plain", titles.normal_title(F.col("_title" if by_shown else "_came"))).withColumn("_able", states.content_eligible(F.col("source"), F.coalesce("_canonical", "_url"), F.col("_snippet"), F.col("_title")))
     status = publication_status(F.col("published_at"), F.col("seen_at"))
     rank = F.when(status == "verified", 0).when(status == "future", 1).otherwise(2)
     best = lambda text: F.struct(F.col("_able").alias("eligible"), F.length(text).alias("size"), (-F.col("item_id")).alias("first"), F.col(text).alias("title"))
@@ -123,11 +126,11 @@ def state(spark: SparkSession, store: str, before: int | None = None) -> tuple[D
     return part("stories", _STATE, "event_id").where("merged_into IS NULL"), part("keys", _KEYS, "key")
 
 
-def upsert(items: DataFrame, store: str, batch: int) -> None:
-    """Join a batch of observations (OBSERVED) to the store at a folder; a repeated batch replaces its part."""
+def upsert(items: DataFrame, store: str, batch: int, by_shown: bool = True) -> None:
+    """Join a batch of observations (OBSERVED) to the store at a folder; a repeated batch replaces its part. All batches of a store name their keys in one way (see observed)."""
     spark = items.sparkSession
     stories, keys = state(spark, store, batch)
-    fresh = stored(observed(items), "observed")
+    fresh = stored(observed(items, by_shown), "observed")
     roots = components(_links(fresh, keys)).select("node", F.col("root").cast("bigint").alias("root"))
     roots = stored(roots, "story-roots")
     numbers = roots.where(~F.col("node").rlike("^[a-z]:")).select(F.col("node").cast("bigint").alias("event_id"), "root")

@@ -53,7 +53,7 @@ def stored_stories(spark, d):
     )
     folder = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/stories-{uuid.uuid4().hex}"
     for k in range(3):
-        story_store.upsert(rows.where(F.floor(F.col("item_id") / 50) % 3 == k), folder, k)
+        story_store.upsert(rows.where(F.floor(F.col("item_id") / 50) % 3 == k), folder, k, by_shown=False)
     found = story_store.stories(spark, folder)
     return found.select("event_id", "title", "impact", "has_market_kw", "tickers", "url", "kol_key", F.unix_seconds("first_seen").alias("first_seen"), F.unix_seconds("last_seen").alias("last_seen"), "observations")
 
