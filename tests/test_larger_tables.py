@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import markets
 from tidemark.functions.rounding import nearest
 from tidemark.operators import decisions, queues, story_store
 from tidemark.plans import more
@@ -67,3 +68,9 @@ def test_key_of_a_title_that_repeats_in_its_shown_form(spark):
     got = {r["event_id"]: r for r in story_store.observed(items, by_shown=False).collect()}
     assert got[1]["title"]["title"] == "Adomente Adomente Adomente Adomente" and got[1]["plain"] == "adomente" * 4
     assert story_store.observed(items).where("event_id = 1").first()["plain"] == "adomente" * 2
+
+
+def test_an_asset_is_read_once_a_row(spark):
+    df = spark.createDataFrame([("US:BRK.B", "yahoo", "ai chips")], "a string, p string, t string")
+    for rule in (markets.resolved(F.col("a"), F.col("p")), markets.symbol(F.col("a"), F.col("p")), markets.benchmark(F.col("a"), F.col("t"))):
+        assert df.select(rule)._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2

@@ -10,6 +10,8 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import once
+
 #: Symbols, price proxies of themes, benchmarks of themes and of other assets. Fixed values.
 SYMBOLS = {
     "COMMODITY:GOLD": "GC=F", "COMMODITY:OIL": "CL=F", "FX:DXY": "DX-Y.NYB", "FX:USD/CNY": "CNY=X", "FX:JPY": "JPY=X", "FX:USD/JPY": "JPY=X", "FX:EUR/USD": "EURUSD=X", "INDEX:VIX": "^VIX", "INDEX:NIKKEI": "^N225",
@@ -34,9 +36,8 @@ _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 def canonical(asset: Column) -> Column:
     """PREFIX:BODY in capitals; null if it isn't two parts."""
-    parts = F.transform(F.split(asset, ":"), lambda p: F.upper(F.trim(p)))
-    whole = (F.size(parts) == 2) & (F.get(parts, 0) != "") & (F.get(parts, 1) != "")
-    return F.when(whole, F.concat_ws(":", parts))
+    whole = lambda parts: (F.size(parts) == 2) & (F.get(parts, 0) != "") & (F.get(parts, 1) != "")
+    return once(F.transform(F.split(asset, ":"), lambda p: F.upper(F.trim(p))), lambda parts: F.when(whole(parts), F.concat_ws(":", parts)))
 
 
 def _of(key: Column, table: dict[str, str]) -> Column:
@@ -55,41 +56,56 @@ def exchange(code: Column) -> Column:
 
 def symbol(asset: Column, provider: Column) -> Column:
     """The symbol of an asset at a provider (yahoo or tencent), without guessing; null if it has none there."""
-    key, name = canonical(asset), F.lower(F.trim(F.coalesce(provider, F.lit(""))))
-    body, prefix = _body(key), F.substring_index(key, ":", 1)
-    place = exchange(body)
-    listed = F.when(place == "SS", "sh").when(place == "SZ", "sz").when(place == "BJ", "bj")
-    tencent = F.when(prefix == "CN", F.concat(listed, body))
-    yahoo = (
-        F.when(_of(key, SYMBOLS).isNotNull(), _of(key, SYMBOLS)).when((prefix == "US") & body.rlike(r"^[A-Z][A-Z0-9.-]{0,14}$"), F.replace(body, F.lit("."), F.lit("-")))
-        .when((prefix == "CN") & place.isNotNull(), F.concat_ws(".", body, place)).when((prefix == "CRYPTO") & body.rlike("^[A-Z][A-Z0-9]{1,14}$"), F.concat(body, F.lit("-USD")))
-    )
-    return F.when(name == "yahoo", yahoo).when(name == "tencent", tencent)
+    return once(canonical(asset), lambda key: _symbol(key, F.lower(F.trim(F.coalesce(provider, F.lit(""))))))
+
+
+def _symbol(key: Column, name: Column) -> Column:
+    def of(x: Column) -> Column:
+        body, prefix, place = x["body"], x["prefix"], x["place"]
+        listed = F.when(place == "SS", "sh").when(place == "SZ", "sz").when(place == "BJ", "bj")
+        tencent = F.when(prefix == "CN", F.concat(listed, body))
+        yahoo = (
+            F.when(x["fixed"].isNotNull(), x["fixed"]).when((prefix == "US") & body.rlike(r"^[A-Z][A-Z0-9.-]{0,14}$"), F.replace(body, F.lit("."), F.lit("-")))
+            .when((prefix == "CN") & place.isNotNull(), F.concat_ws(".", body, place)).when((prefix == "CRYPTO") & body.rlike("^[A-Z][A-Z0-9]{1,14}$"), F.concat(body, F.lit("-USD")))
+        )
+        return F.when(x["name"] == "yahoo", yahoo).when(x["name"] == "tencent", tencent)
+
+    parts = F.struct(_body(key).alias("body"), F.substring_index(key, ":", 1).alias("prefix"), exchange(_body(key)).alias("place"), _of(key, SYMBOLS).alias("fixed"), name.alias("name"))
+    return once(parts, of)
 
 
 def resolved(asset: Column, provider: Column) -> Column:
     """(requested, price_asset, provider, symbol, proxy_for): a theme is priced by its proxy and says for what."""
-    key, name = canonical(asset), F.lower(F.trim(F.coalesce(provider, F.lit(""))))
-    proxy = _of(key, THEME_PRICES)
-    price = F.coalesce(proxy, key)
-    as_given = F.nullif(F.trim(asset), F.lit(""))
-    return F.struct(
-        F.coalesce(key, as_given).alias("requested"), price.alias("price_asset"), F.when(key.isNull(), F.nullif(name, F.lit(""))).otherwise(name).alias("provider"), symbol(price, provider).alias("symbol"),
-        F.when(proxy.isNotNull(), key).alias("proxy_for"),
-    )
+
+    def of(x: Column) -> Column:
+        key, name = x["key"], x["name"]
+        return F.struct(
+            F.coalesce(key, x["given"]).alias("requested"), x["price"].alias("price_asset"), F.when(key.isNull(), F.nullif(name, F.lit(""))).otherwise(name).alias("provider"), _symbol(x["price"], name).alias("symbol"),
+            F.when(x["proxy"].isNotNull(), key).alias("proxy_for"),
+        )
+
+    def priced(x: Column) -> Column:
+        proxy = _of(x["key"], THEME_PRICES)
+        return once(F.struct(x["key"].alias("key"), x["name"].alias("name"), x["given"].alias("given"), proxy.alias("proxy"), F.coalesce(proxy, x["key"]).alias("price")), of)
+
+    given = F.struct(canonical(asset).alias("key"), F.lower(F.trim(F.coalesce(provider, F.lit("")))).alias("name"), F.nullif(F.trim(asset), F.lit("")).alias("given"))
+    return once(given, priced)
 
 
 def benchmark(asset: Column, topic: Column) -> Column:
     """What an asset is compared with, null where nothing is justified."""
-    key = canonical(asset)
-    prefix, low = F.substring_index(key, ":", 1), F.lower(F.trim(F.coalesce(topic, F.lit(""))))
-    chips = F.lit(False)
-    for word in CHIP_WORDS:
-        chips = chips | F.contains(low, F.lit(word))
-    return (
-        F.when(key.isin(*THEME_PRICES), THEME_BENCHMARK).when(chips & (key != "US:SOXX"), "US:SOXX").when(prefix == "US", F.when(key != "US:SPY", "US:SPY")).when(prefix == "CN", "INDEX:CSI300")
-        .when(prefix == "CRYPTO", F.when(_body(key) != "BTC", "CRYPTO:BTC")).otherwise(_of(key, BENCHMARKS))
-    )
+
+    def of(x: Column) -> Column:
+        key, prefix = x["key"], F.substring_index(x["key"], ":", 1)
+        chips = F.lit(False)
+        for word in CHIP_WORDS:
+            chips = chips | F.contains(x["low"], F.lit(word))
+        return (
+            F.when(key.isin(*THEME_PRICES), THEME_BENCHMARK).when(chips & (key != "US:SOXX"), "US:SOXX").when(prefix == "US", F.when(key != "US:SPY", "US:SPY")).when(prefix == "CN", "INDEX:CSI300")
+            .when(prefix == "CRYPTO", F.when(_body(key) != "BTC", "CRYPTO:BTC")).otherwise(_of(key, BENCHMARKS))
+        )
+
+    return once(F.struct(canonical(asset).alias("key"), F.lower(F.trim(F.coalesce(topic, F.lit("")))).alias("low")), of)
 
 
 def _local(seconds: Column, zone: Column) -> Column:
