@@ -2,10 +2,12 @@
 
 from datetime import datetime
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.functions import states
 from tidemark.operators import reads, stories
+from tidemark.plans import reads as plan
 
 
 def value(spark, column):
@@ -47,6 +49,19 @@ def test_content_eligible(spark):
     assert not ask(None, "https://TruthSocial.com/@a/1", None, None)
 
 
+def test_prose_that_begins_like_an_attribution(spark, tmp_path):
+    """Short documents as larger tables have them: From, By and links are a document's own words, a post's marks aren't."""
+    texts = ["From.", "By of.", "via @b", "RT", "www.example.com", "$A", "ab", "中文", "", None, "a b c", "By a"]
+    rows = [(i, texts[i % len(texts)]) for i in range(420 * len(texts))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["eligible"] for r in plan.content_eligible(spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(duck.sql(plan.SQL["content_eligible"]).fetchall())
+    ask = lambda text, prose: value(spark, states.content_eligible(F.lit("Truth Social"), F.lit(None).cast("string"), F.lit(text), F.lit(""), (F.lit(prose), F.lit(prose))))
+    assert ask("From.", True) and not ask("From.", False)
+
+
 def test_stale_alert_keeps_its_other_gates(spark):
     rows = [(1, "2024-01-01 10:30:00"), (2, "2024-01-01 10:29:59"), (3, "2024-01-01 12:05:01"), (4, None)]
     gate = lambda key: F.struct(F.lit(key).alias("key"), F.lit("l").alias("label"), F.lit("met").alias("status"), F.lit("d").alias("detail"))

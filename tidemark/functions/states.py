@@ -60,10 +60,18 @@ def asset_tags(items: Column) -> Column:
     return F.struct(F.coalesce(both[0], none).alias("tickers"), F.coalesce(both[1], none).alias("sectors"))
 
 
-def content_eligible(source: Column, url: Column, snippet: Column, title: Column) -> Column:
-    """Whether a post has words of its own; asked only of the one network whose placeholders have none."""
+def content_eligible(source: Column, url: Column, snippet: Column, title: Column, prose: tuple[Column, Column] | None = None) -> Column:
+    """Whether a post has words of its own; asked only of the one network whose placeholders have none.
+
+    prose: whether snippet and title are texts of another kind than posts. Such a text may begin with From or By, or have links, and these are words of its own.
+    """
     mirrored = F.lower(F.coalesce(source, F.lit(""))).contains("truth social") | F.lower(F.coalesce(url, F.lit(""))).contains("truthsocial.com/")
-    return ~mirrored | F.coalesce(titles.substantive(F.coalesce(F.nullif(snippet, F.lit("")), title)), F.lit(False))
+    told = F.nullif(snippet, F.lit(""))
+    words = F.coalesce(told, title)
+    own = titles.substantive(words)
+    if prose is not None:
+        own = F.when(F.when(told.isNotNull(), prose[0]).otherwise(prose[1]), titles.lettered(words)).otherwise(own)
+    return ~mirrored | F.coalesce(own, F.lit(False))
 
 
 def expired(alert: Column, now: Column) -> Column:
