@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -266,6 +267,29 @@ def test_near_texts_on_both_sides_of_the_threshold(spark):
     assert {i for i, _ in rows} - {r.doc_id for r in got} == gone
 
 
+def test_near_texts_that_no_shard_proposes(spark, monkeypatch):
+    """Pairs that keys, radius and sketch miss are found by the shingles that both must share; here no shard proposes any."""
+    monkeypatch.setattr(near_texts, "shard_keys", lambda least: np.random.default_rng(int(least[0])).integers(0, 1 << 62, near_texts.KEYS).tolist())
+    monkeypatch.setattr(near_texts, "PROPOSED", 2.0)
+    rng, line = np.random.default_rng(3), " ".join(f"common{k}" for k in range(30))
+    texts = []
+    for _ in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 100_000, int(rng.integers(3, 150)))]
+        texts.append(" ".join(words) + " " + line)
+        for share in (0.02, 0.04, 0.08, 0.2):
+            texts.append(" ".join(f"v{rng.integers(0, 100_000)}" if rng.random() < share else w for w in words[: len(words) - int(rng.integers(0, 4))]) + " " + line)
+    sets = [set(near_texts.shingle_hashes(t.encode(), near_texts.SHINGLE).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 60 < len(set(root)) < len(texts) - 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(r["doc_id"] for r in near_texts.unique_texts(docs).collect()) == sorted(set(root))
+
+
 def test_near_texts_of_a_large_group_meet_in_bounded_blocks(spark, monkeypatch):
     """300 near copies of a text, and 60 texts that share most of it but are no near-duplicates of it or of each other."""
     rng = random.Random(23)

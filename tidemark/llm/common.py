@@ -50,7 +50,7 @@ class Aside:
 
 
 #: Bytes and rows of the batches that workers get, so that what a worker holds at once doesn't grow with the texts.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 2048
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1024
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -8,8 +8,12 @@ What proposals connect is a cluster. The texts of a cluster then meet, and those
 
 No task holds a large group. A shard of more than SHARD texts isn't searched: all of it is one cluster. A cluster of more than BLOCK
 texts is dealt over blocks of about that size, and of each class found in a block only the row that would stay goes on, to
-other blocks in the next round, until that gains little; then every two blocks of what is left meet, so that no two rows that stay
-are near-duplicates. In such a cluster texts that are linked only over a text that went earlier may both stay.
+other blocks in the next round, until that gains little; then every two blocks of what is left meet.
+
+What keys, radius, sketch and blocks miss is added exactly: of two sets with J >= 0.8, in any one order of all shingles, the first ninth of the smaller
+shares a shingle with the first fifth of the larger. So texts meet by these shingles, rare ones first, unless they are of one class already or
+have met in a cluster, and pairs that size and place leave possible are compared whole. The order is by a count of the shingles
+that a task meets repeatedly; it decides how many pairs are compared, never which are found.
 
 Defined cases: equal texts, A-Z lower-cased, are one text from the start; texts without words are one class; of a class
 the row with the least id stays (null ids last), and one of its repeats.
@@ -33,6 +37,8 @@ from .simhash import Forest, joined, majority, shard_links, shingle_hashes
 SHINGLE, RADIUS, PROPOSED, KEYS, LANES = 5, 24, 0.64, 12, 128
 #: The similarity of a link, as a fraction; most texts of a shard that is searched, texts of a block, least shrinkage for another round.
 SIMILAR, SHARD, BLOCK, GAIN = (4, 5), 512, 256, 0.9
+#: Shingles that are counted at once, least count of a common one, most common ones that are put last in the order, rows that meet at once, hashes of sets that are kept.
+COUNTED, COMMON, MOST_COMMON, MET, KEPT = 1 << 20, 8, 1 << 17, 1 << 16, 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(5))
 _BY = _RNG.integers(0, 1 << 31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, LANES, dtype=np.uint64).astype(np.uint32)
@@ -144,8 +150,8 @@ def _meet(members: DataFrame) -> DataFrame:
     return spread.select("shard", "content", "body").mapInPandas(lambda batches: shard_links(batches, _linked), "u string, v string")
 
 
-def _classes(members: DataFrame) -> DataFrame:
-    """members(content, cluster, first, body) -> links (u, v) between texts of one cluster that are near-duplicates."""
+def _classes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members(content, cluster, first, body) -> links (u, v) between texts of one cluster that are near-duplicates, and (content, met) of those that met all others with their met."""
     members = stored(members, "members")
     rest, before, links = members, float("inf"), []
     while True:
@@ -166,7 +172,134 @@ def _classes(members: DataFrame) -> DataFrame:
     found = _meet(paired)
     for more in links:
         found = found.unionByName(more)
-    return found
+    return found, rest.select("content", F.col("cluster").alias("met"))
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that come again within a task's run of texts, with their counts."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["hash", "n"])
+
+    held, size = [], 0
+    for batch in batches:
+        for t in batch.column(1):
+            held.append(np.unique(shingle_hashes(t.as_py(), SHINGLE)))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield counted(held)
+                held, size = [], 0
+    if held:
+        yield counted(held)
+
+
+def first_part(hashes: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of a set's shingles in order, as many as a partner of its size or less can't all lack: uncommon ones by hash, then the common ones by place. common is sorted."""
+    rank = np.full(len(hashes), -1)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, place[at], -1)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, rank))][: n + 1 - -(-n * SIMILAR[0] // SIMILAR[1])] if n else hashes
+
+
+def _possible(token: np.ndarray, name: np.ndarray, root: np.ndarray, met: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of names that share a token, sorted by it, and whose sets may have J >= SIMILAR by their sizes and the token's places in them, counted from 1."""
+    a, b = SIMILAR
+    i, step = np.arange(len(token)), 0
+    while True:
+        step += 1
+        i = i[i + step < len(token)]
+        i = i[token[i] == token[i + step]]
+        if not len(i):
+            return
+        j = i + step
+        here = (root[i] != root[j]) & (met[i] != met[j]) & (np.minimum(size[i], size[j]) * b >= np.maximum(size[i], size[j]) * a)
+        x, y = i[here], j[here]
+        x, y = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+        # Both have a + b parts of the sum of which an overlap needs a; the smaller has a / (a + b) of twice its own at least.
+        least = -(-2 * a * size[x] // (a + b))
+        overlap = np.minimum(place[x], place[y]) + np.minimum(size[x] - place[x], size[y] - place[y])
+        good = (place[x] <= size[x] + 1 - least) & (overlap * (a + b) >= a * (size[x] + size[y]))
+        x, y = name[x[good]], name[y[good]]
+        if len(x):
+            yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, name, root, met, size, place) sorted by token -> pairs (a, b) that are possible."""
+
+    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for a, b in _possible(*rows):
+            for at in range(0, len(a), MET):
+                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + MET]), pa.array(b[at : at + MET])], names=["a", "b"])
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(x[0]) for x in held) >= MET:
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            # The last token may go on in the next batch.
+            end = np.searchsorted(rows[0], rows[0][-1])
+            yield from found([c[:end] for c in rows])
+            held = [[c[end:] for c in rows]]
+    if held:
+        yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (u, v, body, other) those whose shingle sets have J >= SIMILAR."""
+    sets: dict[str, np.ndarray] = {}
+    kept = 0
+
+    def of(name: str, body: pa.Scalar) -> np.ndarray:
+        nonlocal kept
+        if (found := sets.get(name)) is None:
+            found = sets[name] = np.unique(shingle_hashes(body.as_py(), SHINGLE))
+            kept += len(found)
+        return found
+
+    for batch in batches:
+        good = []
+        for u, v, body, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if kept > KEPT:
+                sets.clear()
+                kept = 0
+            one, two = of(u, body), of(v, other)
+            shared = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+            good.append(shared * SIMILAR[1] >= (len(one) + len(two) - shared) * SIMILAR[0])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+
+def _missed(texts: DataFrame, known: DataFrame) -> DataFrame | None:
+    """texts(content, body), repeats and all, known(content, root, met) -> links (u, v) between texts of different roots that haven't met; None if no pair is possible."""
+    spark = texts.sparkSession
+    counts = texts.mapInArrow(_repeated, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    rows = counts.orderBy(F.desc("n"), "hash").limit(MOST_COMMON).collect()
+    values, place = np.array([r["hash"] for r in rows], np.int64).view(np.uint64), np.arange(len(rows), 0, -1)
+    by = np.argsort(values)
+    order = spark.sparkContext.broadcast((values[by], place[by]))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), SHINGLE)) for t in batch.column(1)]
+            tokens = pa.array([first_part(x, *order.value).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), tokens], names=["content", "size", "tokens"])
+
+    parts = texts.mapInArrow(first, "content string, size bigint, tokens array<bigint>").dropDuplicates(["content"]).join(known, "content", "left")
+    name = F.xxhash64("content")
+    spread = parts.select(F.posexplode("tokens").alias("place", "token"), name.alias("name"), F.xxhash64(F.coalesce("root", "content")).alias("root"), F.xxhash64(F.coalesce("met", "content")).alias("met"), "size")
+    spread = spread.select("token", "name", "root", "met", "size", (F.col("place") + 1).cast("bigint").alias("place")).repartition("token").sortWithinPartitions("token")
+    pairs = stored(spread.mapInArrow(_pairs, "a bigint, b bigint").distinct(), "pairs")
+    if pairs.isEmpty():
+        return None
+    asked = pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name"))).distinct()
+    bodies = texts.withColumn("name", name).join(asked, "name", "left_semi").groupBy("content").agg(F.first("name").alias("name"), F.first("body").alias("body"))
+    bodies = stored(bodies, "asked")
+    ends = lambda end, to, body: bodies.select(F.col("name").alias(end), F.col("content").alias(to), F.col("body").alias(body))
+    both = pairs.join(ends("a", "u", "body"), "a").join(ends("b", "v", "other"), "b").select("u", "v", "body", "other")
+    return stored(both.mapInArrow(_alike, "u string, v string"), "missed")
 
 
 def unique_texts(docs: DataFrame) -> DataFrame:
@@ -189,7 +322,12 @@ def _unique(docs: DataFrame) -> DataFrame:
     clusters = components(searched.mapInPandas(lambda batches: shard_links(batches, _proposed), "u string, v string").unionByName(whole))
     body = F.first(F.col("text").cast("binary")).alias("body")
     members = rows.join(clusters.withColumnsRenamed({"node": "_content", "root": "_root"}), "_content").groupBy(F.col("_content").alias("content")).agg(F.first("_root").alias("cluster"), one.alias("first"), body)
-    roots = components(_classes(members)).withColumnsRenamed({"node": "_content"})
+    links, met = _classes(members)
+    roots = components(links).withColumnRenamed("node", "content")
+    missed = _missed(texts, stored(roots.join(met, "content", "full"), "known"))
+    if missed is not None:
+        roots = components(roots.select(F.col("content").alias("u"), F.col("root").alias("v")).unionByName(missed)).withColumnRenamed("node", "content")
+    roots = roots.withColumnRenamed("content", "_content")
     firsts = rows.groupBy("_content").agg(one.alias("first"))
     classes = firsts.join(roots, "_content", "left").withColumn("root", F.coalesce("root", "_content"))
     stay = classes.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "first._id", "_content")).alias("stays")).select("stays._id", "stays._content")
