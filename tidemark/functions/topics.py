@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 from . import topic_values as V
 from .forms import nfkc
+from .gates import gate
+
+
+def _patterns(*rules: dict) -> tuple[str, ...]:
+    return tuple(pattern for of in rules for signs in of.values() for pattern, *_ in signs)
 
 
 def _scored(rules: dict, order: tuple[str, ...], title: Column, evidence: Column, low_title: Column, low_evidence: Column) -> Column:
-    """(least, place, key) of what has any sign, the strongest first, then by order. Signs whose case doesn't count are sought in lower case, which is faster."""
+    """(least, place, key) of what has any sign, the strongest first, then by order. Signs whose case doesn't count are sought in lower case, which is faster.
+
+    Evidence is null where no sign can be in it, by the gate of all signs.
+    """
     found = []
     for place, key in enumerate(order):
         score = F.lit(0)
@@ -30,9 +38,16 @@ def assigned(rows: DataFrame, title: str = "title", evidence: str = "evidence")
     clean = lambda c, most: F.left(F.trim(F.regexp_replace(nfkc(F.coalesce(F.col(c), F.lit(""))), r"(?U)\s+", " ")), F.lit(most))
     read = rows.withColumns({"_title": clean(title, V.TITLE), "_evidence": clean(evidence, V.EVIDENCE)})
     read = read.withColumns({"_low_title": F.lower("_title"), "_low_evidence": F.lower("_evidence")})
-    texts = [F.col(c) for c in ("_title", "_evidence", "_low_title", "_low_evidence")]
-    kinds = {"_category": (V.CATEGORY_RULES, V.CATEGORIES), "_subjects": (V.TAG_RULES, V.SUBJECTS), "_lenses": (V.TAG_RULES, V.LENSES)}
-    read = read.withColumns({name: _scored(*of, *texts) for name, of in kinds.items()})
+    # Each sign costs a pass over the evidence, so a single pass first tells the texts in which none can be.
+    for kind, rules in (("category", (V.CATEGORY_RULES,)), ("tag", (V.TAG_RULES,))):
+        open_ = gate(_patterns(*rules))
+        able = F.lit(True) if open_ is None else F.col("_low_evidence").rlike(open_)
+        read = read.withColumn(f"_able_{kind}", able)
+    for kind in ("category", "tag"):
+        read = read.withColumns({f"{c}_{kind}": F.when(F.col(f"_able_{kind}"), F.col(c)) for c in ("_evidence", "_low_evidence")})
+    kinds = {"_category": (V.CATEGORY_RULES, V.CATEGORIES, "category"), "_subjects": (V.TAG_RULES, V.SUBJECTS, "tag"), "_lenses": (V.TAG_RULES, V.LENSES, "tag")}
+    texts = lambda kind: [F.col(c) for c in ("_title", f"_evidence_{kind}", "_low_title", f"_low_evidence_{kind}")]
+    read = read.withColumns({name: _scored(rules, order, *texts(kind)) for name, (rules, order, kind) in kinds.items()})
     keys = lambda c: F.transform(c, lambda x: x["key"])
     subject, lens = keys(F.slice("_subjects", 1, 1)), keys(F.slice("_lenses", 1, 1))
     # Of two kinds there is one of each; of one kind its two strongest.
