@@ -313,6 +313,48 @@ def test_near_texts_of_a_large_group_meet_in_bounded_blocks(spark, monkeypatch):
     assert len(met) > 2 and max(met) <= 80
 
 
+def test_near_texts_of_a_large_cluster_make_no_pairs(spark, monkeypatch):
+    """Copies of a text that share two thirds to nine tenths of it: as many classes as all pairs give, and no pairs of those of one cluster."""
+    rng = random.Random(31)
+    new = lambda n: [f"u{rng.randrange(1_000_000)}" for _ in range(n)]
+    base, texts = new(150), []
+    for i in range(260):
+        changed = rng.randrange(1, 4) if i % 2 else rng.randrange(8, 40)
+        texts.append(" ".join(base[: 150 - changed] + new(changed)))
+    texts += [" ".join(texts[i].split()[:-6] + new(6)) for i in range(0, 80, 2)]
+    sets = [set(near_texts.shingle_hashes(t.encode(), near_texts.SHINGLE).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 20 < len(set(root)) < 200
+    made, plain = [], near_texts.stored
+
+    def watched(df, tag):
+        made.append((tag, df.count()))
+        return plain(df, tag)
+
+    monkeypatch.setattr(near_texts, "stored", watched)
+    monkeypatch.setattr(near_texts, "SHARD", 30)
+    monkeypatch.setattr(near_texts, "BLOCK", 20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_texts.unique_texts(docs).collect()) == sorted(set(root))
+    assert sum(n for tag, n in made if tag == "pairs") <= len(texts)
+
+
+def test_parities_tell_no_near_duplicates_apart():
+    rng = np.random.default_rng(4)
+    for n in (1, 9, 146, 4000):
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        two = np.unique(np.concatenate((one[n // 10 :], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64))))
+        for bits in (256, 1024):
+            odd = near_texts.parities([one, two, one], bits)
+            assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= len(np.setxor1d(one, two)) and (odd[0] == odd[2]).all()
+        assert near_texts.alike(one, two) == (5 * len(np.intersect1d(one, two)) >= 4 * len(np.union1d(one, two)))
+
+
 def test_pipeline_against_its_stages_in_plain_python(spark, tmp_path):
     """Near-duplicates, contamination and mix recomputed in plain Python from what the two models keep."""
     rng = random.Random(11)

@@ -8,11 +8,12 @@ What proposals connect is a cluster. The texts of a cluster then meet, and those
 
 No task holds a large group. A shard of more than SHARD texts isn't searched: all of it is one cluster. A cluster of more than BLOCK
 texts is dealt over blocks of about that size, and of each class found in a block only the row that would stay goes on, to
-other blocks in the next round, until that gains little; then every two blocks of what is left meet.
+other blocks in the next round, until that gains little. Then every text outside the cluster's greatest class meets all of its texts, in blocks of half as many again
+or HEAVY bytes; a task yields a link of each text to one other at most, not the pairs. So within a cluster no link is missed.
 
-What keys, radius, sketch and blocks miss is added exactly: of two sets with J >= 0.8, in any one order of all shingles, the first ninth of the smaller
-shares a shingle with the first fifth of the larger. So texts meet by these shingles, rare ones first, unless they are of one class already or
-have met in a cluster, and pairs that size and place leave possible are compared whole. The order is by a count of the shingles
+What keys, radius and sketch miss between clusters is added exactly: of two sets with J >= 0.8, in any one order of all shingles, the first ninth of the smaller
+shares a shingle with the first fifth of the larger. So texts of different clusters meet by these shingles, rare ones first,
+and pairs that size, place and then the parities of their sets leave possible are compared whole. The order is by a count of the shingles
 that a task meets repeatedly; it decides how many pairs are compared, never which are found.
 
 Defined cases: equal texts, A-Z lower-cased, are one text from the start; texts without words are one class; of a class
@@ -37,6 +38,8 @@ from .simhash import Forest, joined, majority, shard_links, shingle_hashes
 SHINGLE, RADIUS, PROPOSED, KEYS, LANES = 5, 24, 0.64, 12, 128
 #: The similarity of a link, as a fraction; most texts of a shard that is searched, texts of a block, least shrinkage for another round.
 SIMILAR, SHARD, BLOCK, GAIN = (4, 5), 512, 256, 0.9
+#: Bytes of a block of texts that meet across classes, fewest and most bits of a set's parities.
+HEAVY, PARITIES = 4 << 20, (256, 1 << 14)
 #: Shingles that are counted at once, least count of a common one, most common ones that are put last in the order, rows that meet at once, hashes of sets that are kept.
 COUNTED, COMMON, MOST_COMMON, MET, KEPT = 1 << 20, 8, 1 << 17, 1 << 16, 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(5))
@@ -150,29 +153,96 @@ def _meet(members: DataFrame) -> DataFrame:
     return spread.select("shard", "content", "body").mapInPandas(lambda batches: shard_links(batches, _linked), "u string, v string")
 
 
-def _classes(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members(content, cluster, first, body) -> links (u, v) between texts of one cluster that are near-duplicates, and (content, met) of those that met all others with their met."""
+def parities(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Of each set, whether the number of its hashes on each of so many places is odd. Two sets have as many differing hashes at least as these have differing bits."""
+    odd = np.zeros((len(sets), bits // 64), np.uint64)
+    for row, hashes in zip(odd, sets, strict=True):
+        at = hashes >> np.uint64(40)
+        np.bitwise_xor.at(row, ((at >> np.uint64(6)) % np.uint64(len(row))).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return odd
+
+
+def width(size: int) -> int:
+    """The bits of the parities of a set of a size."""
+    return int(np.clip(1 << int(4 * size).bit_length(), *PARITIES))
+
+
+def may_be_alike(apart: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Of rows of parities' differences and sums of two sets' sizes, whether J >= SIMILAR is possible: a / b leaves (b - a) / (b + a) of both sizes to differ."""
+    a, b = SIMILAR
+    return np.bitwise_count(apart).sum(axis=-1, dtype=np.int64) * (b + a) <= both * (b - a)
+
+
+def _across(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of whole shards with (shard, few, content, root, body): links that connect all roots with near-duplicates between them, of those with few and the others, or among themselves if there are no others."""
+    shards, links = rows["shard"].to_numpy(), []
+    cuts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1], [True])))
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        part = rows.iloc[start:end]
+        few, names = part["few"].to_numpy(), part["content"].to_numpy()
+        label = np.unique(part["root"].to_numpy(), return_inverse=True)[1]
+        if not few.any() or label.max() == 0:
+            continue
+        mixed, at = not few.all(), np.arange(len(part))
+        sets = [np.unique(shingle_hashes(b, SHINGLE)) for b in part["body"]]
+        size = np.array([len(x) for x in sets])
+        odd = parities(sets, width(size.max()))
+        for i in np.flatnonzero(few).tolist():
+            near = np.flatnonzero((~few if mixed else at > i) & (label != label[i]) & (np.minimum(size, size[i]) * SIMILAR[1] >= np.maximum(size, size[i]) * SIMILAR[0]))
+            for j in near[may_be_alike(odd[near] ^ odd[i], size[near] + size[i])].tolist():
+                if label[j] != label[i] and alike(sets[i], sets[j]):
+                    links.append((names[i], names[j]))
+                    label[label == label[j]] = label[i]
+    return pd.DataFrame(links, columns=["u", "v"], dtype=object)
+
+
+def alike(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sets of hashes, sorted, have J >= SIMILAR."""
+    if not len(one) or not len(two):
+        return len(one) == len(two)
+    shared = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+    return shared * SIMILAR[1] >= (len(one) + len(two) - shared) * SIMILAR[0]
+
+
+def _classes(members: DataFrame) -> DataFrame:
+    """members(content, cluster, first, body) -> links (u, v) that connect all near-duplicates within each cluster."""
     members = stored(members, "members")
-    rest, before, links = members, float("inf"), []
+    large = stored(members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cluster"), "large")
+    found = _meet(members.join(large, "cluster", "left_anti").withColumn("shard", F.xxhash64("cluster")))
+    if large.isEmpty():
+        return found
+    inside = members.join(large, "cluster")
+    rest, before, links = inside, float("inf"), []
     while True:
-        sizes = stored(rest.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large")
-        blocks, n = F.ceil(F.col("n") / BLOCK), sizes.agg(F.sum("n")).first()[0]
+        sizes = stored(rest.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        n = sizes.agg(F.sum("n")).first()[0]
         if not n or n > GAIN * before:
             break
         before = n
-        block = F.pmod(F.xxhash64("content", F.lit(len(links))), blocks)
+        block = F.pmod(F.xxhash64("content", F.lit(len(links))), F.ceil(F.col("n") / BLOCK))
         links.append(stored(_meet(rest.join(sizes, "cluster").withColumn("shard", F.xxhash64("cluster", block))), "met"))
         rest = rest.join(links[-1].select(F.col("u").alias("content")), "content", "left_anti")
-    # Every block of a cluster with every other; a cluster of one block meets once.
-    own = F.pmod(F.xxhash64("content", F.lit(len(links))), F.col("blocks"))
-    paired = rest.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce(blocks, F.lit(1))).withColumn("own", own)
-    paired = paired.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    # A block of its own is met along with any other.
-    paired = paired.where("own <> other OR blocks = 1").withColumn("shard", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
-    found = _meet(paired)
-    for more in links:
-        found = found.unionByName(more)
-    return found, rest.select("content", F.col("cluster").alias("met"))
+    within = links[0]
+    for more in links[1:]:
+        within = within.unionByName(more)
+    roots = stored(components(within).withColumnsRenamed({"node": "content"}), "within")
+    rooted = inside.select("cluster", "content", "body").join(roots, "content", "left").withColumn("root", F.coalesce("root", "content"))
+    own = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("size"))
+    whole = own.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max_by(F.struct("root", "n", "size"), F.struct("n", "root")).alias("main")).where("n > main.n")
+    blocks = lambda n, size: F.greatest(F.ceil(n / (BLOCK + BLOCK // 2)), F.ceil(size / HEAVY))
+    few_blocks = blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    whole = stored(whole.select("cluster", F.col("main.root").alias("main"), few_blocks.alias("few_blocks"), blocks(F.col("main.n"), F.col("main.size")).alias("main_blocks")), "whole")
+    # Every block of the texts outside the main class with every other, and with every block of the main class.
+    few = F.col("root") != F.col("main")
+    dealt = rooted.join(whole, "cluster").withColumns({"few": few, "own": F.pmod(F.xxhash64("content", F.lit(-1)), F.when(few, F.col("few_blocks")).otherwise(F.col("main_blocks")))})
+    each = lambda n, to: F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1), to)
+    others = F.filter(each("few_blocks", lambda k: F.struct(F.lit(True).alias("few"), F.least("own", k).alias("a"), F.greatest("own", k).alias("b"))), lambda x: (x["a"] != x["b"]) | (F.col("few_blocks") == 1))
+    with_main = each("main_blocks", lambda k: F.struct(F.lit(False).alias("few"), F.col("own").alias("a"), k.alias("b")))
+    from_main = each("few_blocks", lambda k: F.struct(F.lit(False).alias("few"), k.alias("a"), F.col("own").alias("b")))
+    shards = F.when(F.col("few"), F.concat(others, with_main)).otherwise(from_main)
+    spread = dealt.select("cluster", "few", "content", "root", "body", F.explode(shards).alias("of")).select(F.xxhash64("cluster", "of.few", "of.a", "of.b").alias("shard"), "few", "content", "root", "body")
+    spread = spread.repartition("shard").sortWithinPartitions("shard")
+    return found.unionByName(within).unionByName(spread.mapInPandas(lambda batches: shard_links(batches, _across), "u string, v string"))
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +274,22 @@ def first_part(hashes: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.
     return hashes[np.lexsort((hashes, rank))][: n + 1 - -(-n * SIMILAR[0] // SIMILAR[1])] if n else hashes
 
 
-def _possible(token: np.ndarray, name: np.ndarray, root: np.ndarray, met: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of names that share a token, sorted by it, and whose sets may have J >= SIMILAR by their sizes and the token's places in them, counted from 1."""
+def _possible(token: np.ndarray, met: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of names that share a token, sorted by it and by met, of different met, and whose sets may have J >= SIMILAR by their sizes and the token's places in them, counted from 1."""
     a, b = SIMILAR
-    i, step = np.arange(len(token)), 0
+    # Each meets those after the last one of its own token and met.
+    last = np.flatnonzero(np.append((token[1:] != token[:-1]) | (met[1:] != met[:-1]), True))
+    i = np.arange(len(token))
+    j = np.repeat(last + 1, np.diff(np.concatenate(([-1], last))))
     while True:
-        step += 1
-        i = i[i + step < len(token)]
-        i = i[token[i] == token[i + step]]
+        here = j < len(token)
+        i, j = i[here], j[here]
+        here = token[i] == token[j]
+        i, j = i[here], j[here]
         if not len(i):
             return
-        j = i + step
-        here = (root[i] != root[j]) & (met[i] != met[j]) & (np.minimum(size[i], size[j]) * b >= np.maximum(size[i], size[j]) * a)
-        x, y = i[here], j[here]
+        near = np.minimum(size[i], size[j]) * b >= np.maximum(size[i], size[j]) * a
+        x, y = i[near], j[near]
         x, y = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
         # Both have a + b parts of the sum of which an overlap needs a; the smaller has a / (a + b) of twice its own at least.
         least = -(-2 * a * size[x] // (a + b))
@@ -225,27 +298,51 @@ def _possible(token: np.ndarray, name: np.ndarray, root: np.ndarray, met: np.nda
         x, y = name[x[good]], name[y[good]]
         if len(x):
             yield np.minimum(x, y), np.maximum(x, y)
+        j = j + 1
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, name, root, met, size, place) sorted by token -> pairs (a, b) that are possible."""
+    """Rows (token, met, name, size, place) sorted by token and met -> pairs (a, b) that are possible."""
 
-    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for a, b in _possible(*rows):
+    def found(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for a, b in _possible(*[np.concatenate(c) for c in zip(*held, strict=True)]):
             for at in range(0, len(a), MET):
                 yield pa.RecordBatch.from_arrays([pa.array(a[at : at + MET]), pa.array(b[at : at + MET])], names=["a", "b"])
 
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        if sum(len(x[0]) for x in held) >= MET:
-            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-            # The last token may go on in the next batch.
-            end = np.searchsorted(rows[0], rows[0][-1])
-            yield from found([c[:end] for c in rows])
-            held = [[c[end:] for c in rows]]
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held and sum(len(x[0]) for x in held) >= MET:
+            # What is held ends where a token does: the last one may go on in the next batch.
+            end = np.searchsorted(rows[0], held[-1][0][-1], side="right")
+            if end < len(rows[0]):
+                yield from found([*held, [c[:end] for c in rows]])
+                held, rows = [], [c[end:] for c in rows]
+        if len(rows[0]):
+            held.append(rows)
     if held:
-        yield from found([np.concatenate(c) for c in zip(*held, strict=True)])
+        yield from found(held)
+
+
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts (name, body) the sizes and parities of their sets."""
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t.as_py(), SHINGLE)) for t in batch.column(1)]
+        odd = [parities([x], width(len(x))).tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(odd, pa.binary())], names=["name", "size", "odd"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, size, odd, other_size, other) those whose parities leave J >= SIMILAR possible."""
+    for batch in batches:
+        good = []
+        for n, one, m, two in zip(*[batch.column(k).to_pylist() for k in range(2, 6)], strict=True):
+            one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+            # The wider one is folded, as its places are the other's and multiples added.
+            least = min(len(one), len(two))
+            one, two = (np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in (one, two))
+            good.append(bool(may_be_alike(one ^ two, np.int64(n + m))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,13 +364,12 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sets.clear()
                 kept = 0
             one, two = of(u, body), of(v, other)
-            shared = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
-            good.append(shared * SIMILAR[1] >= (len(one) + len(two) - shared) * SIMILAR[0])
+            good.append(alike(one, two))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
 def _missed(texts: DataFrame, known: DataFrame) -> DataFrame | None:
-    """texts(content, body), repeats and all, known(content, root, met) -> links (u, v) between texts of different roots that haven't met; None if no pair is possible."""
+    """texts(content, body), repeats and all, known(content, met) -> links (u, v) between texts of different met, or without; None if no pair is possible."""
     spark = texts.sparkSession
     counts = texts.mapInArrow(_repeated, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     rows = counts.orderBy(F.desc("n"), "hash").limit(MOST_COMMON).collect()
@@ -289,13 +385,19 @@ def _missed(texts: DataFrame, known: DataFrame) -> DataFrame | None:
 
     parts = texts.mapInArrow(first, "content string, size bigint, tokens array<bigint>").dropDuplicates(["content"]).join(known, "content", "left")
     name = F.xxhash64("content")
-    spread = parts.select(F.posexplode("tokens").alias("place", "token"), name.alias("name"), F.xxhash64(F.coalesce("root", "content")).alias("root"), F.xxhash64(F.coalesce("met", "content")).alias("met"), "size")
-    spread = spread.select("token", "name", "root", "met", "size", (F.col("place") + 1).cast("bigint").alias("place")).repartition("token").sortWithinPartitions("token")
+    spread = parts.select(F.posexplode("tokens").alias("place", "token"), F.xxhash64(F.coalesce("met", "content")).alias("met"), name.alias("name"), "size")
+    spread = spread.select("token", "met", "name", "size", (F.col("place") + 1).cast("bigint").alias("place")).repartition("token").sortWithinPartitions("token", "met")
     pairs = stored(spread.mapInArrow(_pairs, "a bigint, b bigint").distinct(), "pairs")
     if pairs.isEmpty():
         return None
-    asked = pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name"))).distinct()
-    bodies = texts.withColumn("name", name).join(asked, "name", "left_semi").groupBy("content").agg(F.first("name").alias("name"), F.first("body").alias("body"))
+    named = texts.withColumn("name", name)
+    asked = lambda pairs: pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name"))).distinct()
+    shapes = stored(named.join(asked(pairs), "name", "left_semi").select("name", "body").mapInArrow(_shaped, "name bigint, size bigint, odd binary").dropDuplicates(["name"]), "shapes")
+    with_shapes = pairs.join(shapes.withColumnRenamed("name", "a"), "a").join(shapes.select(F.col("name").alias("b"), F.col("size").alias("other_size"), F.col("odd").alias("other")), "b")
+    pairs = stored(with_shapes.select("a", "b", "size", "odd", "other_size", "other").mapInArrow(_close, "a bigint, b bigint"), "close")
+    if pairs.isEmpty():
+        return None
+    bodies = named.join(asked(pairs), "name", "left_semi").groupBy("content").agg(F.first("name").alias("name"), F.first("body").alias("body"))
     bodies = stored(bodies, "asked")
     ends = lambda end, to, body: bodies.select(F.col("name").alias(end), F.col("content").alias(to), F.col("body").alias(body))
     both = pairs.join(ends("a", "u", "body"), "a").join(ends("b", "v", "other"), "b").select("u", "v", "body", "other")
@@ -322,12 +424,9 @@ def _unique(docs: DataFrame) -> DataFrame:
     clusters = components(searched.mapInPandas(lambda batches: shard_links(batches, _proposed), "u string, v string").unionByName(whole))
     body = F.first(F.col("text").cast("binary")).alias("body")
     members = rows.join(clusters.withColumnsRenamed({"node": "_content", "root": "_root"}), "_content").groupBy(F.col("_content").alias("content")).agg(F.first("_root").alias("cluster"), one.alias("first"), body)
-    links, met = _classes(members)
-    roots = components(links).withColumnRenamed("node", "content")
-    missed = _missed(texts, stored(roots.join(met, "content", "full"), "known"))
-    if missed is not None:
-        roots = components(roots.select(F.col("content").alias("u"), F.col("root").alias("v")).unionByName(missed)).withColumnRenamed("node", "content")
-    roots = roots.withColumnRenamed("content", "_content")
+    links = _classes(members)
+    missed = _missed(texts, clusters.select(F.col("node").alias("content"), F.col("root").alias("met")))
+    roots = components(links if missed is None else links.unionByName(missed)).withColumnRenamed("node", "_content")
     firsts = rows.groupBy("_content").agg(one.alias("first"))
     classes = firsts.join(roots, "_content", "left").withColumn("root", F.coalesce("root", "_content"))
     stay = classes.groupBy("root").agg(F.min(F.struct("first.none", "first.id", "first._id", "_content")).alias("stays")).select("stays._id", "stays._content")
