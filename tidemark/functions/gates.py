@@ -1,4 +1,4 @@
-"""Gates: one pattern that is found wherever any of many patterns is found, and far sooner, as it has only the letters that their matches begin with."""
+"""Gates: what tells where any of many patterns may be found, far sooner than they do, as it has only the letters that their matches begin with."""
 
 from __future__ import annotations
 
@@ -7,8 +7,13 @@ from functools import cache
 from itertools import groupby
 from re import _parser as parser
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Letters of a beginning at most; beyond this many beginnings a pattern counts as one that can't be told by them.
 LETTERS, MOST = 6, 2000
+#: Alternatives that are tried one by one; of more, a look at the letter tells which so many to try.
+TRIED = 6
 _EDGES = ("(?<![a-z0-9])", "(?![a-z0-9])")
 
 
@@ -42,18 +47,71 @@ def _beginnings(items: list, text: str = "", before: bool = False) -> set[tuple[
     return done
 
 
+@cache
+def _all_beginnings(patterns: tuple[str, ...]) -> set[tuple[bool, str, bool]] | None:
+    found = set().union(*[_beginnings(list(parser.parse(p))) for p in patterns])
+    return None if len(found) > MOST or any(not text for _, text, _ in found) else found
+
+
+def _escaped(text: str) -> str:
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
+
+
 @cache
 def gate(patterns: tuple[str, ...]) -> str | None:
     """A pattern for lower-cased text that is found in each text in which one of the patterns is found, whatever its case; None if there is none such."""
-    found = set().union(*[_beginnings(list(parser.parse(p))) for p in patterns])
-    if len(found) > MOST or any(not text for _, text, _ in found):
+    found = _all_beginnings(patterns)
+    if found is None:
         return None
-    escaped = lambda text: "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
     kinds = defaultdict(set)
     for before, text, after in found:
         kinds[before, after].add(text)
     parts = []
     for (before, after), texts in sorted(kinds.items()):
-        by_first = [f"{escaped(first)}(?:{'|'.join(escaped(t[1:]) for t in group)})" for first, group in groupby(sorted(texts), key=lambda t: t[0])]
+        by_first = [f"{_escaped(first)}(?:{'|'.join(_escaped(t[1:]) for t in group)})" for first, group in groupby(sorted(texts), key=lambda t: t[0])]
         parts.append(f"{_EDGES[0] * before}(?:{'|'.join(by_first)}){_EDGES[1] * after}")
     return "|".join(parts)
+
+
+def _tree(ends: set[tuple[str, bool]]) -> str:
+    """A pattern of (letters, an edge after), by one letter after the other; of those at a place it finds the longest."""
+    parts = []
+    by_first = [(_escaped(first), {(text[1:], after) for text, after in group}) for first, group in groupby(sorted(e for e in ends if e[0]), key=lambda e: e[0][0])]
+    for k in range(0, len(by_first), TRIED):
+        some = by_first[k : k + TRIED]
+        guard = f"(?=[{''.join(first for first, _ in some)}])" * (len(by_first) > TRIED)
+        parts.append(f"{guard}(?:{'|'.join(first + _tree(rest) for first, rest in some)})")
+    if any(not text for text, _ in ends):
+        parts.append("" if ("", False) in ends else _EDGES[1])
+    return f"(?:{'|'.join(parts)})"
+
+
+def begun(low: Column, patterns: tuple[str, ...]) -> Column:
+    """The beginnings of the patterns' matches that a lower-cased text has, each once: at each edge the longest, and all that need no edge before; null if they can't be told."""
+    found = _all_beginnings(patterns)
+    if found is None:
+        return F.lit(None).cast("array<string>")
+    none = F.array().cast("array<string>")
+    held = lambda texts: F.filter(F.array(*map(F.lit, texts)), lambda t: F.contains(low, t)) if texts else none
+    edged, free = {(text, after) for before, text, after in found if before}, sorted({text for before, text, _ in found if not before})
+    other = [text for text in free if not text.isascii()]
+    parts = [held([text for text in free if text.isascii()])]
+    if edged:
+        parts.append(F.regexp_extract_all(F.concat(F.lit(" "), low), F.lit(f"[^a-z0-9](?=({_tree(edged)}))"), F.lit(1)))
+    if other:
+        # Few texts have letters of these scripts at all.
+        letters = sorted(c for text in other for c in text if not c.isascii())
+        parts.append(F.when(low.rlike(f"[{_escaped(letters[0])}-{_escaped(letters[-1])}]"), held(other)).otherwise(none))
+    return F.array_distinct(F.concat(*parts))
+
+
+@cache
+def openers(some: tuple[str, ...], patterns: tuple[str, ...]) -> tuple[str, ...] | None:
+    """Of what `begun` may tell of patterns, that of which one is there wherever one of some of them is found; None if that can't be told."""
+    found = _all_beginnings(patterns)
+    if found is None:
+        return None
+    out = set()
+    for before, text, _ in _all_beginnings(some):
+        out |= {t for edge, t, _ in found if edge and t.startswith(text)} if before else {text}
+    return tuple(sorted(out))

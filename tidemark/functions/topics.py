@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import topic_values as V
 from .forms import nfkc
-from .gates import gate
+from .gates import begun, openers
 
 
 def _patterns(*rules: dict) -> tuple[str, ...]:
     return tuple(pattern for of in rules for signs in of.values() for pattern, *_ in signs)
 
 
-def _scored(rules: dict, order: tuple[str, ...], title: Column, evidence: Column, low_title: Column, low_evidence: Column) -> Column:
-    """(least, place, key) of what has any sign, the strongest first, then by order. Signs whose case doesn't count are sought in lower case, which is faster.
+#: All signs.
+_SIGNS = _patterns(V.CATEGORY_RULES, V.TAG_RULES)
+
+
+def _may(opened: Column, *signs: str) -> Column:
+    """Whether one of the signs can be in a text, by the beginnings of all signs in it."""
+    by = openers(signs, _SIGNS)
+    return F.lit(True) if by is None else F.arrays_overlap(opened, F.array(*map(F.lit, by)))
+
+
+def _scored(rules: dict, order: tuple[str, ...], *texts: tuple[Column, Column, Column]) -> Column:
+    """(least, place, key) of what has any sign, the strongest first, then by order. Of the title and the evidence: text, its lower case, the beginnings of signs in it.
 
-    Evidence is null where no sign can be in it, by the gate of all signs.
+    Each sign costs a pass over a text, so only those are sought that can be there; in lower case, which is faster, where case doesn't count.
     """
     found = []
     for place, key in enumerate(order):
-        score = F.lit(0)
-        for pattern, in_title, in_evidence, exact in rules.get(key, ()):
-            sign, t, e = ("(?U)" + pattern, title, evidence) if exact else ("(?U)" + pattern.lower(), low_title, low_evidence)
-            score = score + F.when(t.rlike(sign), in_title).otherwise(0) + F.when(e.rlike(sign), in_evidence).otherwise(0)
+        signs, score = rules.get(key, ()), F.lit(0)
+        for pattern, *weights, exact in signs:
+            sign = "(?U)" + (pattern if exact else pattern.lower())
+            for (text, low, opened), weight in zip(texts, weights, strict=True):
+                score = score + F.when(_may(opened, pattern) & (text if exact else low).rlike(sign), weight).otherwise(0)
+        if signs:
+            able = reduce(Column.__or__, [_may(opened, *[pattern for pattern, *_ in signs]) for *_, opened in texts])
+            score = F.when(able, score).otherwise(0)
         found.append(F.struct((-score).alias("least"), F.lit(place).alias("place"), F.lit(key).alias("key")))
     return F.array_sort(F.filter(F.array(*found), lambda x: x["least"] < 0))
 
@@ -38,16 +54,10 @@ def assigned(rows: DataFrame, title: str = "title", evidence: str = "evidence")
     clean = lambda c, most: F.left(F.trim(F.regexp_replace(nfkc(F.coalesce(F.col(c), F.lit(""))), r"(?U)\s+", " ")), F.lit(most))
     read = rows.withColumns({"_title": clean(title, V.TITLE), "_evidence": clean(evidence, V.EVIDENCE)})
     read = read.withColumns({"_low_title": F.lower("_title"), "_low_evidence": F.lower("_evidence")})
-    # Each sign costs a pass over the evidence, so a single pass first tells the texts in which none can be.
-    for kind, rules in (("category", (V.CATEGORY_RULES,)), ("tag", (V.TAG_RULES,))):
-        open_ = gate(_patterns(*rules))
-        able = F.lit(True) if open_ is None else F.col("_low_evidence").rlike(open_)
-        read = read.withColumn(f"_able_{kind}", able)
-    for kind in ("category", "tag"):
-        read = read.withColumns({f"{c}_{kind}": F.when(F.col(f"_able_{kind}"), F.col(c)) for c in ("_evidence", "_low_evidence")})
-    kinds = {"_category": (V.CATEGORY_RULES, V.CATEGORIES, "category"), "_subjects": (V.TAG_RULES, V.SUBJECTS, "tag"), "_lenses": (V.TAG_RULES, V.LENSES, "tag")}
-    texts = lambda kind: [F.col(c) for c in ("_title", f"_evidence_{kind}", "_low_title", f"_low_evidence_{kind}")]
-    read = read.withColumns({name: _scored(rules, order, *texts(kind)) for name, (rules, order, kind) in kinds.items()})
+    read = read.withColumns({f"_begun{c}": begun(F.col(f"_low{c}"), _SIGNS) for c in ("_title", "_evidence")})
+    texts = [tuple(F.col(of + c) for of in ("", "_low", "_begun")) for c in ("_title", "_evidence")]
+    kinds = {"_category": (V.CATEGORY_RULES, V.CATEGORIES), "_subjects": (V.TAG_RULES, V.SUBJECTS), "_lenses": (V.TAG_RULES, V.LENSES)}
+    read = read.withColumns({name: _scored(rules, order, *texts) for name, (rules, order) in kinds.items()})
     keys = lambda c: F.transform(c, lambda x: x["key"])
     subject, lens = keys(F.slice("_subjects", 1, 1)), keys(F.slice("_lenses", 1, 1))
     # Of two kinds there is one of each; of one kind its two strongest.
