@@ -86,13 +86,18 @@ def _tree(ends: set[tuple[str, bool]]) -> str:
     return f"(?:{'|'.join(parts)})"
 
 
+def words(texts: tuple[str, ...]) -> Column:
+    """An array of texts, sent to the JVM as one literal; a literal each takes seconds for thousands. No text may have the separator."""
+    return F.split(F.lit("\x1f".join(texts)), "\x1f")
+
+
 def begun(low: Column, patterns: tuple[str, ...]) -> Column:
     """The beginnings of the patterns' matches that a lower-cased text has, each once: at each edge the longest, and all that need no edge before; null if they can't be told."""
     found = _all_beginnings(patterns)
     if found is None:
         return F.lit(None).cast("array<string>")
     none = F.array().cast("array<string>")
-    held = lambda texts: F.filter(F.array(*map(F.lit, texts)), lambda t: F.contains(low, t)) if texts else none
+    held = lambda texts: F.filter(words(texts), lambda t: F.contains(low, t)) if texts else none
     edged, free = {(text, after) for before, text, after in found if before}, sorted({text for before, text, _ in found if not before})
     other = [text for text in free if not text.isascii()]
     parts = [held([text for text in free if text.isascii()])]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import topic_values as V
 from .forms import nfkc
-from .gates import begun, openers
+from .gates import begun, openers, words
 
 
 def _patterns(*rules: dict) -> tuple[str, ...]:
@@ -23,7 +23,7 @@ _SIGNS = _patterns(V.CATEGORY_RULES, V.TAG_RULES)
 def _may(opened: Column, *signs: str) -> Column:
     """Whether one of the signs can be in a text, by the beginnings of all signs in it."""
     by = openers(signs, _SIGNS)
-    return F.lit(True) if by is None else F.arrays_overlap(opened, F.array(*map(F.lit, by)))
+    return F.lit(True) if by is None else F.arrays_overlap(opened, words(by))
 
 
 def _scored(rules: dict, order: tuple[str, ...], *texts: tuple[Column, Column, Column]) -> Column:
